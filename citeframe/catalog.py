@@ -1,15 +1,533 @@
-"""Queries of the base library and their SQL."""
+"""Queries of the base library over the driver's tables, each with SQL for the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from citeframe.functions import text as X
+from citeframe.functions import thai
+from citeframe.operators import blocks, derive, facts, pages, pricing, score, validate
+from citeframe.plans import extraction
+from citeframe.shipping import ship
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_Q: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+MODELS = "['claude-opus-5', 'claude-haiku-4-5', 'claude-sonnet-4-6', 'unknown-model']"
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# ---- sources -------------------------------------------------------------------------------------------------
+
+@_query("select page_id, case when page_id % 3 = 0 then 'pdf' else 'unsupported' end as kind from pages")
+def sniff_kind(spark, d):
+    from citeframe.sources.ingest import sniff
+
+    ship(spark)
+    rows = _t(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("%PDF-1.7"), "url")).otherwise(F.col("url")).cast("binary").alias("content"))
+    return rows.select("page_id", sniff(F.col("content")).alias("kind"))
+
+
+@_query("select doc_id, case doc_id % 3 when 0 then 'pdf' when 1 then 'docx' else 'xlsx' end as kind, doc_id % 3 <> 2 as enabled from documents")
+def kind_dispatch_gate(spark, d):
+    from citeframe.sources.ingest import supported
+
+    kind = F.element_at(F.array(F.lit("pdf"), F.lit("docx"), F.lit("xlsx")), (F.col("doc_id") % 3 + 1).cast("int"))
+    return _t(spark, d, "documents").select("doc_id", kind.alias("kind"), kind.isin(*supported({})).alias("enabled"))
+
+
+@_query("""select doc_id, case when doc_id % 11 = 0 then 500 when n_chars > 5000 then 413 when n_chars < 50 then 400
+    when doc_id % 7 = 0 then 415 when doc_id % 5 = 0 then 415 when doc_id % 13 > 11 then 422 when doc_id % 17 = 1 then 400 else 200 end as status from documents""")
+def upload_guards(spark, d):
+    i = F.col("doc_id")
+    size = F.when(F.col("n_chars") < 50, 0).otherwise(F.col("n_chars"))
+    kind = F.when(i % 7 == 0, "unsupported").otherwise("pdf")
+    status = extraction.upload_status(i % 11 != 0, size, kind, i % 5 != 0, i % 13, F.lit(11), i % 17 != 1, 5000)
+    return _t(spark, d, "documents").select("doc_id", status.alias("status"))
+
+
+@_query("""select doc_id, cast(row_number() over (partition by doc_id order by pos) as int) as seq, 'para:' || row_number() over (partition by doc_id order by pos) as ref, t as text
+    from (select doc_id, pos, trim(line) as t from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents)) where t <> ''""")
+def docx_blocks(spark, d):
+    return blocks.paragraphs(_t(spark, d, "documents")).select("doc_id", "seq", "ref", "text")
+
+
+@_query("""select doc_id, string_agg('[para:' || seq || '] ' || t, chr(10) order by seq) as document_text from (
+    select doc_id, row_number() over (partition by doc_id order by pos) as seq, t from (
+    select doc_id, pos, trim(line) as t from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents)) where t <> '') group by doc_id""")
+def docx_document_text(spark, d):
+    return blocks.addressed(blocks.paragraphs(_t(spark, d, "documents")))
+
+
+@_query("""select conv_id as doc_id, string_agg(case when turn % 2 = 0 then chr(10) || '[หน้า ' || (turn // 2 + 1) || ']' || chr(10) else '' end || text, chr(10) order by turn) as document_text
+    from conversations where trim(text) <> '' and conv_id in (select conv_id from conversations group by conv_id having count(*) = count(distinct turn) and min(turn) = 0 and max(turn) = count(*) - 1) group by conv_id""")
+def document_text(spark, d):
+    c = _t(spark, d, "conversations")
+    whole = c.groupBy("conv_id").agg(F.count("*").alias("n"), F.count_distinct("turn").alias("k"), F.min("turn").alias("lo"), F.max("turn").alias("hi")).filter("n = k and lo = 0 and hi = n - 1").select("conv_id")
+    rows = c.join(whole, "conv_id", "left_semi").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), (F.floor(F.col("turn") / 2) + 1).alias("page"), "text")
+    return pages.marked_text(rows)
+
+
+def _cells(spark, d):
+    p = _t(spark, d, "part")
+    name = F.col("p_partkey").cast("string")
+    return p.select(F.lit(1).alias("doc_id"), F.concat(F.lit("S"), (F.col("p_partkey") % 3).cast("string")).alias("sheet"), F.floor(F.col("p_partkey") / 3).cast("int").alias("row"), F.explode(F.arrays_zip(F.array(F.lit("A"), F.lit("B"), F.lit("AA")).alias("col"), F.array(name, F.col("p_name"), X.number_text(F.col("p_retailprice"))).alias("value"))).alias("c")).select("doc_id", "sheet", "row", F.col("c.col").alias("col"), F.concat("c.col", F.col("row").cast("string")).alias("ref"), F.col("c.value").alias("value"))
+
+
+@_query("""with c as (select 'S' || (p_partkey % 3) as sheet, p_partkey // 3 as r, p_partkey from part)
+    select sheet, cast(r as int) as "row", cast(row_number() over (partition by sheet order by r) <= 20 as boolean) as shown, cast(count(*) over (partition by sheet) > 20 as boolean) as truncated from c qualify shown""")
+def preview_truncate(spark, d):
+    rows = _cells(spark, d).filter("col = 'A'")
+    return blocks.preview(rows, 20).select("sheet", "row", F.lit(True).alias("shown"), "truncated")
+
+
+@_query("""select 'S' || (p_partkey % 3) as sheet, cast(p_partkey // 3 as int) as "row", cast(p_partkey as varchar) as "A", p_name as "B" from part""")
+def grid_pivot(spark, d):
+    return blocks.grid(_cells(spark, d), ["sheet"], ["AA", "B", "A"]).select("sheet", "row", "A", "B")
+
+
+@_query("""select o_orderkey, case when o_orderkey % 4 = 0 then null when o_orderkey % 4 = 1 then case when o_orderkey % 8 = 1 then 'TRUE' else 'FALSE' end
+    when o_orderkey % 4 = 2 then cast(o_orderkey as varchar) else cast(cast(o_orderkey as double) + 0.5 as varchar) end as text from orders""")
+def cell_to_text(spark, d):
+    k = F.col("o_orderkey")
+    return _t(spark, d, "orders").select("o_orderkey", F.when(k % 4 == 1, X.bool_text(k % 8 == 1)).when(k % 4 == 2, X.number_text(k.cast("double"))).when(k % 4 == 3, X.number_text(k.cast("double") + 0.5)).alias("text"))
+
+
+@_query("""select doc_id, cast(n as bigint) as units from (select doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) as n from documents) where n > 20""")
+def size_caps(spark, d):
+    return blocks.over_cap(blocks.paragraphs(_t(spark, d, "documents")), 20)
+
+
+# ---- Thai text -----------------------------------------------------------------------------------------------
+
+@_query("select doc_id, md5(nfc_normalize(replace(text, 'é', 'e' || chr(769)))) as h from documents")
+def nfc_normalize(spark, d):
+    ship(spark)
+    return _t(spark, d, "documents").select("doc_id", F.md5(thai.nfc(F.replace("text", F.lit("é"), F.lit("é")))).alias("h"))
+
+
+@_query("select o_orderkey, cast(o_orderkey as varchar) as digits from orders")
+def thai_digits(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", thai.arabic_digits(F.translate(F.col("o_orderkey").cast("string"), "0123456789", thai.THAI_DIGITS)).alias("digits"))
+
+
+@_query("""select o_orderkey, case when o_orderkey % 10 = 0 then '' else 'x' || year(o_orderdate) || '-03-15 2569' end as date_ce from orders""")
+def be_to_ce_date(spark, d):
+    y = F.year("o_orderdate") + thai.ERA
+    raw = F.when(F.col("o_orderkey") % 10 == 0, F.lit("1999")).otherwise(F.concat(F.lit("x"), F.when(F.col("o_orderkey") % 3 == 0, F.translate(y.cast("string"), "0123456789", thai.THAI_DIGITS)).otherwise(y.cast("string")), F.lit("-03-15 2569")))
+    # Thai digits are made Arabic before dates are read, as everywhere in the pipeline
+    return _t(spark, d, "orders").select("o_orderkey", F.coalesce(thai.be_date_to_ce(thai.arabic_digits(raw)), F.lit("")).alias("date_ce"))
+
+
+@_query("""select p_partkey, cast(case p_partkey % 4 when 0 then 0 when 1 then 1 when 2 then 0 else 2 end as int) as n from part""")
+def glyph_anomalies(spark, d):
+    rows = F.element_at(F.array(F.lit("้ำกลุ่ม"), F.lit("น ้าทิ้ง"), F.lit("น้ำ ที่"), F.lit("a่b ี")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return _t(spark, d, "part").select("p_partkey", thai.glyph_anomaly_count(rows).alias("n"))
+
+
+@_query("select o_orderkey, cast(o_orderkey * 37 + 1 as bigint) as n, cast(o_orderkey * 37 + 1 as bigint) as parsed from orders")
+def number_words(spark, d):
+    n = (F.col("o_orderkey") * 37 + 1).cast("bigint")
+    return _t(spark, d, "orders").select("o_orderkey", n.alias("n"), thai.number_words(F.concat(F.lit("จำนวน "), thai.words_of(n), F.lit("บาทถ้วน"))).alias("parsed"))
+
+
+@_query("""select * from (values ('สามารถ', 3), ('พันธบัตร', 1000), ('ยี่ห้อ', 2), ('หนึ่งล้านล้าน', 2000000), ('ศูนย์ล้าน', 1000000), ('ร้อยละ 5 (ห้าหมื่น)', 100), ('ยี่สิบเอ็ด', 21), ('ไม่มี', null)) as t(words, n)""")
+def number_words_quirks(spark, d):
+    rows = spark.createDataFrame([(w,) for w in ("สามารถ", "พันธบัตร", "ยี่ห้อ", "หนึ่งล้านล้าน", "ศูนย์ล้าน", "ร้อยละ 5 (ห้าหมื่น)", "ยี่สิบเอ็ด", "ไม่มี")], "words string")
+    return rows.select("words", thai.number_words(F.col("words")).cast("int").alias("n"))
+
+
+# ---- pages ---------------------------------------------------------------------------------------------------
+
+@_query("""select doc_id, case when n_chars % 50 < 20 then 'image_only' when doc_id % 10 < 3 then 'text' else 'mixed' end as status from documents""")
+def page_classify(spark, d):
+    return _t(spark, d, "documents").select("doc_id", pages.page_status(F.col("n_chars") % 50, (F.col("doc_id") % 10) / 10.0).alias("status"))
+
+
+@_query("""with p as (select source as doc_id, case when n_chars % 50 < 20 then 'image_only' when doc_id % 10 < 3 then 'text' else 'mixed' end as status from documents)
+    select doc_id, count(*) as page_count, count(*) filter (status = 'text') as text_pages, count(*) filter (status = 'mixed') as mixed_pages,
+    count(*) filter (status = 'image_only') as image_only_pages, count(*) filter (status <> 'image_only') / count(*) as usable_ratio from p group by doc_id""")
+def scan_report(spark, d):
+    rows = _t(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), pages.page_status(F.col("n_chars") % 50, (F.col("doc_id") % 10) / 10.0).alias("status"))
+    return pages.summary(rows).drop("image_only_list")
+
+
+@_query("""select p_partkey, least(1.0::double, (greatest(0.0::double, 50.0 - p_partkey % 60)::double * 40.0 + greatest(0.0::double, (p_partkey % 7)::double) * 10.0) / 1000.0) as ratio from part""")
+def image_coverage(spark, d):
+    k = F.col("p_partkey")
+    box = lambda x0, y0, x1, y1: F.struct(*[v.cast("double").alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), (x0, y0, x1, y1), strict=True)])
+    boxes = F.array(box(k % 60, F.lit(0), F.lit(50), F.lit(40)), box(F.lit(0), F.lit(0), k % 7, F.lit(10)))
+    return _t(spark, d, "part").select("p_partkey", pages.image_ratio(boxes, F.lit(1000.0)).alias("ratio"))
+
+
+# ---- derivations and cost ------------------------------------------------------------------------------------
+
+@_query("select o_orderkey, case when o_orderkey % 9 = 0 then null else o_orderkey % 9 * 12.5 end as percent from orders")
+def bond_percent(spark, d):
+    k = F.col("o_orderkey")
+    return _t(spark, d, "orders").select("o_orderkey", derive.bond_percent((k % 9 * 50).cast("double"), F.when(k % 9 != 0, F.lit(400.0)).otherwise(0.0)).alias("percent"))
+
+
+@_query("select o_orderkey, o_orderkey % 4 > 1 as flagged from orders")
+def amount_cross_check(spark, d):
+    n = (F.col("o_orderkey") + 10).cast("bigint")
+    quote = F.concat(n.cast("string"), F.lit(" บาท ("), thai.words_of(n), F.lit("บาทถ้วน)"))
+    leaf = F.struct((n + F.col("o_orderkey") % 4).cast("double").alias("value"), F.struct(F.lit("text_page").alias("kind"), quote.alias("quote"), F.lit(1).alias("page"), F.lit(None).cast("string").alias("ref")).alias("source"))
+    return _t(spark, d, "orders").withColumn("leaf", leaf).select("o_orderkey", derive.amount_flag("ราคากลาง", F.col("leaf")).isNotNull().alias("flagged"))
+
+
+@_query("""select doc_id, origin, count(*) as n from (select doc_id, unnest(['model', 'derived']) as origin from documents where doc_id % 2 = 0 union all select doc_id, 'model' from documents where doc_id % 2 = 1) group by all""")
+def derived_flags_union(spark, d):
+    flag = lambda o: F.struct(F.lit("x").alias("text"), F.lit(o).alias("origin"))
+    both = F.concat(F.array(flag("model")), F.filter(F.array(F.when(F.col("doc_id") % 2 == 0, flag("derived"))), lambda f: f.isNotNull()))
+    return _t(spark, d, "documents").select("doc_id", F.explode(both).alias("f")).groupBy("doc_id", F.col("f.origin").alias("origin")).agg(F.count("*").alias("n"))
+
+
+def _usage(spark, d):
+    k = F.col("o_orderkey")
+    model = F.element_at(F.array(*[F.lit(m) for m in ("claude-opus-5", "claude-haiku-4-5", "claude-sonnet-4-6", "unknown-model")]), (k % 4 + 1).cast("int"))
+    return _t(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), "o_orderkey", F.lit("anthropic").alias("provider"), model.alias("model"), (k % 1000 * 1000).alias("input_tokens"), (k % 100 * 1000).alias("output_tokens"), F.lit(0).alias("cache_write_tokens"), (k % 10 * 10000).alias("cached_read_tokens"))
+
+
+_USAGE = f"""u as (select o_custkey as doc_id, o_orderkey, {MODELS}[o_orderkey % 4 + 1] as model, o_orderkey % 1000 * 1000 as i, o_orderkey % 100 * 1000 as o, o_orderkey % 10 * 10000 as r from orders),
+    p as (select * from (values ('claude-opus-5', 5, 25), ('claude-haiku-4-5', 1, 5), ('claude-sonnet-4-6', 3, 15)) as t(model, pi, po))"""
+
+
+@_query(f"with {_USAGE} select o_orderkey, cast(i * pi + r * pi // 10 + o * po as bigint) as micro_usd from u left join p using (model)")
+def usage_cost(spark, d):
+    return pricing.cost(_usage(spark, d)).select("o_orderkey", F.round(F.col("usd") * 1_000_000).cast("bigint").alias("micro_usd"))
+
+
+@_query(f"""with {_USAGE}, g as (select doc_id, model, sum(i) as i, sum(o) as o, sum(r) as r from u group by all)
+    select doc_id, case when count(*) = 1 then 'anthropic' else 'mixed' end as provider,
+    case when count(*) = 1 then max(model) else string_agg('anthropic/' || model, ', ' order by model) end as model,
+    cast(case when bool_or(pi is null) then null else sum(i * pi + r * pi // 10 + o * po) end as bigint) as micro_usd from g left join p using (model) group by doc_id""")
+def mixed_cost(spark, d):
+    return pricing.mixed_cost(pricing.cost(pricing.usage_by_pair(_usage(spark, d)))).select("doc_id", "provider", "model", F.round(F.col("usd") * 1_000_000).cast("bigint").alias("micro_usd"))
+
+
+@_query("select o_orderkey, case when o_orderkey % 4 = 3 then 'unknown' else '2026-09-02' end as pricing_as_of, case when o_orderkey % 4 = 3 then 0.0 else 36.5 end::double as usd_thb_rate from orders")
+def unknown_cost_default(spark, d):
+    return pricing.with_default(pricing.cost(_usage(spark, d))).select("o_orderkey", "pricing_as_of", "usd_thb_rate")
+
+
+@_query("""select user_id, count(*) * 10 as input_tokens, cast(sum(5 + case when event_id % 2 = 0 then 7 else 0 end) as bigint) as output_tokens from events group by user_id""")
+def usage_mapping(spark, d):
+    even = F.col("event_id") % 2 == 0
+    raw = F.when(even, F.create_map(F.lit("prompt_token_count"), F.lit(10), F.lit("candidates_token_count"), F.lit(5), F.lit("thoughts_token_count"), F.lit(7))).otherwise(F.create_map(F.lit("input_tokens"), F.lit(10), F.lit("output_tokens"), F.lit(5)))
+    rows = _t(spark, d, "events").select("user_id", extraction.usage(F.when(even, "gemini").otherwise("anthropic"), raw).alias("u"))
+    return rows.groupBy("user_id").agg(F.sum("u.input_tokens").alias("input_tokens"), F.sum("u.output_tokens").alias("output_tokens"))
+
+
+# ---- citations and facts -------------------------------------------------------------------------------------
+
+@_query("""select p_partkey, 'Sheet!' || (p_partkey % 5) as sheet, chr(cast(65 + p_partkey % 26 as int)) || p_partkey as cell from part""")
+def parse_cell_ref(spark, d):
+    ref = F.concat(F.lit("Sheet!"), (F.col("p_partkey") % 5).cast("string"), F.lit("!"), F.chr(65 + F.col("p_partkey") % 26), F.col("p_partkey").cast("string"))
+    return _t(spark, d, "part").select("p_partkey", X.cell_sheet(ref).alias("sheet"), X.cell_ref(ref).alias("cell"))
+
+
+def _sources(spark, d):
+    k = F.col("p_partkey")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("text_page", "vision_page", "paragraph", "table_cell_docx", "cell_xlsx")]), (k % 5 + 1).cast("int"))
+    page = F.when(k % 5 < 2, (k % 40).cast("int"))
+    ref = F.when(k % 5 == 2, F.concat(F.lit("para:"), k.cast("string"))).when(k % 5 == 3, F.concat(F.lit("t1:r"), k.cast("string"), F.lit(":c2"))).when(k % 5 == 4, F.concat(F.lit("S1!B"), k.cast("string")))
+    return _t(spark, d, "part").select("p_partkey", kind.alias("kind"), page.alias("page"), ref.alias("ref"), F.lit("q").alias("quote"))
+
+
+@_query("""select p_partkey, case p_partkey % 5 when 0 then 'หน้า ' || (p_partkey % 40) when 1 then 'หน้า ' || (p_partkey % 40) || ' (อ่านจากภาพสแกน)' when 2 then 'ย่อหน้าที่ ' || p_partkey
+    when 3 then 'ตารางที่ 1 แถว ' || p_partkey || ' คอลัมน์ 2' else 'S1!B' || p_partkey end as exported,
+    case p_partkey % 5 when 1 then 'หน้า ' || (p_partkey % 40) || ' (ภาพสแกน)' when 0 then 'หน้า ' || (p_partkey % 40) when 2 then 'ย่อหน้าที่ ' || p_partkey
+    when 3 then 'ตารางที่ 1 แถว ' || p_partkey || ' คอลัมน์ 2' else 'S1!B' || p_partkey end as viewed, p_partkey % 5 < 2 as is_page, p_partkey % 5 = 1 as is_vision from part""")
+def locator_format(spark, d):
+    k, p, r = F.col("kind"), F.col("page"), F.col("ref")
+    return _sources(spark, d).select("p_partkey", X.locator(k, p, r).alias("exported"), X.locator(k, p, r, viewer=True).alias("viewed"), X.is_page(k).alias("is_page"), X.is_vision(k).alias("is_vision"))
+
+
+@_query("""select p_partkey, case when p_partkey % 7 = 0 then 'kind_unknown' when p_partkey % 5 < 2 and p_partkey % 6 = 1 then 'ref_on_page'
+    when p_partkey % 5 >= 2 and p_partkey % 6 = 1 then 'ref_malformed' when p_partkey % 5 < 2 and p_partkey % 6 = 2 then 'page_missing'
+    when p_partkey % 5 >= 2 and p_partkey % 6 = 2 then 'ref_missing' when p_partkey % 5 >= 2 and p_partkey % 6 = 3 then 'page_on_ref' end as code from part""")
+def source_validate(spark, d):
+    k = F.col("p_partkey")
+    s = _sources(spark, d).withColumns({
+        "kind": F.when(k % 7 == 0, "other").otherwise(F.col("kind")),
+        "ref": F.when(k % 6 == 1, "no such place").when((k % 6 != 2) | (k % 5 < 2), F.col("ref")),
+        "page": F.when((k % 6 == 3) & (k % 5 >= 2), 9).when(~((k % 6 == 2) & (k % 5 < 2)), F.col("page")),
+    })
+    return s.select("p_partkey", validate.source_error(F.struct("kind", "quote", "page", "ref")).alias("code"))
+
+
+@_query("""select p_partkey, case when p_partkey % 5 = 0 then 'confidence' when p_partkey % 4 = 1 then 'reason_missing' when p_partkey % 4 = 2 then 'source_missing' end as code from part""")
+def sourced_validate(spark, d):
+    k = F.col("p_partkey")
+    good = F.struct(F.lit("text_page").alias("kind"), F.lit("").alias("quote"), F.lit(0).alias("page"), F.lit(None).cast("string").alias("ref"))
+    leaf = F.struct(F.when(~(k % 4).isin(0, 1), k).alias("value"), F.when(k % 4 != 2, good).alias("source"), F.when(k % 5 != 0, "high").alias("confidence"), F.when(k % 4 == 0, "not told").otherwise("").alias("reason"))
+    return _t(spark, d, "part").withColumn("leaf", leaf).select("p_partkey", validate.sourced_error(F.col("leaf")).alias("code"))
+
+
+def _extracted(spark, d):
+    """Customers and their orders as nested documents."""
+    from citeframe import schema as S
+
+    o = _t(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", F.year("o_orderdate").alias("y"), F.col("o_orderpriority").alias("p")))).alias("orders"))
+    c = _t(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"))
+    none = F.lit(None).cast("string")
+
+    def leaf(v, t, null=None):
+        src = F.struct(F.lit("paragraph").alias("kind"), F.lit("q").alias("quote"), F.lit(None).cast("int").alias("page"), F.lit("para:1").alias("ref"))
+        gone = F.lit(False) if null is None else null
+        return F.struct((F.lit(None).cast(t) if v is none else F.when(~gone, v.cast(t))).alias("value"), F.when(~gone, src).alias("source"), F.lit("high").alias("confidence"), F.when(gone, F.lit("not in text")).alias("reason"))
+
+    gone = F.lit(True)
+    bond = lambda n: F.struct(leaf(F.col("c_custkey") * n, "double", F.col("c_custkey") % 3 == 0).alias("amount"), leaf(none, "double", gone).alias("percent_stated"), leaf(F.array(F.lit("cash"), F.lit("bank's")), "array<string>").alias("accepted_forms"))
+    fields = {f.name: leaf(none, f.dataType["value"].dataType.simpleString(), gone) for f in S.GROUPS["basic_info"].fields}
+    fields |= {"project_name": leaf(F.col("c_name"), "string"), "budget_amount": leaf(F.col("c_custkey") * 8, "double")}
+    fields |= {"key_dates": F.transform("orders", lambda x: F.struct(leaf(F.lit("ประกาศผล"), "string").alias("type"), leaf(F.concat((x["y"] + 543).cast("string"), F.lit("-01-02")), "string").alias("date_be"), leaf(none, "string", gone).alias("time"), leaf(none, "string", gone).alias("location")))}
+    fields |= {b: bond(n) for b, n in zip(S.BONDS, (1, 2, 4), strict=True)}
+    fields |= {"qualifications": F.array().cast(f"array<{S.QUALIFICATION.simpleString()}>")}
+    fields |= {"deliverables": F.transform("orders", lambda x: F.struct(leaf(x["p"], "string").alias("phase"), leaf(none, "string", gone).alias("description"), leaf(x["o_orderkey"], "int").alias("days_from_signing"), leaf(none, "double", gone).alias("payment_percent")))}
+    misc = S.GROUPS["misc"]
+    for name in ("penalty", "evaluation_criteria", "contact"):
+        fields[name] = F.struct(*[leaf(none, f.dataType["value"].dataType.simpleString(), gone).alias(f.name) for f in misc[name].dataType.fields])
+    fields |= {"required_documents": F.array(leaf(F.lit("form"), "string")), "risk_flags": F.array().cast(f"array<{S.RISK_FLAG.simpleString()}>")}
+    return c.select(F.col("c_custkey").alias("doc_id"), *[v.alias(k) for k, v in fields.items()])
+
+
+@_query("""with o as (select o_custkey as doc_id, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as idx, year(o_orderdate) as y, o_orderpriority as p from orders),
+    c as (select c_custkey as doc_id, c_name from customer where c_custkey in (select o_custkey from orders))
+    select doc_id, 'basic_info' as section, null::int as idx, 'project_name' as field, c_name as v from c
+    union all select doc_id, 'basic_info', null, 'budget_amount', cast(doc_id * 8 as varchar) from c
+    union all select doc_id, 'key_dates', idx, 'date_be', (y + 543) || '-01-02' from o union all select doc_id, 'key_dates', idx, 'date_ce', y || '-01-02' from o
+    union all select doc_id, 'key_dates', idx, 'type', 'ประกาศผล' from o
+    union all select doc_id, b, null, 'amount', cast(doc_id * n as varchar) from c, (values ('bid_bond', 1), ('contract_bond', 2), ('warranty_bond', 4)) as t(b, n) where doc_id % 3 <> 0
+    union all select doc_id, b, null, 'percent_of_budget_calculated', cast(n as varchar) from c, (values ('bid_bond', '12.5'), ('contract_bond', '25'), ('warranty_bond', '50')) as t(b, n) where doc_id % 3 <> 0
+    union all select doc_id, b, null, 'accepted_forms', '[''cash'', "bank''s"]' from c, (values ('bid_bond'), ('contract_bond'), ('warranty_bond')) as t(b)
+    union all select doc_id, 'deliverables', idx, 'phase', p from o union all select doc_id, 'deliverables', idx, 'days_from_signing', cast(o_orderkey as varchar) from o
+    union all select doc_id, 'required_documents', 0, 'document', 'form' from c""")
+def flatten_facts(spark, d):
+    rows = facts.flatten(derive.assemble(_extracted(spark, d)))
+    value = F.coalesce("v_str", X.list_text(F.col("v_arr")), X.number_text(F.col("v_num")))
+    return rows.select("doc_id", "section", "idx", "field", value.alias("v")).filter("v is not null")
+
+
+@_query("""with n as (select c_custkey as doc_id, (select count(*) from orders where o_custkey = c_custkey) as k from customer)
+    select doc_id, cast(29 + 5 * k + 4 * k + 1 as bigint) as n_rows, cast(3 as bigint) as lists from n where k > 0""")
+def facts_csv_rows(spark, d):
+    rows = facts.csv_rows(facts.flatten(derive.assemble(_extracted(spark, d))))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("value").startswith("[")).alias("lists"))
+
+
+def _cited(spark, d):
+    b = blocks.paragraphs(_t(spark, d, "documents"))
+    f = b.select("doc_id", "seq", F.when(F.col("seq") % 5 == 0, F.concat(F.lit("para:"), (F.col("seq") + 100000).cast("string"))).otherwise(F.col("ref")).alias("ref"), F.when(F.col("seq") % 3 == 0, F.lit("\u0001")).otherwise(F.substring("text", 1, 10)).alias("quote"))
+    return f, b
+
+
+@_query("""with b as (select source, doc_id, row_number() over (partition by doc_id order by pos) as seq from (select source, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents) where trim(line) <> '')
+    select source, count(*) as citations, count(*) filter (seq % 5 <> 0) as resolved, count(*) filter (seq % 5 <> 0 and seq % 3 <> 0) as quoted from b group by source""")
+def citation_resolves(spark, d):
+    f, b = _cited(spark, d)
+    by = _t(spark, d, "documents").select("doc_id", "source")
+    return facts.resolve(f, b).join(by, "doc_id").groupBy("source").agg(F.count("*").alias("citations"), F.count_if("resolved").alias("resolved"), F.count_if("quoted").alias("quoted"))
+
+
+@_query("""select 'S' || (p_partkey % 3) as sheet, count(*) as cells, count(*) filter (p_partkey % 2 = 0) as found from part group by 1""")
+def cell_resolves(spark, d):
+    cells = _cells(spark, d).filter("col = 'A'")
+    key = F.col("value").cast("bigint")
+    cited = cells.select(F.concat("sheet", F.lit("!"), F.when(key % 2 == 0, F.col("ref")).otherwise(F.lit("ZZ1"))).alias("full")).select(X.cell_sheet(F.col("full")).alias("sheet"), X.cell_ref(F.col("full")).alias("ref"))
+    there = cells.select("sheet", "ref", F.lit(True).alias("there"))
+    return cited.join(there, ["sheet", "ref"], "left").groupBy("sheet").agg(F.count("*").alias("cells"), F.count_if(F.coalesce("there", F.lit(False))).alias("found"))
+
+
+@_query("""select p_brand as doc_id, p_partkey as seq_a, p_partkey as seq_b from part where p_partkey % 6 <> 0""")
+def same_source(spark, d):
+    rows = _sources(spark, d).join(_t(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey").select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("seq"), F.when(F.col("p_partkey") % 6 != 0, F.col("kind")).alias("kind"), "page", "ref", F.col("p_partkey").cast("string").alias("quote"))
+    return facts.same_source(rows, rows).select("doc_id", "seq_a", "seq_b")
+
+
+@_query("""select item_id, cast(length(text) > 60 as boolean) as long_item, true as hit from benchmark""")
+def quote_highlight(spark, d):
+    quote = F.concat(F.lit("a  "), F.replace("text", F.lit(" "), F.lit("  ")), F.lit(" z"))
+    return _t(spark, d, "benchmark").select("item_id", (F.length("text") > 60).alias("long_item"), X.highlights(quote, F.col("text")).alias("hit"))
+
+
+# ---- extraction ----------------------------------------------------------------------------------------------
+
+@_query("""select * from (values ('TOR_GROUP_BONDS', 'bonds', 'gemini', 'g:1'), ('TOR_GROUP_MISC', 'misc', 'openai', 'o')) as t(key, name, provider, model)""")
+def override_parse(spark, d):
+    env = spark.createDataFrame([("TOR_GROUP_BONDS", "gemini:g:1"), ("TOR_GROUP_MISC", "openai:o"), ("TOR_GROUP_X", "openai:"), ("TOR_GROUP_Y", ":m"), ("OTHER", "a:b")], "key string, value string")
+    return extraction.parse_overrides(env).select(F.concat(F.lit("TOR_GROUP_"), F.upper("name")).alias("key"), "name", "provider", "model")
+
+
+def _overrides(spark):
+    return spark.createDataFrame([("bonds", "openai_compat", "local"), ("misc", "gemini", "g")], "name string, provider string, model string")
+
+
+@_query("""select * from (values ('basic_info', 'anthropic', 'm'), ('key_dates', 'anthropic', 'm'), ('bonds', 'openai_compat', 'local'), ('qualifications', 'anthropic', 'm'), ('deliverables', 'anthropic', 'm'), ('misc', 'gemini', 'g')) as t(name, provider, model)""")
+def resolve_groups(spark, d):
+    return extraction.resolve(extraction.groups(spark), _overrides(spark), "anthropic", "m").select("name", "provider", "model")
+
+
+@_query("""select doc_id, 'bonds' as "group" from documents where doc_id % 4 = 0""")
+def vision_gate(spark, d):
+    resolved = extraction.resolve(extraction.groups(spark), _overrides(spark), "anthropic", "m")
+    docs = _t(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, 2).otherwise(0).alias("n_images"))
+    return extraction.vision_gate(docs, resolved, extraction.providers(spark))
+
+
+@_query("select 'bonds' as name, 'nobody' as provider")
+def capability_gate(spark, d):
+    o = spark.createDataFrame([("bonds", "nobody", "x")], "name string, provider string, model string")
+    return extraction.capability_gate(extraction.resolve(extraction.groups(spark), o, "anthropic", "m"), extraction.providers(spark)).select("name", "provider")
+
+
+def _responses(spark, d):
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    error = F.when((k + n) % 5 == 0, "validation").when((k + n) % 7 == 0, "auth")
+    return _t(spark, d, "lineitem").select(k.alias("doc_id"), F.lit("g").alias("name"), n.alias("attempt"), error.alias("error"), F.lit(10).alias("duration_ms"))
+
+
+@_query("""with r as (select l_orderkey as doc_id, l_linenumber as attempt, case when (l_orderkey + l_linenumber) % 5 = 0 then 'validation' when (l_orderkey + l_linenumber) % 7 = 0 then 'auth' end as error,
+      row_number() over (partition by l_orderkey order by l_linenumber) as n from lineitem),
+    s as (select *, coalesce(max(case when error = 'auth' then 1 else 0 end) over (partition by doc_id order by attempt rows between unbounded preceding and 1 preceding), 0) as stop from r)
+    select doc_id, cast(min(attempt) as bigint) as attempt from s where n <= 2 and stop = 0 and error is null group by doc_id""")
+def retry_select(spark, d):
+    return extraction.select_attempts(_responses(spark, d)).select("doc_id", F.col("attempt").cast("bigint").alias("attempt"))
+
+
+@_query("""select o_custkey as doc_id, count(*) * 10 as duration_ms from orders group by o_custkey having count(distinct o_orderpriority) = 5""")
+def all_or_nothing(spark, d):
+    rows = _t(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("name"), F.lit(10).alias("duration_ms"))
+    return extraction.complete(rows, 5)
+
+
+@_query("""select o_custkey as doc_id, o_orderpriority as key, arg_max(o_orderstatus || o_orderkey, o_orderkey) as value from orders group by all""")
+def group_merge(spark, d):
+    return extraction.merge_keys(_t(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("ordinal"), F.col("o_orderpriority").alias("key"), F.concat("o_orderstatus", F.col("o_orderkey").cast("string")).alias("value")))
+
+
+@_query("""select event_id, case event_id % 7 when 0 then 504 when 1 then 502 when 2 then 500 when 3 then 429 when 4 then 502 when 5 then 502 end as status from events""")
+def error_status(spark, d):
+    names = F.array(*[F.lit(x) for x in ("timeout", "validation", "auth", "rate_limit", "unsupported", "api", "none")])
+    return _t(spark, d, "events").select("event_id", extraction.error_status(F.element_at(names, (F.col("event_id") % 7 + 1).cast("int"))).alias("status"))
+
+
+@_query("select doc_id, cast(case when doc_id % 3 = 0 then 3 else 4 end as int) as n, cast(3 - case when doc_id % 3 = 0 then 1 else 0 end as int) as cacheable from documents")
+def prompt_assembly(spark, d):
+    b = extraction.prompt_blocks(F.lit("rules"), F.when(F.col("doc_id") % 3 == 0, "").otherwise("kind"), F.col("text"), F.lit("do"), F.lit("error"))
+    return _t(spark, d, "documents").filter("text <> ''").withColumn("b", b).select("doc_id", F.size("b").alias("n"), F.size(F.filter("b", lambda x: x["cacheable"])).alias("cacheable"))
+
+
+# ---- scoring -------------------------------------------------------------------------------------------------
+
+def _leaves(spark, d):
+    k = F.col("o_orderkey")
+    e = F.when(k % 5 != 0, F.concat(F.lit(" a  b "), F.col("o_orderpriority")))
+    a = F.when(k % 7 != 0, F.when(k % 3 == 0, F.lit("other")).when(k % 3 == 1, F.concat(F.lit("a b "), F.col("o_orderpriority"), F.lit(" and more"))).otherwise(F.concat(F.lit("a b "), F.col("o_orderpriority"))))
+    return _t(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("path"), X.verdict(e, a).alias("verdict"))
+
+
+_VERDICT = """v as (select o_orderkey, o_custkey, o_orderpriority as path, case when o_orderkey % 35 = 0 then 'exact' when o_orderkey % 5 = 0 then 'hallucinated' when o_orderkey % 7 = 0 then 'missed'
+    when o_orderkey % 3 = 0 then 'wrong' else 'exact' end as verdict from orders)"""
+_TALLY = ", ".join(f"cast(count(*) filter (verdict = '{v}') as bigint) as {v}" for v in score.VERDICTS)
+
+
+@_query(f"with {_VERDICT} select o_orderkey, verdict from v")
+def leaf_verdict(spark, d):
+    return _leaves(spark, d).select("o_orderkey", "verdict")
+
+
+@_query(f"with {_VERDICT} select o_custkey, path, {_TALLY} from v group by all")
+def score_tally(spark, d):
+    return score.tally(_leaves(spark, d), "o_custkey", "path")
+
+
+@_query(f"with {_VERDICT} select path, {_TALLY} from v group by all")
+def tally_merge(spark, d):
+    return score.merge(score.tally(_leaves(spark, d), "o_custkey", "path"), "path")
+
+
+@_query(f"with {_VERDICT}, t as (select path, {_TALLY} from v group by all) select *, wrong + missed + hallucinated as bad from t order by bad desc, path desc")
+def worst_first(spark, d):
+    return score.worst_first(score.tally(_leaves(spark, d), "path"))
+
+
+@_query(f"with {_VERDICT} select {_TALLY} from v")
+def grand_total(spark, d):
+    return score.merge(score.tally(_leaves(spark, d), "path"))
+
+
+@_query("""with t as (select item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as s from benchmark), p as (select a.item_id as i, b.item_id as j, a.s as x, b.s as y from t a join t b on b.item_id = a.item_id + 1),
+    g as (select *, list_distinct(list_transform(range(1, length(x)), lambda k: substring(x, k, 2))) as u, list_distinct(list_transform(range(1, length(y)), lambda k: substring(y, k, 2))) as w from p)
+    select i, j, case when contains(x, y) or contains(y, x) then 1.0 else len(list_intersect(u, w))::double / (len(u) + len(w) - len(list_intersect(u, w))) end as sim from g""")
+def bigram_similarity(spark, d):
+    b = _t(spark, d, "benchmark")
+    other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next"))
+    return b.join(other, "item_id").select(F.col("item_id").alias("i"), (F.col("item_id") + 1).alias("j"), X.similarity(F.col("text"), F.col("next")).alias("sim"))
+
+
+def _lists(spark, d):
+    c = _t(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.substring("text", 1, 40).alias("text")))).alias("t"))
+    return c.select(F.col("conv_id").alias("doc_id"), F.lit("turns").alias("path"), F.col("t.text").alias("expected"), F.reverse(F.filter("t.text", lambda x, i: i % 3 != 1)).alias("actual"))
+
+
+@_query(None)
+def greedy_match(spark, d):
+    return _lists(spark, d).select("doc_id", F.posexplode(score.greedy_match(F.col("expected"), F.col("actual"))).alias("n", "p")).select("doc_id", "n", "p.i", "p.j")
+
+
+@_query(None)
+def list_mismatch_report(spark, d):
+    return score.list_report(_lists(spark, d))
+
+
+@_query(None)
+def score_lists(spark, d):
+    c = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit("turns").alias("path"), F.col("turn").alias("idx"), F.substring("text", 1, 40).alias("text"), F.create_map(F.lit("role"), F.col("role"), F.lit("text"), F.substring("text", 1, 40)).alias("leaves"))
+    return score.tally(score.score_lists(c, c.filter("idx % 3 <> 1")), "path")
+
+
+@_query(f"""with {_VERDICT}, t as (select o_custkey % 2 as m, {_TALLY} from v group by 1),
+    c as (select c_custkey % 2 as m, string_agg(c_custkey::varchar, ', ' order by c_custkey::varchar) filter (c_custkey % 50 = 0) as crashed from customer group by 1)
+    select 'anthropic' as provider, case when c.m = 0 then 'a' else 'b' end as model, coalesce(crashed, 'none') as crashed, 'unknown' as cost, {", ".join(score.VERDICTS)} from c left join t using (m)""")
+def provider_comparison(spark, d):
+    model = lambda c: F.when(F.col(c) % 2 == 0, "a").otherwise("b")
+    tallies = score.tally(_leaves(spark, d).withColumns({"provider": F.lit("anthropic"), "model": model("o_custkey")}), "provider", "model")
+    runs = _t(spark, d, "customer").select(F.lit("anthropic").alias("provider"), model("c_custkey").alias("model"), F.col("c_custkey").alias("doc_id"), (F.col("c_custkey") % 50 == 0).alias("crashed"), F.when(F.col("c_custkey") % 3 != 0, 0.25).alias("usd"))
+    return score.provider_summary(tallies, runs)
+
+
+@_query("select conv_id, cast(count(*) as int) as expected, cast(count(*) filter (role = 'user') as int) as actual from conversations group by conv_id")
+def risk_flag_counts(spark, d):
+    rows = _t(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("role").alias("r"))
+    return rows.select("conv_id", F.size("r").alias("expected"), F.size(F.filter("r", lambda x: x == "user")).alias("actual"))
+
+
+@_query("""select page_id, replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as escaped, 'f' || page_id as stem from pages""")
+def viewer_text(spark, d):
+    return _t(spark, d, "pages").select("page_id", X.html_escape(F.col("url")).alias("escaped"), X.strip_extension(F.concat(F.lit("f"), F.col("page_id").cast("string"), F.lit(".PDF"))).alias("stem"))

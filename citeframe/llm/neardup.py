@@ -31,6 +31,8 @@ from citeframe.llm.common import arrow_pass, settle
 
 SHINGLE = 5
 SIGNATURE = 64
+#: So many edges, 16 bytes each, are connected in one task at most.
+LOCAL_EDGES = 500_000
 _A = np.random.default_rng(31).integers(0, 2**63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -167,11 +169,40 @@ def compare(blocks: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return blocks.join(texts, "rid").groupBy("block").applyInPandas(work, f"a {kind}, b {kind}")
 
 
-def components(edges: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """(rid, comp): the smallest id reachable over the edges (a, b), and over what `before` (rid, comp) connects."""
+def _together(frames):
+    """Components of all edges of the one task that gets them."""
+    got = [f for f in frames if len(f)]
+    if not got:
+        return
+    edges = pd.concat(got)
+    ids, code = np.unique(np.concatenate([edges["a"].to_numpy(), edges["b"].to_numpy()]), return_inverse=True)
+    a, b = code[: len(edges)], code[len(edges) :]
+    label = np.arange(len(ids))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        np.minimum.at(new, label[a], label[b])  # the roots follow
+        np.minimum.at(new, label[b], label[a])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pd.DataFrame({"rid": ids, "comp": ids[label]})
+
+
+def components(edges: DataFrame, before: DataFrame | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(rid, comp): the smallest id reachable over the edges (a, b), and over what `before` (rid, comp) connects.
+
+    Up to `local_edges` edges, which are counted first and take a few MB, one task does it in memory; more are
+    propagated over the cluster.  Both give the same components.
+    """
     both = edges.select("a", "b")
     if before is not None:
         both = both.unionByName(before.filter(F.col("rid") != F.col("comp")).select(F.col("rid").alias("a"), F.col("comp").alias("b")))
+    kind = dict(edges.dtypes)["a"]
+    if both.count() <= local_edges:
+        return settle(both.coalesce(1).mapInPandas(_together, f"rid {kind}, comp {kind}"))
     both = settle(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter(F.col("a") != F.col("b")).distinct())
     label = both.groupBy(F.col("a").alias("rid")).agg(F.least(F.min("b"), F.col("rid")).alias("comp"))
     label = settle(label)
@@ -225,7 +256,7 @@ def _exact(alive: DataFrame, leaf: int) -> DataFrame:
     return first.unionByName(second)
 
 
-def cluster(docs: DataFrame, *, k: int = SHINGLE, percent: int = 85, depth: int = 4, leaf: int = 400, deepest: int = 12, rounds: tuple[int, ...] = (2, 10)) -> DataFrame:
+def cluster(docs: DataFrame, *, k: int = SHINGLE, percent: int = 85, depth: int = 4, leaf: int = 400, deepest: int = 12, rounds: tuple[int, ...] = (2, 10), local_edges: int = LOCAL_EDGES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     Null, empty and wordless texts have an empty set, which is linked with nothing.  Equal rows get equal results;
@@ -254,10 +285,10 @@ def cluster(docs: DataFrame, *, k: int = SHINGLE, percent: int = 85, depth: int
         now = nodes.filter((F.col("tree") >= at) & (F.col("tree") < at + trees))
         at += trees
         links = settle(compare(_star(_alive(now, comp), leaf), texts, k, percent))
-        comp = components(links, comp)
+        comp = components(links, comp, local_edges)
         large = _alive(now.filter(F.col("c") > leaf), comp)
         if large.limit(1).count():
-            comp = components(settle(compare(_exact(large, leaf), texts, k, percent)), comp)
+            comp = components(settle(compare(_exact(large, leaf), texts, k, percent)), comp, local_edges)
     of = rows.join(classes.select("n", "s1", "s2", "rid"), ["n", "s1", "s2"], "left").join(comp, "rid", "left")
     component = F.coalesce("comp", "rid", "doc_id")
     return of.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

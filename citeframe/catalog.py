@@ -186,7 +186,7 @@ def image_coverage(spark, d):
 
 # ---- derivations and cost ------------------------------------------------------------------------------------
 
-@_query("select o_orderkey, case when o_orderkey % 9 = 0 then null else o_orderkey % 9 * 12.5 end as percent from orders")
+@_query("select o_orderkey, case when o_orderkey % 9 = 0 then null else o_orderkey % 9 * 12.5::double end as percent from orders")
 def bond_percent(spark, d):
     k = F.col("o_orderkey")
     return _t(spark, d, "orders").select("o_orderkey", derive.bond_percent((k % 9 * 50).cast("double"), F.when(k % 9 != 0, F.lit(400.0)).otherwise(0.0)).alias("percent"))

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 REF_FORMATS = {"paragraph": r"(?U)^para:\d+$", "table_cell_docx": r"(?U)^t\d+:r\d+:c\d+$", "cell_xlsx": r"(?U)^.+![A-Z]+\d+$"}
 PAGE_KINDS = ("text_page", "vision_page")
 MATCH_THRESHOLD = 0.3
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u2003\u3000"
+
+
+def strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(WHITE))
 
 
 def squeeze(text: Column) -> Column:
@@ -109,7 +114,7 @@ def strip_extension(name: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """Comma-separated values, trimmed, without blanks."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, ","), lambda s: strip(s)), lambda s: s != "")
 
 
 def override_part(text: Column, k: int) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeframe.functions.text import strip
+
 MAX_BLOCKS = 3_000
 MAX_CELLS = 5_000
 MAX_VISION_PAGES = 20
@@ -17,7 +19,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
     Lines are split and numbered within the row, so a document's blocks cost no shuffle.
     """
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda s: strip(s)), lambda s: s != "")
     rows = docs.select("doc_id", F.posexplode(lines).alias("pos", "text"))
     seq = F.col("pos") + 1
     return rows.select("doc_id", seq.alias("seq"), F.lit("paragraph").alias("kind"), F.concat(F.lit("para:"), seq.cast("string")).alias("ref"), "text")

@@ -105,7 +105,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256)
     top = base.select("dim", "data").mapInArrow(peak, "m double").agg(F.max("m")).first()[0]
     if top is None:
         return base.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    edge = int(top) + 1
+    edge = min(int(top) + 1, 1 << 61)
     # of each query: the range [lo, hi) that holds its k-th value, and how many scores lie above it
     state = settle(packed.select("qb", "ids").mapInArrow(_spread, "qb struct<dim:int,no:int>, q bigint").select("qb", "q", F.lit(-edge).cast("bigint").alias("lo"), F.lit(edge + 1).cast("bigint").alias("hi"), F.lit(0).cast("bigint").alias("above")))
     width = 2 * edge + 1
@@ -120,9 +120,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256)
             F.first("qb").alias("qb"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
             F.first("above").alias("above"), F.collect_list(F.struct("bin", "n")).alias("all"),
         )
-        new_lo = F.col("lo") + F.col("at") * step
+        new_lo = F.col("lo") + F.col("at") * F.lit(step).cast("bigint")
         more = F.aggregate("all", F.lit(0).cast("bigint"), lambda s, x: s + F.when(x["bin"] > F.col("at"), x["n"]).otherwise(0))
-        state = settle(kth.select("qb", "q", new_lo.alias("lo"), F.least("hi", new_lo + step).alias("hi"), (F.col("above") + more).alias("above")))
+        state = settle(kth.select("qb", "q", new_lo.alias("lo"), F.least("hi", new_lo + F.lit(step).cast("bigint")).alias("hi"), (F.col("above") + more).alias("above")))
         width = step
     found = _joined(met, state).mapInPandas(_keeper(k), "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

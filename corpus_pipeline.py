@@ -34,9 +34,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document of the smallest doc_id of each group of near copies stays, and once only."""
     kept = neardup.cluster(docs).filter("kept").select(F.col("doc_id").alias("__id"))
     some = kept.groupBy("__id").agg(F.count("*").alias("n"))
-    out = docs.join(some, F.col("doc_id").eqNullSafe(F.col("__id")))
-    twice = out.filter(F.col("n") > 1).dropDuplicates(["doc_id", "text"])
-    return out.filter(F.col("n") == 1).unionByName(twice).select(*[docs[f"`{c}`"] for c in docs.columns])
+    rows = _row(docs).withColumn("id", F.col("__row.doc_id"))
+    out = rows.join(some, F.col("id").eqNullSafe(F.col("__id")))
+    once = out.filter(F.col("n") > 1).dropDuplicates(["id", "text"])
+    return out.filter(F.col("n") == 1).unionByName(once).select("__row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

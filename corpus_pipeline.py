@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeframe.llm import bpe, decontam, langid, neardup, secretscan
-from citeframe.llm.common import read
+from citeframe.llm.common import read, settle
 from citeframe.llm.queries import coded, language_model
 
 #: No SQL expresses the trained and hashed stages.
@@ -33,10 +33,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of near copies stays, and once only."""
     kept = neardup.cluster(docs).filter("kept").select(F.col("doc_id").alias("__id"))
-    some = kept.groupBy("__id").agg(F.count("*").alias("n"))
-    rows = _row(docs).withColumn("id", F.col("__row.doc_id"))
-    out = rows.join(some, F.col("id").eqNullSafe(F.col("__id")))
-    once = out.filter(F.col("n") > 1).dropDuplicates(["id", "text"])
+    some = settle(kept.groupBy("__id").agg(F.count("*").alias("n")))
+    out = _row(docs).select("__row", F.col("__row.doc_id").alias("id")).join(some, F.col("id").eqNullSafe(F.col("__id")))
+    if some.filter("n > 1").limit(1).count() == 0:  # the usual case needs no second pass over the texts
+        return out.select("__row.*")
+    once = out.filter(F.col("n") > 1).withColumn("t", F.col("__row.text")).dropDuplicates(["id", "t"]).drop("t")
     return out.filter(F.col("n") == 1).unionByName(once).select("__row.*")
 
 

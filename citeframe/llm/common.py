@@ -13,6 +13,10 @@ from pyspark.sql.types import StructType
 from citeframe.llm import kernel
 from citeframe.shipping import ship
 
+#: Slots of an id filter: 8 MB as bits, whatever the number of ids.
+FILTER_SLOTS = 1 << 26
+_PAGE = 1 << 15  # slots of one row of a filter
+
 
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the folder that spark.checkpoint.dir names.
@@ -47,6 +51,29 @@ def dealt(key: Column | str, parts: int) -> Column:
     return F.pmod(F.crc32(text.cast("binary")), F.lit(parts))
 
 
+def _place(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(5)), F.lit(FILTER_SLOTS))
+
+
+def id_filter(ids: DataFrame, column: str) -> DataFrame:
+    """The hashed ids (null is an id too) as bits: a table of FILTER_SLOTS bits at most, cut off from its lineage."""
+    at = ids.select(_place(F.col(column)).alias("__at")).withColumn("__page", F.floor(F.col("__at") / _PAGE)).repartition("__page")
+    return settle(at.groupBy("__page").agg(F.bitmap_construct_agg(F.pmod("__at", F.lit(_PAGE))).alias("__bits")))
+
+
+def split_by(df: DataFrame, key: Column, known: DataFrame) -> DataFrame:
+    """df and __maybe: false where the key is surely none of the ids of `known`, true for all of these and a few others.
+
+    The filter is broadcast, its size being fixed.  The more ids it holds, the more rows come out true, so what
+    follows must look at those exactly.
+    """
+    at = F.pmod("__at", F.lit(_PAGE)).cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    on = F.coalesce(F.call_function("getbit", byte, at % 8) == 1, F.lit(False))
+    have = df.withColumn("__at", _place(key)).withColumn("__page", F.floor(F.col("__at") / _PAGE))
+    return have.join(F.broadcast(known), "__page", "left").withColumn("__maybe", on).drop("__at", "__page", "__bits")
+
+
 def grown(df: DataFrame, columns: list[str], extra: str) -> StructType:
     """The schema of some columns of df, followed by the fields of a DDL string."""
     return StructType([*[df.schema[c] for c in columns], *StructType.fromDDL(extra).fields])

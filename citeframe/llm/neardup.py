@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeframe.llm import kernel
-from citeframe.llm.common import arrow_pass, settle
+from citeframe.llm.common import arrow_pass, id_filter, settle, split_by
 
 SHINGLE = 5
 SIGNATURE = 64
@@ -158,8 +158,10 @@ def _links(ids: np.ndarray, comp: np.ndarray, side: np.ndarray, texts: list, k:
 
 
 def compare(blocks: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) within blocks (block, rid, comp, side); texts: rid, text."""
+    """Links (a, b) within blocks (block, rid, comp, side); texts: rid, text.  Only texts that a block needs are shuffled."""
     kind = dict(blocks.dtypes)["rid"]
+    blocks = settle(blocks)
+    texts = split_by(texts, F.col("rid"), id_filter(blocks.select("rid").distinct(), "rid")).filter("__maybe").drop("__maybe")
 
     def work(g: pd.DataFrame) -> pd.DataFrame:
         g = g.drop_duplicates(["rid", "side", "text"])
@@ -262,7 +264,7 @@ def cluster(docs: DataFrame, *, k: int = SHINGLE, percent: int = 85, depth: int
     Null, empty and wordless texts have an empty set, which is linked with nothing.  Equal rows get equal results;
     rows that repeat a doc_id with another text follow their own text.  A row without doc_id takes the smallest id
     of its copies and their links, or null, and is kept only if there is none.
-    `rounds` gives how many trees each round adds; two documents at the threshold miss each other in all of them
+    docs is read several times, so it should be a stored table.  `rounds` gives how many trees each round adds; two documents at the threshold miss each other in all of them
     with a probability of about 0.5 ** sum(rounds).
     """
     threshold = percent / 100
@@ -278,7 +280,7 @@ def cluster(docs: DataFrame, *, k: int = SHINGLE, percent: int = 85, depth: int
             break
         below = deeper(big.select("tree", "node", "rid"), classes, threshold, 4)
         nodes = settle(nodes.filter(F.col("c") <= leaf).unionByName(below.join(several(below), "node")))
-    texts = settle(docs.select(F.col("doc_id").alias("rid"), "text").join(nodes.select("rid").distinct(), "rid", "left_semi"))
+    texts = docs.select(F.col("doc_id").alias("rid"), "text")
     comp: DataFrame | None = None
     at = 0
     for trees in rounds:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeframe.llm import chat, hosts, neardup, queries, sharding, topk
+from citeframe.llm.common import id_filter, split_by
 
 D = "/root/testdata/sf0.01"
 
@@ -144,3 +145,13 @@ def test_chat_turns(spark):
     c = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     got = {r.key: [(t.role, t.text) for t in r.turns] for r in chat.read_back(chat.format_paths(chat.from_turns(c))).collect()}
     assert got == {"1": [("user", "a"), ("user", "b"), ("assistant", "")], "null": [("user", "x")], "2": [("user", "same")] * 2}
+
+
+def test_id_filter(spark):
+    ids = spark.createDataFrame([(None,), *[(i * 7919,) for i in range(-50, 3000)]], "id bigint")
+    rows = ids.unionByName(spark.range(10**9, 10**9 + 3000)).withColumn("__row", F.lit(1))
+    got = split_by(rows, F.col("id"), id_filter(ids, "id"))
+    assert got.columns == ["id", "__row", "__maybe"] and got.count() == rows.count()
+    assert got.filter("id is null or id < 1000000000").filter("not __maybe").count() == 0
+    assert got.filter("id >= 1000000000").filter("__maybe").count() < 30  # few others
+    assert split_by(rows, F.col("id"), id_filter(ids.limit(0), "id")).filter("__maybe").count() == 0

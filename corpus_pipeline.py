@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeframe.llm import bpe, decontam, langid, neardup, secretscan
-from citeframe.llm.common import read, settle
+from citeframe.llm.common import id_filter, read, settle, split_by
 from citeframe.llm.queries import coded, language_model
 
 #: No SQL expresses the trained and hashed stages.
@@ -32,13 +32,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of near copies stays, and once only."""
-    kept = neardup.cluster(docs).filter("kept").select(F.col("doc_id").alias("__id"))
-    some = settle(kept.groupBy("__id").agg(F.count("*").alias("n")))
-    out = _row(docs).select("__row", F.col("__row.doc_id").alias("id")).join(some, F.col("id").eqNullSafe(F.col("__id")))
-    if some.filter("n > 1").limit(1).count() == 0:  # the usual case needs no second pass over the texts
-        return out.select("__row.*")
-    once = out.filter(F.col("n") > 1).withColumn("t", F.col("__row.text")).dropDuplicates(["id", "t"]).drop("t")
-    return out.filter(F.col("n") == 1).unionByName(once).select("__row.*")
+    each = neardup.cluster(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"), F.count_if("kept").alias("__kept"))
+    each = settle(each)
+    # what doesn't simply stay is marked, so that the other texts, most of them, need no shuffle
+    rows = split_by(_row(docs), F.col("__row.doc_id"), id_filter(each.filter("__rows > 1 or __kept = 0"), "__id"))
+    some = rows.filter("__maybe").join(each.filter("__kept > 0"), F.col("__row.doc_id").eqNullSafe(F.col("__id")))
+    out = rows.filter("not __maybe").select("__row").unionByName(some.filter("__kept = 1").select("__row"))
+    if each.filter("__kept > 1").limit(1).count():  # repeated ids
+        out = out.unionByName(some.filter("__kept > 1").dropDuplicates(["__id", "text"]).select("__row"))
+    return out.select("__row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

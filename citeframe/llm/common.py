@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,9 @@ from pyspark.sql.types import StructType
 from citeframe.llm import kernel
 from citeframe.shipping import ship
 
-#: Slots of an id filter: 8 MB as bits, whatever the number of ids.
-FILTER_SLOTS = 1 << 26
+#: An id filter has about this many slots for each id, and MOST_SLOTS, 8 MB as bits, at most.
+SLOTS_PER_ID = 16
+MOST_SLOTS = 1 << 26
 _PAGE = 1 << 15  # slots of one row of a filter
 
 
@@ -51,27 +53,36 @@ def dealt(key: Column | str, parts: int) -> Column:
     return F.pmod(F.crc32(text.cast("binary")), F.lit(parts))
 
 
-def _place(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(5)), F.lit(FILTER_SLOTS))
+@dataclass
+class IdFilter:
+    """Hashed ids as bits, in rows of _PAGE bits."""
 
+    bits: DataFrame
+    slots: int
 
-def id_filter(ids: DataFrame, column: str) -> DataFrame:
-    """The hashed ids (null is an id too) as bits: a table of FILTER_SLOTS bits at most, cut off from its lineage."""
-    at = ids.select(_place(F.col(column)).alias("__at")).withColumn("__page", F.floor(F.col("__at") / _PAGE)).repartition("__page")
-    return settle(at.groupBy("__page").agg(F.bitmap_construct_agg(F.pmod("__at", F.lit(_PAGE))).alias("__bits")))
+    def place(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(5)), F.lit(self.slots))
 
 
-def split_by(df: DataFrame, key: Column, known: DataFrame) -> DataFrame:
+def id_filter(ids: DataFrame, column: str) -> IdFilter:
+    """A filter of distinct ids (null is one too), of bounded size and cut off from its lineage."""
+    known = IdFilter(ids, min(MOST_SLOTS, 1 << max(16, (ids.count() * SLOTS_PER_ID).bit_length())))
+    at = ids.select(known.place(F.col(column)).alias("__at")).withColumn("__page", F.floor(F.col("__at") / _PAGE)).repartition("__page")
+    known.bits = settle(at.groupBy("__page").agg(F.bitmap_construct_agg(F.pmod("__at", F.lit(_PAGE))).alias("__bits")))
+    return known
+
+
+def split_by(df: DataFrame, key: Column, known: IdFilter) -> DataFrame:
     """df and __maybe: false where the key is surely none of the ids of `known`, true for all of these and a few others.
 
-    The filter is broadcast, its size being fixed.  The more ids it holds, the more rows come out true, so what
+    The filter is broadcast, its size being bounded.  Beyond that size it lets more and more others through, so what
     follows must look at those exactly.
     """
     at = F.pmod("__at", F.lit(_PAGE)).cast("int")
     byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     on = F.coalesce(F.call_function("getbit", byte, at % 8) == 1, F.lit(False))
-    have = df.withColumn("__at", _place(key)).withColumn("__page", F.floor(F.col("__at") / _PAGE))
-    return have.join(F.broadcast(known), "__page", "left").withColumn("__maybe", on).drop("__at", "__page", "__bits")
+    have = df.withColumn("__at", known.place(key)).withColumn("__page", F.floor(F.col("__at") / _PAGE))
+    return have.join(F.broadcast(known.bits), "__page", "left").withColumn("__maybe", on).drop("__at", "__page", "__bits")
 
 
 def grown(df: DataFrame, columns: list[str], extra: str) -> StructType:

@@ -83,13 +83,11 @@ def docx_document_text(spark, d):
     return blocks.addressed(blocks.paragraphs(_t(spark, d, "documents")))
 
 
-@_query("""select conv_id as doc_id, string_agg(case when turn % 2 = 0 then chr(10) || '[หน้า ' || (turn // 2 + 1) || ']' || chr(10) else '' end || text, chr(10) order by turn) as document_text
-    from conversations where trim(text) <> '' and conv_id in (select conv_id from conversations group by conv_id having count(*) = count(distinct turn) and min(turn) = 0 and max(turn) = count(*) - 1) group by conv_id""")
+@_query("""with r as (select conv_id as doc_id, turn, text, turn // 2 + 1 as page, lag(turn // 2 + 1) over (partition by conv_id order by turn, text) as before
+    from conversations where trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> '')
+    select doc_id, string_agg(case when before = page then '' else chr(10) || '[หน้า ' || page || ']' || chr(10) end || text, chr(10) order by turn, text) as document_text from r group by doc_id""")
 def document_text(spark, d):
-    c = _t(spark, d, "conversations")
-    whole = c.groupBy("conv_id").agg(F.count("*").alias("n"), F.count_distinct("turn").alias("k"), F.min("turn").alias("lo"), F.max("turn").alias("hi")).filter("n = k and lo = 0 and hi = n - 1").select("conv_id")
-    rows = c.join(whole, "conv_id", "left_semi").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), (F.floor(F.col("turn") / 2) + 1).alias("page"), "text")
-    return pages.marked_text(rows)
+    return pages.marked_text(_t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), (F.floor(F.col("turn") / 2) + 1).alias("page"), "text"))
 
 
 def _cells(spark, d):
@@ -492,23 +490,53 @@ def bigram_similarity(spark, d):
 
 
 def _lists(spark, d):
-    c = _t(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.substring("text", 1, 40).alias("text")))).alias("t"))
+    c = _t(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
     return c.select(F.col("conv_id").alias("doc_id"), F.lit("turns").alias("path"), F.col("t.text").alias("expected"), F.reverse(F.filter("t.text", lambda x, i: i % 3 != 1)).alias("actual"))
 
 
-@_query(None)
+def _matched(expected: str, actual: str) -> str:
+    """CTEs for greedy matching of x(doc, i, s) and y(doc, j, s): pairs are taken one by one in their order, the lists of taken positions as state."""
+    grams = "case when length(s) = 1 then [s] else list_distinct(list_transform(range(1, length(s)), lambda k: substring(s, k, 2))) end as g"
+    squeezed = "trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) as s"
+    return f"""x as materialized (select *, {grams} from (select doc, i, {squeezed} from ({expected}))), y as materialized (select *, {grams} from (select doc, j, {squeezed} from ({actual}))),
+    scored as (select x.doc, i, j, case when x.s = '' or y.s = '' then 0.0::double when contains(x.s, y.s) or contains(y.s, x.s) then 1.0::double
+        else len(list_intersect(x.g, y.g))::double / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) end as sim from x join y using (doc)),
+    ranked as materialized (select *, row_number() over (partition by doc order by sim desc, i, j) as k from scored where sim >= 0.3),
+    step as (select distinct doc, 0::bigint as k, []::bigint[] as di, []::bigint[] as dj, false as took, 0::bigint as i, 0::bigint as j from x
+        union all select s.doc, r.k, case when f then list_append(s.di, r.i) else s.di end, case when f then list_append(s.dj, r.j) else s.dj end, f, r.i, r.j
+        from step s join ranked r on r.doc = s.doc and r.k = s.k + 1, lateral (select not list_contains(s.di, r.i) and not list_contains(s.dj, r.j) as f) t),
+    pairs as materialized (select doc, i, j, row_number() over (partition by doc order by k) - 1 as n from step where took)"""
+
+
+_TURNS = "select conv_id as doc, text, row_number() over (partition by conv_id order by turn, text) - 1 as i from conversations"
+_KEPT = f"select doc, text, row_number() over (partition by doc order by i desc) - 1 as j from ({_TURNS}) where i % 3 <> 1"
+
+
+@_query(f"with recursive {_matched(_TURNS, _KEPT)} select doc as doc_id, cast(n as int) as n, cast(i as int) as i, cast(j as int) as j from pairs")
 def greedy_match(spark, d):
     return _lists(spark, d).select("doc_id", F.posexplode(score.greedy_match(F.col("expected"), F.col("actual"))).alias("n", "p")).select("doc_id", "n", "p.i", "p.j")
 
 
-@_query(None)
+@_query(f"""with recursive {_matched(_TURNS, _KEPT)}, c as (select doc, (select count(*) from x where x.doc = d.doc) as e, (select count(*) from y where y.doc = d.doc) as a, (select count(*) from pairs where pairs.doc = d.doc) as p
+    from (select distinct doc from x) d)
+    select doc as doc_id, 'turns' as path, cast(e as int) as n_expected, cast(a as int) as n_actual, cast(e - p as int) as missed, cast(a - p as int) as extra from c where e > p or a > p""")
 def list_mismatch_report(spark, d):
     return score.list_report(_lists(spark, d))
 
 
-@_query(None)
+_ACTUAL = "select doc, text, role, row_number() over (partition by doc order by turn, text, role) - 1 as j from (select conv_id as doc, turn, text, role from conversations where turn % 3 <> 1)"
+_EXPECTED = "select conv_id as doc, text, role, row_number() over (partition by conv_id order by turn, text, role) - 1 as i from conversations"
+
+
+@_query(f"""with recursive {_matched(_EXPECTED, _ACTUAL)}, ex as ({_EXPECTED}), ac as ({_ACTUAL}),
+    l as (select e.text as te, e.role as re, a.text as ta, a.role as ra from ex e left join pairs p on p.doc = e.doc and p.i = e.i left join ac a on a.doc = p.doc and a.j = p.j),
+    leaf as (select 'turns[].role' as path, re as e, ra as a from l union all select 'turns[].text', te, ta from l),
+    v as (select path, case when e is null and a is null then 'exact' when e is null then 'hallucinated' when a is null then 'missed'
+        when q = b or (q <> '' and contains(b, q)) or (b <> '' and contains(q, b)) then 'exact' else 'wrong' end as verdict
+        from (select *, trim(regexp_replace(e, '\\s+', ' ', 'g')) as q, trim(regexp_replace(a, '\\s+', ' ', 'g')) as b from leaf))
+    select path, {", ".join(f"count(*) filter (verdict = '{v}') as {v}" for v in score.VERDICTS)} from v group by path""")
 def score_lists(spark, d):
-    c = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit("turns").alias("path"), F.col("turn").alias("idx"), F.substring("text", 1, 40).alias("text"), F.create_map(F.lit("role"), F.col("role"), F.lit("text"), F.substring("text", 1, 40)).alias("leaves"))
+    c = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit("turns").alias("path"), F.col("turn").alias("idx"), "text", F.create_map(F.lit("role"), F.col("role"), F.lit("text"), F.col("text")).alias("leaves"))
     return score.tally(score.score_lists(c, c.filter("idx % 3 <> 1")), "path")
 
 

@@ -22,17 +22,29 @@ def squeeze(text: Column) -> Column:
 
 
 def bigrams(text: Column) -> Column:
-    n = F.length(text)
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: text.substr(i, F.lit(2))))
-    return F.when(n > 1, pairs).when(n == 1, F.array(text)).otherwise(F.array().cast("array<string>"))
+    """Distinct pairs of neighbouring characters, found in one pass; a single character counts as its own pair."""
+    pairs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?=(..))."), F.lit(1)))
+    return F.when(F.length(text) == 1, F.array(text)).otherwise(pairs)
 
 
-def similarity(a: Column, b: Column) -> Column:
+def prepared(texts: Column) -> Column:
+    """array<struct<t, g>>: each text squeezed (null: empty), with its bigrams, so that comparing many pairs prepares each text once."""
+    squeezed = F.transform(texts, lambda x: squeeze(F.coalesce(x, F.lit(""))))
+    return F.transform(squeezed, lambda t: F.struct(t.alias("t"), bigrams(t).alias("g")))
+
+
+def prepared_similarity(a: Column, b: Column) -> Column:
     """0 if either is empty, 1 if one holds the other, else the Jaccard similarity of their bigrams."""
-    a, b = squeeze(F.coalesce(a, F.lit(""))), squeeze(F.coalesce(b, F.lit("")))
-    x, y = bigrams(a), bigrams(b)
-    jaccard = F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)).cast("double")
-    return F.when((a == "") | (b == ""), 0.0).when(a.contains(b) | b.contains(a), 1.0).otherwise(jaccard)
+    x, y = a["t"], b["t"]
+    # the number of common bigrams is needed twice, so it is bound once
+    common = F.transform(F.array(F.size(F.array_intersect(a["g"], b["g"]))), lambda n: n / (F.size(a["g"]) + F.size(b["g"]) - n).cast("double"))
+    return F.when((x == "") | (y == ""), 0.0).when(x.contains(y) | y.contains(x), 1.0).otherwise(F.element_at(common, 1))
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """The similarity of two texts; see prepared_similarity."""
+    both = F.array(prepared(F.array(a, b)))
+    return F.element_at(F.transform(both, lambda p: prepared_similarity(p[0], p[1])), 1)
 
 
 def verdict(expected: Column, actual: Column, text: bool = True) -> Column:

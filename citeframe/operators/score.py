@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeframe.functions.text import MATCH_THRESHOLD, similarity
+from citeframe.functions.text import MATCH_THRESHOLD, prepared, prepared_similarity, verdict
 
 VERDICTS = ("exact", "wrong", "missed", "hallucinated")
 #: Parts of a document that aren't scored.
@@ -17,7 +17,10 @@ def greedy_match(expected: Column, actual: Column, threshold: float = MATCH_THRE
 
     All pairs stay inside the row; lists are those of one document.
     """
-    scored = F.flatten(F.transform(expected, lambda e, i: F.transform(actual, lambda a, j: F.struct((-similarity(e, a)).alias("s"), i.alias("i"), j.alias("j")))))
+    pair = lambda e, i, a, j: F.struct((-prepared_similarity(e, a)).alias("s"), i.alias("i"), j.alias("j"))
+    # both lists are bound as one struct, or the inner one would be prepared again for every outer item
+    lists = F.array(F.struct(prepared(expected).alias("e"), prepared(actual).alias("a")))
+    scored = F.flatten(F.flatten(F.transform(lists, lambda p: F.transform(p["e"], lambda e, i: F.transform(p["a"], lambda a, j: pair(e, i, a, j))))))
     ranked = F.array_sort(F.filter(scored, lambda x: -x["s"] >= threshold))
     taken = lambda acc, x: F.exists(acc, lambda p: (p["i"] == x["i"]) | (p["j"] == x["j"]))
     none = F.array().cast("array<struct<i:int,j:int>>")
@@ -66,8 +69,6 @@ def score_lists(expected: DataFrame, actual: DataFrame) -> DataFrame:
     item = item.withColumn("j", F.when(F.size(j) > 0, F.element_at(j, 1)["j"]))
     item = item.withColumn("other", F.when(F.col("j").isNotNull(), F.map_from_entries(F.element_at("a", F.col("j") + 1)["leaves"])))
     leaf = item.select("doc_id", "path", "i", "j", "other", F.explode("item.leaves").alias("leaf"))
-    from citeframe.functions.text import verdict
-
     return leaf.select("doc_id", F.concat("path", F.lit("[]."), "leaf.key").alias("path"), "i", verdict(F.col("leaf.value"), F.try_element_at("other", F.col("leaf.key"))).alias("verdict"))
 
 

@@ -1,5 +1,6 @@
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -167,3 +168,18 @@ def test_stream(spark, tmp_path):
         (tmp_path / "in" / f"{k}.txt").write_text("a\n\nb" if k < 2 else "c")
     dropfolder.into_blocks(dropfolder.text_files(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+
+
+def test_marked_text_gaps_and_ties(spark):
+    rows = [(1, 0, 1, "a"), (1, 5, 3, "b"), (1, 5, 3, "aa"), (1, 5, 2, "z"), (1, 9, None, "n"), (1, 9, None, None), (1, 10, 3, "  "), (2, None, 4, "q")]
+    got = pages.marked_text(spark.createDataFrame(rows, "doc_id int, seq int, page int, text string"))
+    assert {r["doc_id"]: r["document_text"] for r in got.collect()} == {1: "\n[หน้า 1]\na\n\n[หน้า 2]\nz\n\n[หน้า 3]\naa\nb\nn", 2: "\n[หน้า 4]\nq"}
+
+
+def test_greedy_match_nulls_and_long_texts(spark):
+    rng = random.Random(7)
+    text = lambda: "".join(rng.choice("ab ก😀\n") for _ in range(rng.choice((0, 1, 2, 9, 60))))
+    lists = [(k, [rng.choice((text(), None)) for _ in range(rng.randrange(6))], [text() for _ in range(rng.randrange(6))]) for k in range(60)]
+    rows = spark.createDataFrame(lists, "k int, e array<string>, a array<string>")
+    got = {r.k: [(p.i, p.j) for p in r.m] for r in rows.select("k", score.greedy_match(F.col("e"), F.col("a")).alias("m")).collect()}
+    assert got == {k: _model([x or "" for x in e], a) for k, e, a in lists}

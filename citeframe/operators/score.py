@@ -49,9 +49,11 @@ def worst_first(tallies: DataFrame) -> DataFrame:
 
 def list_report(lists: DataFrame) -> DataFrame:
     """lists (doc_id, path, expected, actual) with sizes and unmatched counts, where anything is unmatched."""
-    pairs = lists.withColumn("pairs", greedy_match(F.col("expected"), F.col("actual")))
-    sized = pairs.select("doc_id", "path", F.size("expected").alias("n_expected"), F.size("actual").alias("n_actual"), F.size(unmatched(F.col("expected"), F.col("pairs"), "i")).alias("missed"), F.size(unmatched(F.col("actual"), F.col("pairs"), "j")).alias("extra"))
-    return sized.filter((F.col("missed") > 0) | (F.col("extra") > 0))
+    # a filter on plain columns would be pushed down and match the lists again, so the counts are exploded from a filtered array
+    n = F.size(greedy_match(F.col("expected"), F.col("actual")))
+    counts = F.transform(F.array(n), lambda k: F.struct((F.size("expected") - k).alias("missed"), (F.size("actual") - k).alias("extra")))
+    rows = lists.select("doc_id", "path", F.size("expected").alias("n_expected"), F.size("actual").alias("n_actual"), F.explode(F.filter(counts, lambda c: (c["missed"] > 0) | (c["extra"] > 0))).alias("c"))
+    return rows.select("doc_id", "path", "n_expected", "n_actual", "c.missed", "c.extra")
 
 
 def score_lists(expected: DataFrame, actual: DataFrame) -> DataFrame:

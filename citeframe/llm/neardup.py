@@ -1,8 +1,8 @@
 """MinHash near-duplicates by a chosen-path set similarity join.
 
 1. Every text becomes the set of its distinct word shingles (64-bit hashes).  Documents of equal sets form a class;
-   its smallest doc_id stands for it, with a signature of SIGNATURE minwise tokens.
-2. In each of several independent trees a document starts at the root; at a node, a coordinate of the signature
+   its smallest doc_id stands for it, with a signature of POOL minwise tokens for each tree.
+2. In each of several trees, independent as each draws on its own tokens only, a document starts at the root; at a node, one of the tree's tokens
    is chosen by the node's hash - and with probability 1 / threshold - 1 a second one - and the document moves on
    to the child named by the node and its token there.  So the expected number of paths that two documents at the
    threshold share stays 1 at every depth, while unlike documents part.  Nodes of more than `leaf` documents
@@ -20,6 +20,8 @@ Nothing is capped: large nodes have the exact way of step 4.  No task holds more
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -30,10 +32,46 @@ from citeframe.llm import kernel
 from citeframe.llm.common import arrow_pass, id_filter, settle, split_by
 
 SHINGLE = 5
-SIGNATURE = 64
+#: Minwise tokens, 8 bits each, that one tree draws on and no other.
+POOL = 20
+#: So rarely two documents at the threshold may miss each other in all trees, where all their nodes branch to the deepest level.
+MISS = 0.001
 #: So many edges, 16 bytes each, are connected in one task at most.
 LOCAL_EDGES = 500_000
-_A = np.random.default_rng(31).integers(0, 2**63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def trees_for(threshold: float, depth: int, miss: float = MISS) -> int:
+    """How many trees hold `miss` at this depth: two documents at the threshold are compared where a tree's branching process survives.
+
+    How many of a tree's tokens agree is binomial; no tree's tokens are another's, so the trees' chances multiply.
+    """
+    extinct = 0.0
+    for agree in range(POOL + 1):
+        gone = 0.0
+        for _ in range(depth):
+            child = 1 - agree / POOL * (1 - gone)
+            gone = child * (1 - (1 / threshold - 1) * (1 - child))
+        extinct += math.comb(POOL, agree) * threshold**agree * (1 - threshold) ** (POOL - agree) * gone
+    return max(1, math.ceil(math.log(miss) / math.log(extinct))) if extinct > 0 else 1
+
+
+def _tokens(value: np.ndarray, ptr: np.ndarray, size: int) -> np.ndarray:
+    """`size` minwise tokens of each set, from as many orders of its values; 0 for the empty set."""
+    odd = np.random.default_rng(31).integers(0, 2**31, (size, 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    sig = np.zeros((len(ptr) - 1, size), np.uint8)
+    full = np.flatnonzero(np.diff(ptr))
+    if len(full):
+        base = (kernel.mix(value, 6) >> np.uint64(32)).astype(np.uint32)
+        x, y = np.empty_like(base), np.empty_like(base)
+        for j, (a, b) in enumerate(odd):
+            np.multiply(base, a, out=x)
+            np.right_shift(x, np.uint32(15), out=y)
+            np.bitwise_xor(x, y, out=x)
+            np.multiply(x, b, out=x)
+            np.right_shift(x, np.uint32(16), out=y)
+            np.bitwise_xor(x, y, out=x)
+            sig[full, j] = np.minimum.reduceat(x, ptr[full]) & np.uint32(0xFF)
+    return sig
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -56,36 +94,34 @@ def shingles(data: np.ndarray, bounds: np.ndarray, k: int = SHINGLE) -> tuple[np
     return value, np.searchsorted(of, np.arange(len(bounds)))
 
 
-def describe(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n (set size), s1 and s2 (128 bits that name the set), sig (minwise tokens)."""
+def describe(docs: DataFrame, k: int, trees: int) -> DataFrame:
+    """doc_id, n (set size), s1 and s2 (128 bits that name the set), sig (each tree's minwise tokens)."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         value, ptr = shingles(*kernel.buffers(batch.column("text")), k)
         n = np.diff(ptr)
         s1 = kernel.by_doc(kernel.mix(value, 1), ptr).view(np.int64)
         s2 = kernel.by_doc(kernel.mix(value, 2), ptr).view(np.int64)
-        sig = np.zeros((batch.num_rows, SIGNATURE), np.uint32)
-        full = np.flatnonzero(n)
-        if len(full):
-            for j in range(SIGNATURE):
-                x = value * _A[j]
-                x ^= x >> np.uint64(29)
-                x *= _A[j - 1]
-                sig[full, j] = np.minimum.reduceat((x >> np.uint64(32)).astype(np.uint32), ptr[full])
+        sig = _tokens(value, ptr, trees * POOL)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(s1), pa.array(s2), pa.array([r.tobytes() for r in sig], pa.binary())], ["doc_id", "n", "s1", "s2", "sig"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return arrow_pass(docs.select("doc_id", "text"), work, f"doc_id {kind}, n bigint, s1 bigint, s2 bigint, sig binary")
 
 
-def _descend(key: np.ndarray, sig: np.ndarray, row: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """One level down: (keys, rows) of the children that the rows at the nodes `key` choose."""
+def _signatures(column: pa.Array) -> np.ndarray:
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+
+
+def _descend(key: np.ndarray, tree: np.ndarray, sig: np.ndarray, row: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One level down: (keys, trees, rows) of the children that the rows at the nodes `key` of `tree` choose."""
     r1, r2 = kernel.mix(key, 3), kernel.mix(key, 4)
-    first = (r1 % np.uint64(SIGNATURE)).astype(np.int64)
-    second = ((first + 1 + (r2 >> np.uint64(40)) % np.uint64(SIGNATURE - 1)) % np.uint64(SIGNATURE)).astype(np.int64)
+    first = (r1 % np.uint64(POOL)).astype(np.int64)
+    second = ((first + 1 + ((r2 >> np.uint64(40)) % np.uint64(POOL - 1)).astype(np.int64)) % POOL).astype(np.int64)
     also = (r2 & np.uint64(0xFFFFFF)) < np.uint64(int((1 / threshold - 1) * (1 << 24)))
-    child = lambda k, r, c: kernel.mix(k * np.uint64(0x9E3779B97F4A7C15) + (c.astype(np.uint64) << np.uint64(32)) + sig[r, c], 5)
-    return np.concatenate([child(key, row, first), child(key[also], row[also], second[also])]), np.concatenate([row, row[also]])
+    child = lambda k, t, r, c: kernel.mix(k * np.uint64(0x9E3779B97F4A7C15) + (c.astype(np.uint64) << np.uint64(32)) + sig[r, t * POOL + c], 5)
+    return np.concatenate([child(key, tree, row, first), child(key[also], tree[also], row[also], second[also])]), np.concatenate([tree, tree[also]]), np.concatenate([row, row[also]])
 
 
 def paths(classes: DataFrame, trees: range, depth: int, threshold: float) -> DataFrame:
@@ -95,13 +131,14 @@ def paths(classes: DataFrame, trees: range, depth: int, threshold: float) -> Dat
         for batch in batches:
             for at in range(0, batch.num_rows, 8192):
                 part = batch.slice(at, 8192)
-                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint32).reshape(-1, SIGNATURE)
+                sig = _signatures(part.column("sig"))
                 for tree in trees:
                     row = np.arange(len(sig))
                     key = np.full(len(sig), tree + 1, np.uint64)
+                    of = np.full(len(sig), tree, np.int64)
                     for _ in range(depth):
-                        key, row = _descend(key, sig, row, threshold)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), tree, np.int32)), pa.array(key.view(np.int64)), part.column("rid").take(pa.array(row))], ["tree", "node", "rid"])
+                        key, of, row = _descend(key, of, sig, row, threshold)
+                    yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), pa.array(key.view(np.int64)), part.column("rid").take(pa.array(row))], ["tree", "node", "rid"])
 
     return classes.select("rid", "sig").mapInArrow(run, f"tree int, node bigint, rid {dict(classes.dtypes)['rid']}")
 
@@ -113,11 +150,12 @@ def deeper(members: DataFrame, classes: DataFrame, threshold: float, levels: int
         for batch in batches:
             for at in range(0, batch.num_rows, 8192):
                 part = batch.slice(at, 8192)
-                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint32).reshape(-1, SIGNATURE)
+                sig = _signatures(part.column("sig"))
                 key, row = part.column("node").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.arange(len(sig))
+                of = part.column("tree").to_numpy(zero_copy_only=False).astype(np.int64)
                 for _ in range(levels):
-                    key, row = _descend(key, sig, row, threshold)
-                yield pa.RecordBatch.from_arrays([part.column("tree").take(pa.array(row)), pa.array(key.view(np.int64)), part.column("rid").take(pa.array(row))], ["tree", "node", "rid"])
+                    key, of, row = _descend(key, of, sig, row, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), pa.array(key.view(np.int64)), part.column("rid").take(pa.array(row))], ["tree", "node", "rid"])
 
     return members.join(classes.select("rid", "sig"), "rid").select("tree", "node", "rid", "sig").mapInArrow(run, f"tree int, node bigint, rid {dict(members.dtypes)['rid']}")
 
@@ -258,17 +296,19 @@ def _exact(alive: DataFrame, leaf: int) -> DataFrame:
     return first.unionByName(second)
 
 
-def cluster(docs: DataFrame, *, k: int = SHINGLE, percent: int = 85, depth: int = 4, leaf: int = 400, deepest: int = 12, rounds: tuple[int, ...] = (2, 10), local_edges: int = LOCAL_EDGES) -> DataFrame:
+def cluster(docs: DataFrame, *, k: int = SHINGLE, percent: int = 85, depth: int = 4, leaf: int = 400, deepest: int = 12, rounds: tuple[int, ...] | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     Null, empty and wordless texts have an empty set, which is linked with nothing.  Equal rows get equal results;
     rows that repeat a doc_id with another text follow their own text.  A row without doc_id takes the smallest id
     of its copies and their links, or null, and is kept only if there is none.
-    docs is read several times, so it should be a stored table.  `rounds` gives how many trees each round adds; two documents at the threshold miss each other in all of them
-    with a probability of about 0.5 ** sum(rounds).
+    docs is read several times, so it should be a stored table.  `rounds` gives how many trees each round adds; by default two and then the others of so many
+    that two documents at the threshold miss each other in all of them with a probability of at most MISS, be their nodes as deep as `deepest`.
     """
     threshold = percent / 100
-    rows = settle(describe(docs, k))
+    if rounds is None:
+        rounds = (2, max(1, trees_for(threshold, max(depth, deepest)) - 2))
+    rows = settle(describe(docs, k, sum(rounds)))
     classes = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rid"), F.first("sig").alias("sig"))
     classes = settle(classes)
     several = lambda df: df.groupBy("node").agg(F.count("*").alias("c"), F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter(F.col("lo") != F.col("hi")).select("node", "c")

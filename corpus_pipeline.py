@@ -16,6 +16,8 @@ from citeframe.llm import bpe, decontam, langid, neardup, secretscan
 from citeframe.llm.common import id_filter, read, settle, split_by
 from citeframe.llm.queries import coded, language_model
 
+#: Documents whose sets of word shingles have a Jaccard of so many percent or more are near copies.
+NEAR = 80
 #: No SQL expresses the trained and hashed stages.
 ORACLE_SQL = None
 
@@ -32,7 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of near copies stays, and once only."""
-    each = neardup.cluster(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"), F.count_if("kept").alias("__kept"))
+    each = neardup.cluster(docs, percent=NEAR).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"), F.count_if("kept").alias("__kept"))
     each = settle(each)
     # what doesn't simply stay is marked, so that the other texts, most of them, need no shuffle
     rows = split_by(_row(docs), F.col("__row.doc_id"), id_filter(each.filter("__rows > 1 or __kept = 0"), "__id"))

@@ -1,16 +1,17 @@
 """Secret scans: known shapes, and a battery of randomness tests for everything else.
 
-The known shapes are three patterns.  Other runs of letters, digits and + / _ = - that hold a letter and a digit
-are candidates.  For each, the narrowest encoding that has all its characters is inferred, and its characters as
+The known shapes are three patterns.  All other runs of LEAST or more letters, digits and + / _ = - are candidates.
+For each, the narrowest encoding that has all its characters is inferred, and its characters as
 numbers of that alphabet face three tests of being uniform and independent: chi-squared over the alphabet, runs
 above and below the middle, and serial correlation.  Their p-values are combined by Fisher's method; a candidate
 that fails is no random string.
 
 Passing proves little for a short run, so a second p-value asks how likely ordinary text is to look like that: by
 Markov's inequality the ratio of the run's probability under ordinary letter frequencies to that under its
-alphabet is one, and it falls exponentially with the run's length.  Benjamini-Hochberg over all candidates of the
-document then holds the expected share of false findings under `rate`: long runs pass on their own, short ones
-only where they are extreme.
+alphabet is one, and it falls exponentially with the run's length.  Benjamini-Hochberg over all candidates of like
+length (_stratum) of the document then holds the expected share of false findings under `rate`: long runs pass on
+their own and don't pay for the many short words, short ones pass only where they are extreme.  A run without letters is a number: digits of ordinary numbers are uniform too, so its
+p-value is 1.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from __future__ import annotations
 import math
 import re
 import string
+from collections import Counter, defaultdict
 from collections.abc import Iterable
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,27 +34,44 @@ _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*
 #: Maximal runs, so asking for the least length here drops just the matches that are too short.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{20,})[A-Za-z+/_=-]*[0-9][A-Za-z0-9+/_=-]*")
+#: The battery's least length.
+LEAST = 8
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 
 _ALPHABETS = [
     "0123456789abcdef", "0123456789ABCDEF", string.ascii_uppercase + "234567", string.digits + string.ascii_lowercase, string.digits + string.ascii_uppercase,
     string.digits + string.ascii_letters, string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/", string.ascii_uppercase + string.ascii_lowercase + string.digits + "-_",
 ]
-#: Letters of ordinary English text, in percent, a to z.
-_LETTERS = [8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074]
-_TEXT = {c: 0.70 * p / 100 for c, p in zip(string.ascii_lowercase, _LETTERS, strict=True)} | {c: 0.14 * p / 100 for c, p in zip(string.ascii_uppercase, _LETTERS, strict=True)} | {c: 0.01 for c in string.digits} | {c: 0.01 for c in "+/_=-"}
+_SETS = [frozenset(a) for a in _ALPHABETS]
+#: Letters of ordinary text in English, Spanish, French and German, in percent, a to z.
+_LETTERS = [
+    [8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074],
+    [11.5, 2.2, 4.0, 5.0, 12.2, 0.7, 1.8, 0.7, 6.2, 0.5, 0.01, 5.0, 3.2, 6.7, 8.7, 2.5, 0.9, 6.9, 8.0, 4.6, 2.9, 1.1, 0.02, 0.2, 1.0, 0.5],
+    [7.6, 0.9, 3.3, 3.7, 14.7, 1.1, 0.9, 0.7, 7.5, 0.6, 0.05, 5.5, 3.0, 7.1, 5.8, 2.5, 1.4, 6.7, 7.9, 7.2, 6.3, 1.8, 0.05, 0.4, 0.1, 0.3],
+    [6.5, 1.9, 2.7, 5.1, 16.4, 1.7, 3.0, 4.6, 6.6, 0.3, 1.4, 3.4, 2.5, 9.8, 2.6, 0.7, 0.02, 7.0, 7.3, 6.2, 4.2, 0.8, 1.9, 0.03, 0.04, 1.1],
+]
+#: Logarithms of the characters' probabilities, in each language for mostly small letters, and for capitals.
+_TEXTS = [
+    {c: math.log(small * p / 100) for c, p in zip(string.ascii_lowercase, letters, strict=True)} | {c: math.log((0.84 - small) * p / 100) for c, p in zip(string.ascii_uppercase, letters, strict=True)} | {c: math.log(0.01) for c in string.digits + "+/_=-"}
+    for letters in _LETTERS for small in (0.70, 0.01)
+]
 
 
 def _tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def _alphabet(body: str) -> str:
+    have = set(body)
+    return next((a for a, s in zip(_ALPHABETS, _SETS, strict=True) if have <= s), "")
+
+
 def uniformity(run: str) -> tuple[str, float]:
     """The inferred alphabet, and the combined p-value of the three tests; 0 if no alphabet fits."""
     body = run.rstrip("=")
-    alphabet = next((a for a in _ALPHABETS if all(c in a for c in body)), "")
+    alphabet = _alphabet(body)
     n, size = len(body), len(alphabet)
-    if n < 8 or not size:
+    if n < LEAST or not size:
         return "", 0.0
     x = [alphabet.index(c) for c in body]
     expected = n / size
@@ -74,9 +94,26 @@ def uniformity(run: str) -> tuple[str, float]:
 
 
 def ordinary(run: str, alphabet: str) -> float:
-    """The p-value of the run as ordinary text."""
+    """The p-value of the run as ordinary text, of whichever language and case it resembles most."""
     body = run.rstrip("=")
-    return math.exp(min(0.0, sum(math.log(_TEXT[c] * len(alphabet)) for c in body)))
+    return math.exp(min(0.0, max(sum(map(text.__getitem__, body)) for text in _TEXTS) + len(body) * math.log(len(alphabet))))
+
+
+def _stratum(run: str) -> int:
+    return min(len(run), 20) // 4
+
+
+@lru_cache(maxsize=1 << 16)
+def _p_value(run: str, rate: float, least: float) -> float:
+    """The p-value that a candidate enters the false-discovery control with; 1 if the battery says it isn't random.
+
+    One over `rate` fails there whatever the battery says, which is then not asked.
+    """
+    alphabet = _alphabet(run.rstrip("="))
+    if not alphabet or not any(c.isalpha() for c in run):
+        return 1.0
+    p = ordinary(run, alphabet)
+    return p if p > rate or uniformity(run)[1] >= least else 1.0
 
 
 def spans(text: str, rate: float = 0.001, least: float = 0.001) -> list[tuple[str, int, int]]:
@@ -84,16 +121,20 @@ def spans(text: str, rate: float = 0.001, least: float = 0.001) -> list[tuple[st
     found = [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 12]
     found += [("access", *m.span()) for m in _ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
-    tested = []
-    for m in _CANDIDATE.finditer(text):
-        if not any(c.isalpha() for c in m[0]):
-            continue
-        alphabet, p = uniformity(m[0])
-        tested.append((ordinary(m[0], alphabet) if p >= least else 1.0, m.span()))
-    tested.sort()
-    passed = max((k for k, (p, _) in enumerate(tested, 1) if p <= rate * k / len(tested)), default=0)
+    candidates = _CANDIDATE.findall(text)
+    random = []
+    if any(_p_value(run, rate, least) <= rate for run in candidates):
+        tested = defaultdict(list)  # those over `rate` only count
+        for m in _CANDIDATE.finditer(text):
+            if (p := _p_value(m[0], rate, least)) <= rate:
+                tested[_stratum(m[0])].append((p, m.span()))
+        sizes = Counter(map(_stratum, candidates))
+        for stratum, some in tested.items():
+            some.sort()
+            passed = max((k for k, (p, _) in enumerate(some, 1) if p <= rate * k / sizes[stratum]), default=0)
+            random += [at for _, at in some[:passed]]
     known = [(a, b) for _, a, b in found]
-    found += [("random", *at) for _, at in tested[:passed] if not any(a < at[1] and at[0] < b for a, b in known)]
+    found += [("random", *at) for at in random if not any(a < at[1] and at[0] < b for a, b in known)]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -116,8 +116,17 @@ def _p_value(run: str, rate: float, least: float) -> float:
     return p if p > rate or uniformity(run)[1] >= least else 1.0
 
 
+def _covered(start: int, end: int, known: list[tuple[int, int]]) -> bool:
+    """Whether the spans, sorted, cover all from start to end."""
+    for a, b in known:
+        if a > start:
+            break
+        start = max(start, b)
+    return start >= end
+
+
 def spans(text: str, rate: float = 0.001, least: float = 0.001) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in code points, by start, then kind.  Random runs inside a known shape are not told again."""
+    """(kind, start, end) in code points, by start, then kind.  Random runs that known shapes cover entirely are not told again."""
     found = [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 12]
     found += [("access", *m.span()) for m in _ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
@@ -133,8 +142,8 @@ def spans(text: str, rate: float = 0.001, least: float = 0.001) -> list[tuple[st
             some.sort()
             passed = max((k for k, (p, _) in enumerate(some, 1) if p <= rate * k / sizes[stratum]), default=0)
             random += [at for _, at in some[:passed]]
-    known = [(a, b) for _, a, b in found]
-    found += [("random", *at) for at in random if not any(a < at[1] and at[0] < b for a, b in known)]
+    known = sorted((a, b) for _, a, b in found)
+    found += [("random", *at) for at in random if not _covered(*at, known)]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

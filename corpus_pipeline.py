@@ -33,15 +33,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies stays, and once only."""
-    each = neardup.cluster(docs, percent=NEAR).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"), F.count_if("kept").alias("__kept"))
-    each = settle(each)
+    """The document of the smallest doc_id of each group of near copies stays, and once only.
+
+    Rows are told apart by id and text, so that repeated or null ids are compared like all others; null is the last id.
+    """
+    key = F.xxhash64("doc_id", "text")
+    found = neardup.cluster(docs.select(key.alias("doc_id"), "text"), percent=NEAR)
+    each = found.groupBy(F.col("doc_id").alias("__key")).agg(F.count("*").alias("__rows"), F.first("component_id").alias("__group"))
+    each = settle(each.join(docs.select(key.alias("__key"), F.col("doc_id").alias("__id")).dropDuplicates(["__key"]), "__key"))
+    first = each.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull().alias("last"), "__id", "__key"))["__key"].alias("__key"))
+    each = settle(each.join(first.withColumn("__stays", F.lit(True)), "__key", "left").select("__key", "__rows", F.coalesce("__stays", F.lit(False)).alias("__stays")))
     # what doesn't simply stay is marked, so that the other texts, most of them, need no shuffle
-    rows = split_by(_row(docs), F.col("__row.doc_id"), id_filter(each.filter("__rows > 1 or __kept = 0"), "__id"))
-    some = rows.filter("__maybe").join(each.filter("__kept > 0"), F.col("__row.doc_id").eqNullSafe(F.col("__id")))
-    out = rows.filter("not __maybe").select("__row").unionByName(some.filter("__kept = 1").select("__row"))
-    if each.filter("__kept > 1").limit(1).count():  # repeated ids
-        out = out.unionByName(some.filter("__kept > 1").dropDuplicates(["__id", "text"]).select("__row"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), key.alias("__key"))
+    rows = split_by(keyed, F.col("__key"), id_filter(each.filter("__rows > 1 or not __stays"), "__key"))
+    some = rows.filter("__maybe").join(each.filter("__stays"), "__key")
+    out = rows.filter("not __maybe").select("__row").unionByName(some.filter("__rows = 1").select("__row"))
+    if each.filter("__stays and __rows > 1").limit(1).count():  # repeated rows
+        out = out.unionByName(some.filter("__rows > 1").dropDuplicates(["__key"]).select("__row"))
     return out.select("__row.*")
 
 

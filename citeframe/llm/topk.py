@@ -100,9 +100,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256)
         for batch in batches:
             for dim, data in zip(batch.column("dim").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 x = np.abs(np.frombuffer(data, np.float64)).max(initial=0)
-                yield pa.RecordBatch.from_arrays([pa.array([float(x) * float(x) * dim])], ["m"])
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([float(x)])], ["dim", "m"])
 
-    top = base.select("dim", "data").mapInArrow(peak, "m double").agg(F.max("m")).first()[0]
+    most = lambda rows, name: rows.mapInArrow(peak, "dim int, m double").groupBy("dim").agg(F.max("m").alias(name))
+    peaks = most(base.select("dim", "data"), "c").join(most(packed.select(F.col("qb.dim").alias("dim"), "data"), "q"), "dim")
+    top = peaks.agg(F.max(F.col("c") * F.col("q") * F.col("dim"))).first()[0]
     if top is None:
         return base.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     edge = min(int(top) + 1, 1 << 61)

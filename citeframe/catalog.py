@@ -374,6 +374,18 @@ def quote_highlight(spark, d):
     return _t(spark, d, "benchmark").select("item_id", (F.length("text") > 60).alias("long_item"), X.highlights(quote, F.col("text")).alias("hit"))
 
 
+@_query("""with b as (select doc_id, trim(line) as text, row_number() over (partition by doc_id order by pos) as seq from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents) where trim(line) <> ''),
+    q as (select doc_id, seq, b.text, case when seq % 3 = 0 then coalesce(m.text, '') else replace(b.text, ' ', '  ') end as quote from b left join benchmark m on m.item_id = seq % 50),
+    s as (select doc_id, seq, trim(regexp_replace('a  ' || quote || ' z', '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) as quote, trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) as text from q)
+    select doc_id, cast(seq as int) as seq, text <> '' and contains(quote, text) as hit from s""")
+def quote_highlight_blocks(spark, d):
+    b = blocks.paragraphs(_t(spark, d, "documents"))
+    items = _t(spark, d, "benchmark").select(F.col("item_id").alias("of"), F.col("text").alias("other"))
+    quoted = b.join(items, F.col("seq") % 50 == F.col("of"), "left")
+    quote = F.when(F.col("seq") % 3 == 0, F.coalesce("other", F.lit(""))).otherwise(F.replace("text", F.lit(" "), F.lit("  ")))
+    return quoted.select("doc_id", F.col("seq").cast("int").alias("seq"), X.highlights(F.concat(F.lit("a  "), quote, F.lit(" z")), F.col("text")).alias("hit"))
+
+
 # ---- extraction ----------------------------------------------------------------------------------------------
 
 @_query("""select * from (values ('TOR_GROUP_BONDS', 'bonds', 'gemini', 'g:1'), ('TOR_GROUP_MISC', 'misc', 'openai', 'o')) as t(key, name, provider, model)""")

@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,46 @@ def arrow_pass(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, text: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by `key`, cut anew so that none parts a group; with `text`, into parts of a few MB of text or one group."""
+
+    def joined(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if len(parts) > 1 else parts[0]
+        if text is None:
+            yield got
+            return
+        at = np.concatenate([starts(got.column(key)), [got.num_rows]])
+        size = kernel.buffers(got.column(text))[1][at]
+        i = 0
+        while i < len(at) - 1:
+            j = max(i + 1, int(np.searchsorted(size, size[i] + kernel.SLICE_BYTES, side="right")) - 1)
+            yield got.slice(at[i], at[j] - at[i])
+            i = j
+
+    kept: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        start = starts(batch.column(key))
+        if kept and batch.column(key)[0].as_py() != last:
+            yield from joined(kept)
+            kept = []
+        if len(start) > 1:
+            yield from joined([*kept, batch.slice(0, start[-1])])
+            kept = []
+        kept.append(batch.slice(start[-1]))
+        last = batch.column(key)[batch.num_rows - 1].as_py()
+    if kept:
+        yield from joined(kept)
+
+
+def starts(column: pa.Array) -> np.ndarray:
+    """Where the groups of a sorted column begin."""
+    k = column.to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

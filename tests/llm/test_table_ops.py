@@ -36,7 +36,7 @@ def _brute_groups(rows, percent=85):
     return {d: (len(sets[i]), min(low[root(i)])) for i, (d, _) in enumerate(rows)}
 
 
-@pytest.mark.parametrize("options", [{}, {"leaf": 20, "local_edges": 0}])
+@pytest.mark.parametrize("options", [{}, {"leaf": 20, "most": 3000}])
 def test_near_duplicates(docs, options):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     got = {r.doc_id: r for r in neardup.cluster(docs, **options).collect()}
@@ -53,7 +53,7 @@ def test_dense_group(spark):
         for _ in range(rnd.choice([1, 2, 5, 12, 30])):
             w[rnd.randrange(400)] = f"x{rnd.randrange(10**6)}"
         rows.append((k, " ".join(w)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.cluster(spark.createDataFrame(rows, "doc_id bigint, text string"), leaf=10, local_edges=0).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.cluster(spark.createDataFrame(rows, "doc_id bigint, text string"), leaf=10, most=4000).collect()}
     assert got == _brute_groups(rows)
 
 

@@ -105,6 +105,21 @@ def test_topk(spark):
     assert {(r.query_id, r.vec_id): r.score for r in topk.search(big, big, 1, scale=1).collect()} == {(0, 1): 9 * 10**14 + 2, (1, 0): 9 * 10**14 + 2, (2, 1): 10 - 9 * 10**14}
 
 
+def test_topk_at_64_bits(spark):
+    rnd = random.Random(9)
+    x = [[rnd.choice([-1, 1]) * rnd.randrange(2 ** rnd.choice([3, 20, 31, 40, 62])) for _ in range(5)] for _ in range(60)]
+    a = np.array(x, np.int64)
+    want = [[max(-(2**63), min(2**63 - 1, sum(p * q for p, q in zip(r, t, strict=True)))) for t in x] for r in x]
+    assert topk.products(a, a).tolist() == want and sum(abs(v) < 2**63 - 1 for r in want for v in r) > 200
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    exact = [[int(float(v)) for v in r] for r in x]
+    want = [[max(-(2**63), min(2**63 - 1, sum(p * q for p, q in zip(r, t, strict=True)))) for t in exact] for r in exact]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(rows, rows, 7, scale=1).collect())
+    assert got == sorted((i, n, j, -m) for i in range(60) for n, (m, j) in enumerate(sorted((-want[i][j], j) for j in range(60) if j != i)[:7], 1))
+    long = spark.createDataFrame([(i, [float((i * k) % 7) for k in range(20_000)]) for i in range(5)], "vec_id bigint, embedding array<double>")
+    assert topk.search(long, long, 2).count() == 10
+
+
 def test_urls(spark):
     urls = ["http://A.Example.com/en/7x?y#z", "https://x.net/de/1", "ftp://example.net/de/8#a", "nothing", None, "://", "http://com/en/", "http://notexample.org/es", "http://q.org/es/?a", "http://host?q=/en/"]
     pages = spark.createDataFrame([(k, u, "") for k, u in enumerate(urls)], "page_id bigint, url string, html string")

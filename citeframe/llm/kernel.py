@@ -121,6 +121,18 @@ def words(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray, fold: bool
     return Words(start, end, mix(h), np.searchsorted(start, bounds).astype(np.int64))
 
 
+def count_words(data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) -> np.ndarray:
+    """How many words each document has."""
+    if len(data) == 0:
+        return np.zeros(len(bounds) - 1, np.int64)
+    inside = is_word[data]
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1]
+    start = bounds[:-1][bounds[:-1] < bounds[1:]]
+    begin[start] = inside[start]
+    return np.diff(np.searchsorted(np.flatnonzero(begin), bounds))
+
+
 def grams(h: np.ndarray, ptr: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every k consecutive words (at the first word's index), and which of them lie in one document."""
     n = len(h)

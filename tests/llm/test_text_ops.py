@@ -134,8 +134,8 @@ def _brute_leaks(docs, items):
 def test_decontamination(spark, docs, odd, none):
     bench = spark.read.parquet(f"{D}/benchmark.parquet")
     want = _brute_leaks([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
-    for words in (2_000_000, 300):  # one part, and many
-        got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontam.find(docs, bench, ["doc_id"], part_words=words).collect()}
+    for bits in (decontam.FILTER_BITS, 1 << 16):  # a clear filter, and a full one
+        got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontam.find(docs, bench, ["doc_id"], filter_bits=bits).collect()}
         assert got == want
     assert sum(v[1] > 0 for v in want.values()) > 10
     rnd = random.Random(4)
@@ -146,3 +146,11 @@ def test_decontamination(spark, docs, odd, none):
     assert got == _brute_leaks(d, b)
     assert decontam.find(odd, bench, ["doc_id", "score"]).count() == 10 and decontam.find(none, bench, ["doc_id"]).count() == 0
     assert decontam.find(odd, bench.limit(0), ["doc_id"]).filter("n_hit > 0").count() == 0
+
+
+def test_decontamination_of_equal_words(spark):
+    n = 20_000  # pairing places would make 400 million rows
+    d = spark.createDataFrame([(1, "la " * n), (2, "la " * 9), (3, "x " + "la " * 12 + "y"), (3, "x " + "la " * 12 + "y")], "doc_id int, text string")
+    b = spark.createDataFrame([(7, "la " * n), (8, "la " * n), (9, "y")], "item_id int, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r["items"], [tuple(s) for s in r.spans]) for r in decontam.find(d, b, ["doc_id"]).collect())
+    assert got == [(1, n, n, ["7", "8"], [(0, n)]), (2, 9, 0, [], []), *[(3, 14, 13, ["7", "8", "9"], [(1, 14)])] * 2]

@@ -17,7 +17,6 @@ import json
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,8 @@ from pyspark.sql import functions as F
 from citeframe.llm.common import arrow_pass, grown
 
 SHORT = 48
-#: Words remembered by a Python worker; the cache starts anew when full.
-CACHE = 300_000
+#: Short words remembered by a Python worker, at 150 bytes or so each; the cache starts anew when full.
+CACHE = 200_000
 _NONE = np.int32(2**31 - 1)
 #: Unicode white space.
 _SPACE = r"\t-\r \u0085   -     　"
@@ -52,7 +51,7 @@ class Vocabulary:
     ranks: np.ndarray
     merged: np.ndarray  # id made by each rank
     special: dict[str, int]
-    cache: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    cache: dict[str, bytes] = field(default_factory=dict)  # ids of each word as 32-bit integers
 
     _MULT = np.uint32(0x9E3779B1)
 
@@ -97,8 +96,8 @@ class Vocabulary:
             todo, at = todo[on], (at[on] + np.uint32(1)) & np.uint32(len(self.keys) - 1)
         return out
 
-    def _short(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        out: list[tuple[int, ...]] = [()] * len(words)
+    def _short(self, words: list[bytes]) -> list[bytes]:
+        out = [b""] * len(words)
         size = np.array([len(w) for w in words])
         order = np.argsort(size, kind="stable")
         for lo in range(0, len(order), 4096):  # words of about the same length together
@@ -120,7 +119,7 @@ class Vocabulary:
                 go = best != _NONE
                 for k in np.flatnonzero(~go):
                     row = p[k]
-                    out[rows[live[k]]] = tuple(row[: n[live[k]]].tolist())
+                    out[rows[live[k]]] = row[: n[live[k]]].tobytes()
                 live, p, r, at, best = live[go], p[go], r[go], at[go], best[go]
                 if not len(live):
                     break
@@ -142,7 +141,7 @@ class Vocabulary:
                     p, r, col, width = p[:, : shrink + 1], r[:, :shrink], col[: shrink + 1], shrink
         return out
 
-    def _long(self, word: bytes) -> tuple[int, ...]:
+    def _long(self, word: bytes) -> bytes:
         ids = [*self.single[np.frombuffer(word[:-1], np.uint8)].tolist(), int(self.final[word[-1]])]
         n = len(ids)
         nxt, prev = [*range(1, n), -1], [*range(-1, n - 1)]
@@ -167,10 +166,10 @@ class Vocabulary:
         while i >= 0:
             out.append(ids[i])
             i = nxt[i]
-        return tuple(out)
+        return np.array(out, np.int32).tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """Token ids of each text; null counts as empty."""
+    def packed(self, texts: list[str | None]) -> list[bytes]:
+        """Token ids of each text as 32-bit integers; null counts as empty."""
         special = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         pieces = []  # of each text: lists of words, and ids of special tokens
         for t in texts:
@@ -179,17 +178,22 @@ class Vocabulary:
             elif special is None or not any(s in t for s in self.special):
                 pieces.append([_words(t)])
             else:
-                pieces.append([self.special[x] if x in self.special else _words(x) for x in special.split(t) if x])
-        new = set().union(*[x for p in pieces for x in p if not isinstance(x, int)])
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
+                pieces.append([np.int32(self.special[x]).tobytes() if x in self.special else _words(x) for x in special.split(t) if x])
+        new = set().union(*[x for p in pieces for x in p if not isinstance(x, bytes)])
         missing = [w for w in new if w not in self.cache]
+        if len(self.cache) + len(missing) > CACHE:
+            self.cache.clear()
+            missing = list(new)
         raw = [w.encode("utf-8", "replace") for w in missing]
         short = [k for k, b in enumerate(raw) if len(b) <= SHORT]
         self.cache.update(zip([missing[k] for k in short], self._short([raw[k] for k in short]), strict=True))
-        self.cache.update((missing[k], self._long(b)) for k, b in enumerate(raw) if len(b) > SHORT)
-        get = self.cache.__getitem__
-        return [list(chain.from_iterable((x,) if isinstance(x, int) else chain.from_iterable(map(get, x)) for x in p)) for p in pieces]
+        long = {missing[k]: self._long(b) for k, b in enumerate(raw) if len(b) > SHORT}  # not remembered, so that the cache's bytes are bounded too
+        get = self.cache.__getitem__ if not long else lambda w: long[w] if w in long else self.cache[w]
+        return [b"".join([x if isinstance(x, bytes) else b"".join(map(get, x)) for x in p]) for p in pieces]
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        """Token ids of each text; null counts as empty."""
+        return [np.frombuffer(x, np.int32).tolist() for x in self.packed(texts)]
 
     def decode(self, ids: list[int]) -> str:
         """The tokens' strings with a space between each two, as a vocabulary without a decoder has it."""
@@ -229,9 +233,9 @@ def round_trip(docs: DataFrame, path: str, columns: list[str], text: str = "text
     """
 
     def work(v: Vocabulary, column: pa.Array) -> dict[str, pa.Array]:
-        ids = v.encode(column.to_pylist())
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, ends[-1])
-        return {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), "decoded": pa.array([v.decode(x) for x in ids], pa.string())}
+        ids = v.packed(column.to_pylist())
+        ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+        flat = np.frombuffer(b"".join(ids), np.int32)
+        return {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), "decoded": pa.array([v.decode(np.frombuffer(x, np.int32).tolist()) for x in ids], pa.string())}
 
     return _pass(docs, path, columns, "ids array<int>, decoded string", text, work)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -15,6 +16,8 @@ from pyspark.sql.types import StructType
 from citeframe.llm import kernel
 from citeframe.shipping import ship
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2_000
 #: An id filter has about this many slots for each id, and MOST_SLOTS, 8 MB as bits, at most.
 SLOTS_PER_ID = 16
 MOST_SLOTS = 1 << 26
@@ -32,14 +35,31 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def prepare(spark: SparkSession) -> None:
+    """Send the package, and let a batch for Python hold fewer rows than by default, as rows are whole texts; a setting of the user's own stays."""
+    ship(spark)
+    if spark.conf.get(BATCH, None) == "10000":
+        spark.conf.set(BATCH, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Return the memory that a Python worker no longer uses; it waits for its next task otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def arrow_pass(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: StructType | str, text: str = "text") -> DataFrame:
     """mapInArrow over parts of a few MB of text each."""
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernel.slices(batch, text):
                 yield work(part)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

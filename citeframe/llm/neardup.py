@@ -26,14 +26,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeframe.llm import kernel
-from citeframe.llm.common import arrow_pass, id_filter, settle, split_by, starts, whole_groups
-from citeframe.shipping import ship
+from citeframe.llm.common import arrow_pass, give_back, id_filter, prepare, settle, split_by, starts, whole_groups
 
 SHINGLE = 5
 #: Minwise tokens, 8 bits each, that one tree draws on and no other.
@@ -247,6 +245,7 @@ def confirmed(blocks: DataFrame, classes: DataFrame, texts: DataFrame, k: int, p
                     a.append(x)
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        give_back()
 
     have = blocks.join(classes.select("rid", "sig"), "rid").join(texts, "rid").select("block", "rid", "comp", "side", "sig", "text")
     return have.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a bigint, b bigint")
@@ -404,7 +403,7 @@ def cluster(docs: DataFrame, *, k: int = SHINGLE, percent: int = 85, depth: int
     that two documents at the threshold miss each other in all of them with a probability of at most MISS, be their nodes as deep as `deepest`.
     `leaf` is the number of classes, and `most` the number of shingles, of a slice that one task compares.
     """
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     threshold = percent / 100
     if rounds is None:
         rounds = (2, max(1, trees_for(threshold, max(depth, deepest)) - 2))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeframe import catalog_documents
 from citeframe.functions import text as X
 from citeframe.functions import thai
 from citeframe.operators import blocks, derive, facts, pages, pricing, score, validate
@@ -34,11 +35,11 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_Q)
+    return _Q | catalog_documents.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | catalog_documents.oracle_sql()
 
 
 # ---- sources -------------------------------------------------------------------------------------------------
@@ -198,13 +199,6 @@ def amount_cross_check(spark, d):
     return _t(spark, d, "orders").withColumn("leaf", leaf).select("o_orderkey", derive.amount_flag("ราคากลาง", F.col("leaf")).isNotNull().alias("flagged"))
 
 
-@_query("""select doc_id, origin, count(*) as n from (select doc_id, unnest(['model', 'derived']) as origin from documents where doc_id % 2 = 0 union all select doc_id, 'model' from documents where doc_id % 2 = 1) group by all""")
-def derived_flags_union(spark, d):
-    flag = lambda o: F.struct(F.lit("x").alias("text"), F.lit(o).alias("origin"))
-    both = F.concat(F.array(flag("model")), F.filter(F.array(F.when(F.col("doc_id") % 2 == 0, flag("derived"))), lambda f: f.isNotNull()))
-    return _t(spark, d, "documents").select("doc_id", F.explode(both).alias("f")).groupBy("doc_id", F.col("f.origin").alias("origin")).agg(F.count("*").alias("n"))
-
-
 def _usage(spark, d):
     k = F.col("o_orderkey")
     model = F.element_at(F.array(*[F.lit(m) for m in ("claude-opus-5", "claude-haiku-4-5", "claude-sonnet-4-6", "unknown-model")]), (k % 4 + 1).cast("int"))
@@ -222,7 +216,7 @@ def usage_cost(spark, d):
 
 @_query(f"""with {_USAGE}, g as (select doc_id, model, sum(i) as i, sum(o) as o, sum(r) as r from u group by all)
     select doc_id, case when count(*) = 1 then 'anthropic' else 'mixed' end as provider,
-    case when count(*) = 1 then max(model) else string_agg('anthropic/' || model, ', ' order by model) end as model,
+    case when count(*) = 1 then max(model) else string_agg('anthropic/' || model, ',' order by model) end as model,
     cast(case when bool_or(pi is null) then null else sum(i * pi + r * pi // 10 + o * po) end as bigint) as micro_usd from g left join p using (model) group by doc_id""")
 def mixed_cost(spark, d):
     return pricing.mixed_cost(pricing.cost(pricing.usage_by_pair(_usage(spark, d)))).select("doc_id", "provider", "model", F.round(F.col("usd") * 1_000_000).cast("bigint").alias("micro_usd"))
@@ -362,23 +356,12 @@ def cell_resolves(spark, d):
     return cited.join(there, ["sheet", "ref"], "left").groupBy("sheet").agg(F.count("*").alias("cells"), F.count_if(F.coalesce("there", F.lit(False))).alias("found"))
 
 
-@_query("""select p_brand as doc_id, p_partkey as seq_a, p_partkey as seq_b from part where p_partkey % 6 <> 0""")
-def same_source(spark, d):
-    rows = _sources(spark, d).join(_t(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey").select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("seq"), F.when(F.col("p_partkey") % 6 != 0, F.col("kind")).alias("kind"), "page", "ref", F.col("p_partkey").cast("string").alias("quote"))
-    return facts.same_source(rows, rows).select("doc_id", "seq_a", "seq_b")
-
-
-@_query("""select item_id, cast(length(text) > 60 as boolean) as long_item, true as hit from benchmark""")
-def quote_highlight(spark, d):
-    quote = F.concat(F.lit("a  "), F.replace("text", F.lit(" "), F.lit("  ")), F.lit(" z"))
-    return _t(spark, d, "benchmark").select("item_id", (F.length("text") > 60).alias("long_item"), X.highlights(quote, F.col("text")).alias("hit"))
-
-
 @_query("""with b as (select doc_id, trim(line) as text, row_number() over (partition by doc_id order by pos) as seq from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents) where trim(line) <> ''),
     q as (select doc_id, seq, b.text, case when seq % 3 = 0 then coalesce(m.text, '') else replace(b.text, ' ', '  ') end as quote from b left join benchmark m on m.item_id = seq % 50),
     s as (select doc_id, seq, trim(regexp_replace('a  ' || quote || ' z', '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) as quote, trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) as text from q)
     select doc_id, cast(seq as int) as seq, text <> '' and contains(quote, text) as hit from s""")
 def quote_highlight_blocks(spark, d):
+    ship(spark)
     b = blocks.paragraphs(_t(spark, d, "documents"))
     items = _t(spark, d, "benchmark").select(F.col("item_id").alias("of"), F.col("text").alias("other"))
     quoted = b.join(items, F.col("seq") % 50 == F.col("of"), "left")
@@ -562,12 +545,6 @@ def provider_comparison(spark, d):
     return score.provider_summary(tallies, runs)
 
 
-@_query("select conv_id, cast(count(*) as int) as expected, cast(count(*) filter (role = 'user') as int) as actual from conversations group by conv_id")
-def risk_flag_counts(spark, d):
-    rows = _t(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("role").alias("r"))
-    return rows.select("conv_id", F.size("r").alias("expected"), F.size(F.filter("r", lambda x: x == "user")).alias("actual"))
-
-
 @_query("""select page_id, replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as escaped, 'f' || page_id as stem from pages""")
 def viewer_text(spark, d):
     return _t(spark, d, "pages").select("page_id", X.html_escape(F.col("url")).alias("escaped"), X.strip_extension(F.concat(F.lit("f"), F.col("page_id").cast("string"), F.lit(".PDF"))).alias("stem"))

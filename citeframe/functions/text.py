@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from citeframe.functions.thai import nfc
+
 #: Formats of a source's ref by kind; pages have none.
 REF_FORMATS = {"paragraph": r"(?U)^para:\d+$", "table_cell_docx": r"(?U)^t\d+:r\d+:c\d+$", "cell_xlsx": r"(?U)^.+![A-Z]+\d+$"}
 PAGE_KINDS = ("text_page", "vision_page")
@@ -64,6 +66,7 @@ def primary_text(*fields: Column, rest: list[Column]) -> Column:
     return F.coalesce(*[F.nullif(f.cast("string"), F.lit("")) for f in fields], F.concat_ws(" ", *[r.cast("string") for r in rest]))
 
 
+# The words of a citation's place.
 def locator(kind: Column, page: Column, ref: Column, viewer: bool = False) -> Column:
     """A citation's place in words; the viewer has another remark for pages read from images."""
     cell = F.split(ref, ":")
@@ -124,6 +127,17 @@ def strip_extension(name: Column) -> Column:
     return F.regexp_replace(name, r"(?i)\.(pdf|docx|xlsx)$", "")
 
 
+def view_value(kind: str, value: Column) -> Column:
+    """A leaf's value as shown: null is empty, lists are joined, numbers grouped."""
+    shown = F.array_join(value, ", ") if kind == "arr" else view_number(value) if kind == "num" else value
+    return F.coalesce(shown, F.lit(""))
+
+
+def notice(status: Column) -> Column:
+    """What an upload's status calls for: a refusal is told as such, any other failure as an error."""
+    return F.when(status == 200, "result").when(status == 422, "refused").otherwise("error")
+
+
 def split_list(text: Column) -> Column:
     """Comma-separated values, trimmed, without blanks."""
     return F.filter(F.transform(F.split(text, ","), lambda s: strip(s)), lambda s: s != "")
@@ -135,5 +149,6 @@ def override_part(text: Column, k: int) -> Column:
 
 
 def highlights(quote: Column, item: Column) -> Column:
-    """Whether a text item, not empty, lies in the quote, white space aside."""
-    return (squeeze(item) != "") & squeeze(quote).contains(squeeze(item))
+    """Whether a text item, not empty, lies in the quote; both are made NFC, white space aside."""
+    plain = lambda x: squeeze(nfc(x))
+    return (plain(item) != "") & plain(quote).contains(plain(item))

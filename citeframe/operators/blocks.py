@@ -25,6 +25,14 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", seq.alias("seq"), F.lit("paragraph").alias("kind"), F.concat(F.lit("para:"), seq.cast("string")).alias("ref"), "text")
 
 
+def paragraph_text(docs: DataFrame) -> DataFrame:
+    """addressed(paragraphs(docs)) within the row, without a shuffle; documents without a block are left out."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda s: strip(s)), lambda s: s != "")
+    rows = docs.select("doc_id", lines.alias("lines")).filter(F.size("lines") > 0)
+    told = F.transform("lines", lambda x, i: F.concat(F.lit("[para:"), (i + 1).cast("string"), F.lit("] "), x))
+    return rows.select("doc_id", F.array_join(told, "\n").alias("document_text"))
+
+
 def addressed(blocks: DataFrame) -> DataFrame:
     """`[ref] text` lines in order, one text for each doc_id."""
     line = F.concat(F.lit("["), F.col("ref"), F.lit("] "), F.col("text"))
@@ -44,6 +52,7 @@ def over_cap(units: DataFrame, cap: int) -> DataFrame:
 
 
 def vision_over_cap(images: DataFrame) -> DataFrame:
+    """Documents whose rendered pages (doc_id, content) are too many or too large."""
     each = images.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum(F.length("content")).alias("bytes"))
     return each.filter((F.col("pages") > MAX_VISION_PAGES) | (F.col("bytes") > MAX_VISION_BYTES))
 
@@ -55,6 +64,13 @@ def preview(cells: DataFrame, most: int = MAX_PREVIEW_CELLS) -> DataFrame:
     return rows.filter(F.col("n") <= most).drop("n")
 
 
+def grid_axes(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, columns (by length, then letter) and rows (by number) of grids of cells (keys, ref); few for a sheet."""
+    col, row = F.regexp_extract("ref", r"^([A-Z]+)(\d+)$", 1), F.regexp_extract("ref", r"^([A-Z]+)(\d+)$", 2).cast("int")
+    axes = cells.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct(F.length(col).alias("n"), col.alias("c")))).alias("columns"), F.sort_array(F.collect_set(row)).alias("rows"))
+    return axes.select(*keys, F.transform("columns", lambda c: c["c"]).alias("columns"), "rows")
+
+
 def grid(cells: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """cells (keys, ref, value) as rows by number and columns by letter; `columns` in order of length, then letter."""
     rows = cells.select(*keys, F.regexp_extract("ref", r"^([A-Z]+)(\d+)$", 1).alias("col"), F.regexp_extract("ref", r"^([A-Z]+)(\d+)$", 2).cast("int").alias("row"), "value")

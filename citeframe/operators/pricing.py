@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeframe import settings
+
 # Published prices in USD for a million tokens (input, output), as of the date below.
 PRICING_AS_OF = "2026-09-02"
 PRICES = {
@@ -20,7 +22,7 @@ PRICES = {
     ("gemini", "gemini-3.6-flash"): (0.75, 3.75),
 }
 CACHE_MULTIPLIERS = {"anthropic": (1.25, 0.10)}
-USD_THB, USD_THB_DATE = 36.50, "2026-08-28"
+USD_THB, USD_THB_DATE = float(settings.FX_RATE), settings.FX_DATE
 
 
 def prices(spark: SparkSession) -> DataFrame:
@@ -63,6 +65,7 @@ def mixed_cost(costed: DataFrame, key: str = "doc_id") -> DataFrame:
     one = F.count("*") == 1
     total = lambda c: F.when(F.bool_or(F.col(c).isNull()), None).otherwise(F.sum(c))
     return costed.groupBy(key).agg(
-        F.when(one, F.max("provider")).otherwise("mixed").alias("provider"), F.when(one, F.max("model")).otherwise(F.array_join(pairs, ", ")).alias("model"),
+        F.when(one, F.max("provider")).otherwise("mixed").alias("provider"), F.when(one, F.max("model")).otherwise(F.array_join(pairs, ",")).alias("model"),
         F.round(total("usd"), 6).alias("usd"), F.round(total("thb"), 4).alias("thb"),
+        *[F.when(~F.bool_or(F.col("usd").isNull()), F.max(c)).alias(c) for c in ("usd_thb_rate", "rate_source_date", "pricing_as_of")],
     )

@@ -84,12 +84,3 @@ def provider_summary(tallies: DataFrame, runs: DataFrame) -> DataFrame:
     usd = F.when(F.bool_or(F.col("usd").isNull() & ~F.col("crashed")), "unknown").otherwise(F.concat(F.lit("$"), F.format_string("%.4f", F.coalesce(F.sum("usd"), F.lit(0.0)))))
     about = runs.groupBy("provider", "model").agg(F.when(crashed == "", "none").otherwise(crashed).alias("crashed"), usd.alias("cost"))
     return about.join(total, ["provider", "model"], "left")
-
-
-def markdown(tallies: DataFrame, title: str = "Evaluation", most: int = 500) -> str:
-    """The scored table as text; the number of paths is fixed by the schema, so little comes to the driver."""
-    rows = worst_first(tallies).limit(most).collect()
-    sums = {v: sum(r[v] for r in rows) for v in VERDICTS}
-    lines = [f"# {title}", "", "| path | " + " | ".join(VERDICTS) + " |", "|---|" + "---|" * len(VERDICTS)]
-    lines += [f"| {r['path']} | " + " | ".join(str(r[v]) for v in VERDICTS) + " |" for r in rows]
-    return "\n".join([*lines, "| total | " + " | ".join(str(sums[v]) for v in VERDICTS) + " |"])

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from citeframe import schema
 from citeframe.functions.text import override_part
-from citeframe.operators.validate import sourced_error
+from citeframe.operators import pricing
+from citeframe.operators.validate import ERRORS, node_errors
 
 MAX_ATTEMPTS = 2
 #: Errors that allow another attempt; others end the document at once.
@@ -16,8 +20,8 @@ STATUS = {"timeout": 504, "validation": 502, "auth": 500, "rate_limit": 429, "un
 DEFAULT_MAX_TOKENS, MISC_MAX_TOKENS = 8_000, 16_000
 #: (native structured output, vision input, prompt caching, reports token usage); the last provider sees images only if told so.
 PROVIDERS = {"anthropic": (True, True, True, True), "openai": (True, True, False, True), "gemini": (True, True, False, True), "openai_compat": (True, False, False, True)}
-# Settings that hold the providers' keys; any other provider uses the last.
-API_KEYS = {"anthropic": "ANTHROPIC_API_KEY", "openai": "OPENAI_API_KEY", "gemini": "GEMINI_API_KEY", "openai_compat": "TOR_PROVIDER_API_KEY"}
+#: Names of the rules that tell a model how to cite each kind of document.
+KIND_RULES = {"pdf": "page", "docx": "block", "xlsx": "cell"}
 
 
 def groups(spark: SparkSession) -> DataFrame:
@@ -25,8 +29,9 @@ def groups(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "ordinal int, name string, max_tokens int")
 
 
-def providers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(p, *c) for p, c in PROVIDERS.items()], "provider string, structured boolean, vision boolean, caching boolean, reports_usage boolean")
+def providers(spark: SparkSession, compat_vision: bool = False) -> DataFrame:
+    rows = [(p, c[0], c[1] or (compat_vision and p == "openai_compat"), *c[2:]) for p, c in PROVIDERS.items()]
+    return spark.createDataFrame(rows, "provider string, structured boolean, vision boolean, caching boolean, reports_usage boolean")
 
 
 def parse_overrides(env: DataFrame, prefix: str = "TOR_GROUP_") -> DataFrame:
@@ -41,6 +46,34 @@ def resolve(groups: DataFrame, overrides: DataFrame, provider: str, model: str)
     return groups.join(o, "name", "left").select("ordinal", "name", "max_tokens", F.coalesce("_p", F.lit(provider)).alias("provider"), F.coalesce("_m", F.lit(model)).alias("model"))
 
 
+def unresolved(resolved: DataFrame, provider: str, available: list[str]) -> DataFrame:
+    """(name, provider) of groups whose override names a provider that nobody supplies."""
+    return resolved.filter((F.col("provider") != provider) & ~F.col("provider").isin(*available)).select("name", "provider")
+
+
+def kind_rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(KIND_RULES.items()), "kind string, rules string")
+
+
+def rules_for(docs: DataFrame, rules: DataFrame) -> DataFrame:
+    """docs (doc_id, kind) with the rules of their kind; null where there are none, and then the document is refused."""
+    return docs.join(F.broadcast(rules), "kind", "left")  # one row for each kind of document
+
+
+def probed(providers: DataFrame, probes: DataFrame) -> DataFrame:
+    """providers whose structured output is as recorded probes (provider, error) found it: any error means there is none."""
+    failed = probes.filter("error is not null").select("provider", F.lit(True).alias("_failed")).distinct()
+    return providers.join(failed, "provider", "left").withColumn("structured", F.col("structured") & F.col("_failed").isNull()).drop("_failed")
+
+
+def schema_ceiling(probes: DataFrame) -> DataFrame:
+    """(provider, name, outcome) of one stub call for each group: OK, REJECTED by the provider, or FAILED otherwise.  probes: (provider, name, error)."""
+    known = F.col("error").isin(*[e for e in STATUS if e != "timeout"])
+    outcome = F.when(F.col("error").isNull(), 1).when(known, 2).otherwise(3)
+    names = F.array(F.lit("OK"), F.lit("REJECTED"), F.lit("FAILED"))
+    return probes.groupBy("provider", "name").agg(F.element_at(names, F.max(outcome)).alias("outcome"))
+
+
 def capability_gate(resolved: DataFrame, providers: DataFrame) -> DataFrame:
     """Groups whose provider is unknown or has no native structured output."""
     return resolved.join(providers.filter("structured").select("provider"), "provider", "left_anti")
@@ -53,6 +86,14 @@ def vision_gate(docs: DataFrame, resolved: DataFrame, providers: DataFrame) -> D
     return docs.filter("n_images > 0").select("doc_id").withColumn("_one", F.lit(1)).join(F.broadcast(first.withColumn("_one", F.lit(1))), "_one").select("doc_id", "group")
 
 
+def tried_attempts(responses: DataFrame) -> DataFrame:
+    """The attempts of each (doc_id, name) that count, numbered as _n: up to MAX_ATTEMPTS, none after a success or an error that forbids a retry."""
+    order = Window.partitionBy("doc_id", "name").orderBy("attempt")
+    ends = F.col("error").isNull() | ~F.col("error").isin(*RETRYABLE)
+    before = F.coalesce(F.max(ends.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return responses.withColumn("_n", F.row_number().over(order)).withColumn("_stop", before).filter((F.col("_n") <= MAX_ATTEMPTS) & (F.col("_stop") == 0)).drop("_stop")
+
+
 def select_attempts(responses: DataFrame) -> DataFrame:
     """The first valid attempt of each (doc_id, name), of the attempts that count: up to MAX_ATTEMPTS, none after an error that forbids a retry."""
     order = Window.partitionBy("doc_id", "name").orderBy("attempt")
@@ -67,25 +108,87 @@ def complete(selected: DataFrame, n_groups: int = len(schema.GROUPS)) -> DataFra
     return selected.groupBy("doc_id").agg(F.count_distinct("name").alias("n"), F.sum("duration_ms").alias("duration_ms")).filter(F.col("n") == n_groups).select("doc_id", "duration_ms")
 
 
+def _parsed(json: Column, kind: StructType) -> Column:
+    """JSON as a group's struct, with the raw text in _corrupt where it doesn't fit."""
+    return F.from_json(json, StructType([*kind.fields, StructField("_corrupt", StringType())]), {"columnNameOfCorruptRecord": "_corrupt"})
+
+
+def _group_errors(name: str, kind: StructType) -> Callable[[Column], Column]:
+    """What is wrong with a group's parsed answer."""
+    broken = F.array(F.struct(F.lit(name).alias("path"), F.lit("malformed").alias("code")))
+
+    def errors(got: Column) -> Column:
+        every = F.concat(*[node_errors(got[f.name], f.dataType, f.name) for f in kind.fields])
+        return F.when(got.isNull() | got["_corrupt"].isNotNull(), broken).otherwise(every)
+
+    return errors
+
+
+def checked(responses: DataFrame) -> DataFrame:
+    """responses with error `validation`, and detail, where an answer without error is malformed or breaks an invariant in any leaf."""
+    found = F.array().cast(ERRORS)
+    for name, kind in schema.GROUPS.items():
+        # parsed once, however often it is used
+        errors = F.element_at(F.transform(F.array(_parsed(F.col("json"), kind)), _group_errors(name, kind)), 1)
+        found = F.when((F.col("name") == name) & F.col("error").isNull(), errors).otherwise(found)
+    first = F.get(F.col("_found"), F.lit(0))
+    rows = responses.withColumn("_found", found)
+    return rows.withColumns({"error": F.when(F.size("_found") > 0, "validation").otherwise(F.col("error")), "detail": F.concat_ws(" ", first["path"], first["code"])}).drop("_found")
+
+
 def merge_groups(selected: DataFrame) -> DataFrame:
-    """One nested row for each complete document, from the JSON of its groups (doc_id, name, json)."""
-    done = selected.join(complete(selected).select("doc_id"), "doc_id", "left_semi")
-    parts = done.groupBy("doc_id").agg(*[F.max(F.when(F.col("name") == g, F.col("json"))).alias(g) for g in schema.GROUPS])
-    parsed = parts.select("doc_id", *[F.from_json(g, t).alias(g) for g, t in schema.GROUPS.items()])
+    """One nested row for each complete document, from the valid JSON of its groups (doc_id, name, json); malformed JSON is no success."""
+    good = selected
+    for name, kind in schema.GROUPS.items():
+        got = _parsed(F.col("json"), kind)
+        good = good.filter(~((F.col("name") == name) & F.coalesce(got.isNull() | got["_corrupt"].isNotNull(), F.lit(True))))
+    parts = good.groupBy("doc_id").agg(*[F.max(F.when(F.col("name") == g, F.col("json"))).alias(g) for g in schema.GROUPS])
+    whole = parts.filter(" and ".join(f"{g} is not null" for g in schema.GROUPS))
+    parsed = whole.select("doc_id", *[F.from_json(g, t).alias(g) for g, t in schema.GROUPS.items()])
     return parsed.select("doc_id", *[F.col(g)[f.name].alias(f.name) for g, t in schema.GROUPS.items() for f in t.fields])
 
 
+def extract_documents(docs: DataFrame, responses: DataFrame, resolved: DataFrame, providers: DataFrame, rules: DataFrame, fx: tuple[float, str] = (pricing.USD_THB, pricing.USD_THB_DATE)) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, kind, n_images) by recorded answers: (extracted, rejects).
+
+    extracted: doc_id, the nested columns, provider, model, the four token counters, duration_ms, usd, thb.
+    rejects: doc_id, stage (rules, gate or the group), code, detail, status.  A document is refused before any call if
+    its kind has no rules, if a group's provider has no structured output, or if it has images that a provider can't see;
+    else by its first group, in their order, of which no attempt is valid.  It is one or the other, never in part.
+    """
+    known = rules_for(docs, rules)
+    blind = resolved.join(providers.filter("vision").select("provider"), "provider", "left_anti").agg(F.min_by("name", "ordinal").alias("_blind"))
+    mute = capability_gate(resolved, providers).agg(F.min_by("name", "ordinal").alias("_mute"))
+    gates = known.withColumn("_one", F.lit(1)).join(F.broadcast(blind.withColumn("_one", F.lit(1))), "_one").join(F.broadcast(mute.withColumn("_one", F.lit(1))), "_one")  # one row each
+    refusal = (
+        F.when(F.col("rules").isNull(), F.struct(F.lit("rules").alias("stage"), F.lit("validation").alias("code"), F.concat(F.lit("no rules for "), F.coalesce("kind", F.lit("null"))).alias("detail")))
+        .when(F.col("_mute").isNotNull(), F.struct(F.lit("gate").alias("stage"), F.lit("unsupported").alias("code"), F.concat(F.col("_mute"), F.lit(": no structured output")).alias("detail")))
+        .when((F.col("n_images") > 0) & F.col("_blind").isNotNull(), F.struct(F.lit("gate").alias("stage"), F.lit("unsupported").alias("code"), F.concat(F.col("_blind"), F.lit(": sees no images")).alias("detail")))
+    )
+    gated = gates.select("doc_id", refusal.alias("refusal"))
+    open_ = gated.filter("refusal is null").select("doc_id")
+    tried = tried_attempts(checked(responses.join(open_, "doc_id", "left_semi")))
+    order = F.array_position(F.array(*[F.lit(g) for g in schema.GROUPS]), F.col("name"))
+    last = tried.groupBy("doc_id", "name").agg(F.bool_or(F.col("error").isNull()).alias("good"), F.max_by(F.struct("error", "detail"), "_n").alias("last"))
+    each = open_.select("doc_id", F.explode(F.array(*[F.lit(g) for g in schema.GROUPS])).alias("name")).join(last, ["doc_id", "name"], "left")
+    bad = F.when(~F.coalesce("good", F.lit(False)), F.struct(F.col("name").alias("stage"), F.coalesce("last.error", F.lit("api")).alias("code"), F.coalesce("last.detail", F.lit("no answer")).alias("detail")))
+    failed = each.withColumn("bad", bad).filter("bad is not null").groupBy("doc_id").agg(F.min_by("bad", order).alias("refusal"))
+    rejects = gated.filter("refusal is not null").unionByName(failed).select("doc_id", "refusal.*").withColumn("status", error_status(F.col("code")))
+    selected = tried.filter("error is null").join(failed.select("doc_id"), "doc_id", "left_anti").filter(order > 0)
+    tokens = ("input_tokens", "output_tokens", "cache_write_tokens", "cached_read_tokens")
+    cost = pricing.mixed_cost(pricing.cost(pricing.usage_by_pair(selected), *fx))
+    spent = selected.groupBy("doc_id").agg(*[F.sum(t).alias(t) for t in tokens], F.sum("duration_ms").alias("duration_ms"))
+    return merge_groups(selected).join(cost, "doc_id").join(spent, "doc_id"), rejects
+
+
 def merge_keys(parts: DataFrame) -> DataFrame:
     """(doc_id, key, value) from parts (doc_id, ordinal, key, value): the later group wins a key."""
     return parts.groupBy("doc_id", "key").agg(F.max_by("value", "ordinal").alias("value"))
 
 
 def leaf_errors(docs: DataFrame) -> DataFrame:
-    """Broken invariants of the scalar leaves: (doc_id, path, code)."""
-    leaves = [(f.name, F.col(f.name)) for f in schema.GROUPS["basic_info"].fields]
-    leaves += [(f"{b}.{f.name}", F.col(b)[f.name]) for b in schema.BONDS for f in schema.BOND.fields]
-    found = F.filter(F.array(*[F.struct(F.lit(p).alias("path"), sourced_error(c).alias("code")) for p, c in leaves]), lambda x: x["code"].isNotNull())
-    return docs.select("doc_id", F.inline(found))
+    """Broken invariants of every leaf of extracted documents: (doc_id, path, code); items of a list share `path[]`."""
+    return docs.select("doc_id", F.inline(F.concat(*[node_errors(F.col(f.name), f.dataType, f.name) for f in schema.DOCUMENT.fields if f.name in docs.columns])))
 
 
 def upload_status(has_key: Column, size: Column, kind: Column, enabled: Column, units: Column, cap: Column, parsed: Column, max_bytes: int) -> Column:
@@ -118,3 +221,18 @@ def prompt_blocks(shared: Column, kind_rules: Column, document: Column, instruct
     last = instruction if error is None else F.concat(instruction, F.coalesce(F.concat(F.lit("\n\n"), error), F.lit("")))
     block = lambda t, c: F.struct(t.alias("text"), F.lit(c).alias("cacheable"))
     return F.filter(F.array(block(shared, True), block(kind_rules, True), block(document, True), block(last, False)), lambda b: F.coalesce(b["text"], F.lit("")) != "")
+
+
+def image_caption(page: Column) -> Column:
+    """What is said before the image of a page."""
+    return F.concat(F.lit("[หน้า "), page.cast("string"), F.lit(" — ภาพหน้าเอกสารที่สแกน]"))
+
+
+def user_content(images: Column, message: Column) -> Column:
+    """The user's turn: for each image (page, media_type, content) its caption and itself, then the message; without images the message alone.
+
+    The last image ends the part that may be cached.
+    """
+    block = lambda kind, text=None, media=None, data=None, cached=False: F.struct(F.lit(kind).alias("kind"), (F.lit(None) if text is None else text).cast("string").alias("text"), (F.lit(None) if media is None else media).cast("string").alias("media_type"), (F.lit(None) if data is None else data).cast("string").alias("data"), (F.lit(cached) if isinstance(cached, bool) else cached).alias("cacheable"))
+    each = F.transform(images, lambda x, i: F.array(block("text", image_caption(x["page"])), block("image", None, x["media_type"], F.base64(x["content"]), i == F.size(images) - 1)))
+    return F.concat(F.coalesce(F.flatten(each), F.array().cast("array<struct<kind:string,text:string,media_type:string,data:string,cacheable:boolean>>")), F.array(block("text", message)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from citeframe import schema
 from citeframe.functions import text as X
-from citeframe.operators import blocks, derive, facts, pages, pricing, score, validate
+from citeframe.operators import blocks, derive, documents, facts, pages, pricing, score, validate
 from citeframe.plans import extraction
 
 
@@ -68,7 +68,7 @@ def test_pricing(spark):
     got = {(r.doc_id, r.provider): r for r in pricing.cost(u).collect()}
     assert got[1, "anthropic"].usd == pytest.approx(5 + 0.625 + 0.5 + 2.5) and got[2, "x"].usd is None
     mixed = {r.doc_id: r for r in pricing.mixed_cost(pricing.cost(u)).collect()}
-    assert mixed[1].provider == "mixed" and mixed[1].model == "anthropic/claude-opus-5, gemini/gemini-3.6-flash" and mixed[2].usd is None
+    assert mixed[1].provider == "mixed" and mixed[1].model == "anthropic/claude-opus-5,gemini/gemini-3.6-flash" and mixed[2].usd is None
     assert pricing.with_default(pricing.cost(u)).filter("doc_id = 2").first().pricing_as_of == "unknown"
 
 
@@ -118,7 +118,7 @@ def test_extraction_to_facts(spark, tmp_path):
     value = {(x.section, x["index"], x.field): x for x in got}
     assert value["key_dates", "0", "date_ce"].value == "2026-01-02" and value["bid_bond", "", "percent_of_budget_calculated"].value == "25.0"
     assert value["bid_bond", "", "accepted_forms"].value == "['a', 'b']" and value["contact", "", "email"].locator == "ย่อหน้าที่ 1"
-    assert "400.00" in value["risk_flags", "1", "derived"].value and extraction.leaf_errors(doc).count() == 0
+    assert "400.00" in value["risk_flags", "1", "derived"].value and {(x.path, x.code) for x in extraction.leaf_errors(doc).collect()} == {(p, "not_allowed") for p in ("procurement_method", "key_dates[].type", "qualifications[].category", "qualifications[].operator")}
     facts.write_csv(f, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == list(facts.CSV_COLUMNS)
     facts.write_json(doc, str(tmp_path / "json"))
@@ -156,8 +156,10 @@ def test_verdicts_and_reports(spark):
     rows = [("a b", " a  b ", "exact"), ("", "x", "wrong"), ("ab", "xaby", "exact"), (None, None, "exact"), (None, "x", "hallucinated"), ("x", None, "missed")]
     df = spark.createDataFrame([(k, e, a) for k, (e, a, _) in enumerate(rows)], "k int, e string, a string").withColumn("verdict", X.verdict(F.col("e"), F.col("a")))
     assert [r.verdict for r in df.orderBy("k").collect()] == [v for *_, v in rows]
-    table = score.markdown(score.tally(df.withColumn("path", F.lit("p")), "path"))
-    assert "| p | 3 | 1 | 1 | 1 |" in table
+    flags = spark.createDataFrame([("d", 0, 2)], "doc_id string, expected int, actual int")
+    none = spark.createDataFrame([], "doc_id string, path string, n_expected int, n_actual int, missed int, extra int")
+    lines = documents.report_lines(df.select(F.lit("d").alias("doc_id"), F.lit("p").alias("path"), "verdict"), flags, none)
+    assert [r.line for r in lines.orderBy("part", "rank").collect()] == ["# Evaluation of 1 document(s)", "| p | 3 | 1 | 1 | 1 |", "| total | 3 | 1 | 1 | 1 |", "| d | 0 | 2 |"]
 
 
 def test_stream(spark, tmp_path):

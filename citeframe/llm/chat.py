@@ -58,23 +58,38 @@ def paths(messages: DataFrame) -> DataFrame:
     return found
 
 
-def format_paths(messages: DataFrame, *, branches: int | None = None, learn: str = "assistant") -> DataFrame:
-    """key, leaf, rank, formatted, loss_spans for messages (key, node, parent, score, role, text).
+def messages_of(rows: DataFrame) -> DataFrame:
+    """Each message once: rows (key, node, parent, score, role, text) without those that name no node.
 
-    Branches rank by the sum of their scores (null: 0), ties by the smaller leaf; `branches` keeps the best only.
-    loss_spans are the code points [start, end) of the texts of `learn`'s turns within the formatted string.
-    Null roles and texts are empty.
+    Rows that repeat a key and node count once, the smallest by parent, score, role and text (nulls first); a null key is a
+    conversation of its own.
     """
-    way = paths(messages).join(messages.select("key", "node", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), "role", "text"), ["key", "node"])
+    one = F.min(F.struct("parent", "score", "role", "text")).alias("m")
+    return rows.filter(F.col("node").isNotNull()).withColumn("key", F.coalesce(F.col("key").cast("string"), F.lit("null"))).groupBy("key", "node").agg(one).select("key", "node", "m.*")
+
+
+def format_paths(messages: DataFrame, *, branches: int | None = None, learn: str = "assistant", unique: bool = False) -> DataFrame:
+    """key, leaf, rank, formatted, loss_spans for messages (key, node, parent, score, role, text), as messages_of reads them;
+    `unique` says that they are so already.
+
+    Branches rank by the sum of their scores (null: 0), ties by the smaller leaf; `branches` keeps the best only, before
+    any text is joined.  loss_spans are the code points [start, end) of the texts of `learn`'s turns within the formatted
+    string.  Null roles and texts are empty.  A conversation of any length is one value.
+    """
+    rows = settle(messages.select("key", "node", "parent", "score", "role", "text") if unique else messages_of(messages))
+    found = settle(paths(rows.select("key", "node", "parent")))
+    scored = found.join(rows.select("key", "node", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), ["key", "node"])
+    leaves = scored.groupBy("key", "leaf").agg(F.sum("score").alias("score"))
+    leaves = leaves.select("key", "leaf", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "leaf")).alias("rank"))
+    chosen = found.join(leaves.filter(F.col("rank") <= branches), ["key", "leaf"]) if branches else found.join(leaves, ["key", "leaf"])
     role, text = escape(F.col("role"), role=True), escape(F.col("text"))
-    way = way.select("key", "leaf", "back", "score", (F.col("role") == learn).alias("mine"), F.length(role).alias("r"), F.length(text).alias("t"), F.concat(F.lit("### "), role, F.lit(": "), text, F.lit(END)).alias("piece"))
+    way = chosen.join(rows.select("key", "node", "role", "text"), ["key", "node"])
+    way = way.select("key", "leaf", "rank", "back", (F.col("role") == learn).alias("mine"), F.length(role).alias("r"), F.length(text).alias("t"), F.concat(F.lit("### "), role, F.lit(": "), text, F.lit(END)).alias("piece"))
     before = F.coalesce(F.sum(F.length("piece")).over(Window.partitionBy("key", "leaf").orderBy(F.desc("back")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     way = way.withColumn("start", before + 6 + F.col("r"))
     span = F.when(F.coalesce("mine", F.lit(False)), F.struct("start", (F.col("start") + F.col("t")).alias("end")))
-    made = way.groupBy("key", "leaf").agg(F.sum("score").alias("score"), F.sort_array(F.collect_list(F.struct(-F.col("back"), "piece"))).alias("p"), F.sort_array(F.collect_list(span)).alias("loss_spans"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "leaf"))
-    made = made.select("key", "leaf", rank.alias("rank"), F.array_join("p.piece", "").alias("formatted"), "loss_spans")
-    return made.filter(F.col("rank") <= branches) if branches else made
+    made = way.groupBy("key", "leaf").agg(F.first("rank").alias("rank"), F.sort_array(F.collect_list(F.struct(-F.col("back"), "piece"))).alias("p"), F.sort_array(F.collect_list(span)).alias("loss_spans"))
+    return made.select("key", "leaf", "rank", F.array_join("p.piece", "").alias("formatted"), "loss_spans")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -158,7 +158,7 @@ def test_reply_trees(spark):
 def test_chat_turns(spark):
     rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 1, "assistant", None), (None, 0, "user", "x"), (2, 0, "user", "same"), (2, 0, "user", "same")]
     c = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    got = {r.key: [(t.role, t.text) for t in r.turns] for r in chat.read_back(chat.format_paths(chat.from_turns(c))).collect()}
+    got = {r.key: [(t.role, t.text) for t in r.turns] for r in chat.read_back(chat.format_paths(chat.from_turns(c), unique=True)).collect()}
     assert got == {"1": [("user", "a"), ("user", "b"), ("assistant", "")], "null": [("user", "x")], "2": [("user", "same")] * 2}
 
 

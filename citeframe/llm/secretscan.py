@@ -3,13 +3,14 @@
 The known shapes are three patterns.  All other runs of LEAST or more letters, digits and + / _ = - are candidates.
 For each, the narrowest encoding that has all its characters is inferred, and its characters as
 numbers of that alphabet face three tests of being uniform and independent: chi-squared over the alphabet, runs
-above and below the middle, and serial correlation.  Their p-values are combined by Fisher's method; a candidate
-that fails is no random string.
-
-Passing proves little for a short run, so a second p-value asks how likely ordinary text is to look like that: by
-Markov's inequality the ratio of the run's probability under ordinary letter frequencies to that under its
-alphabet is one, and it falls exponentially with the run's length.  Benjamini-Hochberg over all candidates of like
-length (_stratum) of the document then holds the expected share of false findings under `rate`: long runs pass on
+above and below the middle, and serial correlation.  Their p-values are combined by Fisher's method.
+
+False-discovery control goes both ways, over the candidates of like length (_stratum) of a document, by Benjamini-Hochberg.
+First the battery's p-values: the candidates that it finds not to be random are dropped, at an expected share of `least`
+of random ones among them.  Passing proves little for a short run, so a second p-value asks how likely ordinary text is to
+look like that: by Markov's inequality the ratio of the run's probability under ordinary letter frequencies to that under its
+alphabet is one, and it falls exponentially with the run's length.  The findings are those that hold the expected share
+of ordinary text among them under `rate`: long runs pass on
 their own and don't pay for the many short words, short ones pass only where they are extreme.  A run without letters is a number: digits of ordinary numbers are uniform too, so its
 p-value is 1.
 """
@@ -104,16 +105,18 @@ def _stratum(run: str) -> int:
 
 
 @lru_cache(maxsize=1 << 16)
-def _p_value(run: str, rate: float, least: float) -> float:
-    """The p-value that a candidate enters the false-discovery control with; 1 if the battery says it isn't random.
-
-    One over `rate` fails there whatever the battery says, which is then not asked.
-    """
+def _p_values(run: str, rate: float) -> tuple[float, float]:
+    """A candidate's p-values as ordinary text and by the battery.  One over `rate` fails whatever the battery says, which is then not asked (1)."""
     alphabet = _alphabet(run.rstrip("="))
     if not alphabet or not any(c.isalpha() for c in run):
-        return 1.0
+        return 1.0, 1.0
     p = ordinary(run, alphabet)
-    return p if p > rate or uniformity(run)[1] >= least else 1.0
+    return p, uniformity(run)[1] if p <= rate else 1.0
+
+
+def _discoveries(p: list[float], rate: float, of: int) -> int:
+    """How many of the sorted p-values of `of` tests Benjamini and Hochberg reject."""
+    return max((k for k, v in enumerate(p, 1) if v <= rate * k / of), default=0)
 
 
 def _covered(start: int, end: int, known: list[tuple[int, int]]) -> bool:
@@ -132,16 +135,17 @@ def spans(text: str, rate: float = 0.001, least: float = 0.001) -> list[tuple[st
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
     candidates = _CANDIDATE.findall(text)
     random = []
-    if any(_p_value(run, rate, least) <= rate for run in candidates):
+    if any(_p_values(run, rate)[0] <= rate for run in candidates):
         tested = defaultdict(list)  # those over `rate` only count
         for m in _CANDIDATE.finditer(text):
-            if (p := _p_value(m[0], rate, least)) <= rate:
-                tested[_stratum(m[0])].append((p, m.span()))
+            p, fit = _p_values(m[0], rate)
+            if p <= rate:
+                tested[_stratum(m[0])].append((fit, p, m.span()))
         sizes = Counter(map(_stratum, candidates))
         for stratum, some in tested.items():
             some.sort()
-            passed = max((k for k, (p, _) in enumerate(some, 1) if p <= rate * k / sizes[stratum]), default=0)
-            random += [at for _, at in some[:passed]]
+            some = sorted((p, at) for _, p, at in some[_discoveries([fit for fit, *_ in some], least, len(some)) :])
+            random += [at for _, at in some[: _discoveries([p for p, _ in some], rate, sizes[stratum])]]
     known = sorted((a, b) for _, a, b in found)
     found += [("random", *at) for at in random if not _covered(*at, known)]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))

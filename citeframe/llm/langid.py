@@ -3,8 +3,8 @@
 A document is the mean of the embeddings of its hashed byte 3- and 4-grams (case folded, everything but
 letters turned into spaces, which thereby mark word ends), and a linear softmax over the mean gives the
 languages; it has no bias, so that text of unseen n-grams stays near the uniform distribution.  Embeddings and softmax are trained together by stochastic gradient descent in numpy.  A
-separate part of the labelled sample fits the temperature of the softmax and the score under which a
-prediction is rejected.
+separate part of the labelled sample calibrates: cut to runs of a few words, where languages are still mistaken, it fits the temperature
+of the softmax; and the score under which a prediction is rejected.
 
 As the softmax is linear, embedding times weights is one small table, so whole corpora are scored by table
 look-ups and sums; the table holds integers, which makes a score independent of how rows were batched.
@@ -25,6 +25,7 @@ from citeframe.llm.common import arrow_pass, grown
 ORDERS = (3, 4)
 BITS = 17  # buckets of each order
 UNKNOWN = "und"
+SNIPPETS = 5  # of each text that calibrates
 _MULTIPLIER = {3: np.uint32(2654435761), 4: np.uint32(2246822519)}
 _POINT = 1 << 16  # fixed point of the scoring table
 
@@ -92,28 +93,37 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def snippet(text: str, rng: np.random.Generator) -> str:
+    """A run of 1 to 16 words of a text; the whole text if it has no more."""
+    words = text.split()
+    n = int(rng.choice([1, 2, 4, 8, 16]))
+    at = int(rng.integers(0, max(1, len(words) - n + 1)))
+    return " ".join(words[at : at + n])
+
+
 def train(texts: list[str], langs: list[str], *, dim: int = 16, steps: int = 400, rate: float = 30.0, batch: int = 32, miss: float = 0.002, most: float = 0.5, seed: int = 7) -> Model:
-    """Fit on four fifths of the rows; the rest calibrates.  `miss` is
-    the share of right predictions there that rejection may lose, and `most` the highest score that may be rejected."""
+    """Fit on four fifths of the rows; the rest calibrates: several snippets of each fit the temperature, by the least log loss.
+    `miss` is the share of right predictions of whole texts there that rejection may lose, and `most` the highest score that may be rejected."""
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs])
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
     fit, held = order[: max(1, len(order) * 4 // 5)], order[len(order) * 4 // 5 :]
-    counted = []
-    for t in texts:
+
+    def count(t: str) -> tuple[np.ndarray, np.ndarray]:
         raw = np.frombuffer(t.encode("utf-8", "replace"), np.uint8)
         ids = np.concatenate([b for b, _ in features(raw, np.array([0, len(raw)]))])
         ids, n = np.unique(ids[ids > 0], return_counts=True)
-        counted.append((ids, (n / max(1, n.sum())).astype(np.float32)))
+        return ids, (n / max(1, n.sum())).astype(np.float32)
+
+    counted = [count(t) for t in texts]
     emb = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     w = np.zeros((dim, len(names)), np.float32)
     share = np.bincount(y[fit], minlength=len(names)) / len(fit)
     weight = (1 / (len(names) * np.maximum(share, 1e-9))).clip(0, 10)
 
-    def packed(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        sizes = np.array([len(counted[r][0]) for r in rows])
-        return np.concatenate([counted[r][0] for r in rows]), np.concatenate([counted[r][1] for r in rows]), np.concatenate([[0], np.cumsum(sizes)])
+    def packed(some: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.concatenate([ids for ids, _ in some]), np.concatenate([v for _, v in some]), np.concatenate([[0], np.cumsum([len(ids) for ids, _ in some])])
 
     def mean(ids: np.ndarray, v: np.ndarray, ptr: np.ndarray) -> np.ndarray:
         return kernel.by_doc(emb[ids] * v[:, None], ptr, empty=0.0)
@@ -123,7 +133,7 @@ def train(texts: list[str], langs: list[str], *, dim: int = 16, steps: int = 400
         step = rate * (1 - epoch / epochs)
         for at in range(0, len(fit), batch):
             rows = fit[at : at + batch]
-            ids, v, ptr = packed(rows)
+            ids, v, ptr = packed([counted[r] for r in rows])
             z = mean(ids, v, ptr)
             d = softmax(z @ w)
             d[np.arange(len(rows)), y[rows]] -= 1
@@ -139,30 +149,34 @@ def train(texts: list[str], langs: list[str], *, dim: int = 16, steps: int = 400
     if not len(held):
         model.reject_below = most
         return model
-    ids, v, ptr = packed(held)
-    logits = mean(ids, v, ptr) @ w
-    options = np.geomspace(0.02, 20, 61)
-    loss = [-np.log(softmax(logits / t)[np.arange(len(held)), y[held]] + 1e-12).mean() for t in options]
-    model.temperature = float(max(options[int(np.argmin(loss))], 0.3))
-    p = softmax(logits / model.temperature)
+    short = [(count(snippet(texts[r], rng)), y[r]) for r in held for _ in range(SNIPPETS)]
+    short = [x for x in short if len(x[0][0])]
+    if short:
+        logits, of = mean(*packed([x for x, _ in short])) @ w, np.array([k for _, k in short])
+        options = np.geomspace(0.02, 20, 121)
+        loss = [-np.log(softmax(logits / t)[np.arange(len(of)), of] + 1e-12).mean() for t in options]
+        model.temperature = float(options[int(np.argmin(loss))])
+    p = softmax(mean(*packed([counted[r] for r in held])) @ w / model.temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == y[held]]
     model.reject_below = float(min(most, np.quantile(right, miss))) if len(right) else most
     return model
 
 
-def fit(docs: DataFrame, *, per_lang: int = 400, most_langs: int = 400, **options) -> Model | None:
+def fit(docs: DataFrame, *, per_lang: int = 400, most_rows: int = 40_000, **options) -> Model | None:
     """Train on `docs` (text, lang, key); None if no row has both.
 
-    At most about `per_lang` rows of each of the `most_langs` most frequent languages are used, picked by the
-    hash of the key: the sample on the driver is bounded, its rows are whole texts.
+    About `per_lang` rows of each language are used, fewer each if that made more than `most_rows` in all, picked by the
+    hash of the key; languages of few rows bring all of theirs.  So the sample on the driver is bounded by the two
+    parameters; its rows are whole texts.
     """
     rows = docs.filter(F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_lang / n))])
+    each = min(per_lang, max(1, most_rows // len(counts)))
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n))])
     picked = rows.filter(F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30)).filter(F.col("text").rlike(r"\p{L}"))
-    sample = sorted((r["key"], r["lang"], r["text"]) for r in picked.select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key"), "lang", "text").limit(2 * per_lang * len(counts)).collect())
+    sample = sorted((r["key"], r["lang"], r["text"]) for r in picked.select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key"), "lang", "text").limit(2 * each * len(counts)).collect())
     return train([t for _, _, t in sample], [x for _, x, _ in sample], **options) if sample else None
 
 

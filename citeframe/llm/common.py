@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,14 +25,38 @@ _PAGE = 1 << 15  # slots of one row of a filter
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder that spark.checkpoint.dir names.
+    """Cut the lineage by a reliable checkpoint in the shared folder; where spark.cleaner.referenceTracking.cleanCheckpoints is on, Spark removes it once unused."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
 
-    Only where the session has no such folder (tests on one machine) a temporary one is set.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for what is written on the way: the one the context has, else the one that spark.checkpoint.dir names.
+
+    Without either, a session of this one machine (tests) gets a temporary one; on a cluster, where such a folder
+    is another one on each node, that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="citeframe-"))
-    return df.checkpoint()
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="citeframe-"))
+    return sc.getCheckpointDir()
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that was written on the way."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def refuse(columns: Iterable[str], made: Iterable[str]) -> None:
+    """A column that is asked for mustn't have the name of one that an operator makes: the result would have two."""
+    clash = sorted({c.lower() for c in columns} & {c.lower() for c in made})
+    if clash:
+        raise ValueError(f"names of results: {', '.join(clash)}; rename these columns first")
 
 
 def prepare(spark: SparkSession) -> None:
@@ -147,5 +171,7 @@ def split_by(df: DataFrame, key: Column, known: IdFilter) -> DataFrame:
 
 
 def grown(df: DataFrame, columns: list[str], extra: str) -> StructType:
-    """The schema of some columns of df, followed by the fields of a DDL string."""
-    return StructType([*[df.schema[c] for c in columns], *StructType.fromDDL(extra).fields])
+    """The schema of some columns of df, followed by the fields of a DDL string; none may have the name of another."""
+    made = StructType.fromDDL(extra)
+    refuse(columns, made.fieldNames())
+    return StructType([*[df.schema[c] for c in columns], *made.fields])

@@ -64,7 +64,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["conv_id", "turn", "role", "text"]
     odd = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ODD_TEXT).alias("text"))
     messages = chat.from_turns(read(spark, sf_dir, "conversations").select(*columns).unionByName(odd.select(*columns)))
-    rows = chat.read_back(chat.format_paths(messages))
+    rows = chat.read_back(chat.format_paths(messages, unique=True))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return rows.select(
         F.expr("try_cast(key as bigint)").alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
@@ -97,8 +97,41 @@ def _extra(column: str, letters: str) -> str:
     return " + ".join(f"(length({column}) - length(replace({column}, '{x}', '')))" for x in letters)
 
 
+def _host_sql() -> str:
+    """The rules, and the beta-binomial bound of each host, level by level as hosts.reputation has them."""
+    rules = " ".join(
+        f"when (host = '{n}' or ends_with(host, '.{n}')) and starts_with(path, '/{r}') then '{t}'"
+        for t in sorted((t for _, t in URL_RULES), key=lambda t: (-len(t), t)) for n, _, r in [t.partition("/")])
+    blocked = ", ".join(f"'{t}'" for a, t in URL_RULES if a == "block")
+    twos = ", ".join(f"'{x}'" for x in hosts.SUFFIXES)
+
+    def strength(level: str) -> str:
+        return f"""m_{level} as (select sum(n)::double as n, sum(k)::double as k, count(*) as m, sum(n::double * n) as nn, sum(k::double * k / n) as kk from {level}s where n > 0),
+    a_{level} as (select *, (coalesce(k, 0) + 0.5) / (coalesce(n, 0) + 1) as p, n - nn / n - (m - 1) as size, kk - n * (k / n) * (k / n) - (m - 1) * (coalesce(k, 0) + 0.5) / (coalesce(n, 0) + 1) * (1 - (coalesce(k, 0) + 0.5) / (coalesce(n, 0) + 1)) as between_ from m_{level}),
+    r_{level} as (select p, case when m < 2 then null when size > 0 then between_ / (size * p * (1 - p)) else 0.5 end as rho from a_{level}),
+    s_{level} as (select p, case when rho is null then 2.0 when rho <= 1 / 10001.0 then 10000.0 else greatest(0.5, least(10000.0, 1 / rho - 1)) end::double as s from r_{level})"""
+
+    return f"""
+            with u as (select page_id, case when contains(coalesce(url, ''), '://') then substr(url, position('://' in url) + 3) else '' end as rest from pages),
+            h as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw from u),
+            q as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from h),
+            w as (select *, case {rules} end as rule from q),
+            l as (select *, case when rule is null then null when rule in ({blocked}) then 1 else 0 end as bad from w),
+            b as (select host, count(bad) as n, coalesce(sum(bad), 0) as k, regexp_replace(host, '(^.*@)|(:[0-9]*$)', '', 'g') as bare from l group by host),
+            d as (select *, string_split(bare, '.') as x, array_to_string(string_split(bare, '.')[-2:], '.') in ({twos}) as two, regexp_matches(bare, '^[0-9.]*$') or contains(bare, ':') as address from b),
+            hosts as (select host, n, k, case when address then bare when two then array_to_string(x[-3:], '.') else array_to_string(x[-2:], '.') end as domain,
+                case when address then '' when two then array_to_string(x[-2:], '.') else x[-1] end as suffix from d),
+            domains as (select domain, suffix, sum(n) as n, sum(k) as k from hosts group by all), suffixs as (select suffix, sum(n) as n, sum(k) as k from domains group by suffix),
+            {strength("suffix")}, {strength("domain")}, {strength("host")},
+            up as (select suffix, (k + s * p) / (n + s) as p from suffixs, s_suffix), mid as (select domain, suffix, (k + s * up.p) / (n + s) as p from domains join up using (suffix), s_domain),
+            post as (select host, (k + s * mid.p) / (n + s) as rate, n + s as size from hosts join mid using (domain, suffix), s_host),
+            low as (select host, greatest(0.0, rate - 1.645 * sqrt(rate * (1 - rate) / (size + 1))) as low from post)
+            select page_id, host, path, rule, case when bad = 1 then 'block' when bad = 0 then 'allow' when low >= 0.5 then 'block' else 'allow' end as verdict from l join low using (host)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_url_filter": _host_sql(),
         "op7_chat_format": rf"""
             with c as (
                 select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations

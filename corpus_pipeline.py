@@ -6,14 +6,13 @@ again as the next one's docs.  All but the last return the columns of docs, what
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeframe.llm import bpe, decontam, langid, neardup, secretscan
-from citeframe.llm.common import id_filter, read, settle, split_by
+from citeframe.llm.common import discard, id_filter, read, settle, shared_folder, split_by
 from citeframe.llm.queries import coded, language_model
 
 #: Documents whose sets of word shingles have a Jaccard of so many percent or more are near copies.
@@ -74,14 +73,14 @@ STAGES = [("language_id", language), ("near_dup", near_duplicates), ("decontamin
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents.  Between two, the rows are a table in the shared folder of spark.checkpoint.dir."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="citeframe-")
-    docs = read(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        path = f"{folder}/corpus-{uuid.uuid4().hex}/{k}-{name}"
-        out.write.parquet(path)
+    """All stages over documents.  Between two, the rows are a table in the shared folder, which goes when the next one is written; the last stays, as the result reads it."""
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    docs, before = read(spark, sf_dir, "documents"), None
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+        if before:
+            discard(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -81,7 +81,7 @@ def docx_blocks(spark, d):
     select doc_id, row_number() over (partition by doc_id order by pos) as seq, t from (
     select doc_id, pos, trim(line) as t from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents)) where t <> '') group by doc_id""")
 def docx_document_text(spark, d):
-    return blocks.addressed(blocks.paragraphs(_t(spark, d, "documents")))
+    return blocks.paragraph_text(_t(spark, d, "documents"))
 
 
 @_query("""with r as (select conv_id as doc_id, turn, text, turn // 2 + 1 as page, lag(turn // 2 + 1) over (partition by conv_id order by turn, text) as before
@@ -97,16 +97,10 @@ def _cells(spark, d):
     return p.select(F.lit(1).alias("doc_id"), F.concat(F.lit("S"), (F.col("p_partkey") % 3).cast("string")).alias("sheet"), F.floor(F.col("p_partkey") / 3).cast("int").alias("row"), F.explode(F.arrays_zip(F.array(F.lit("A"), F.lit("B"), F.lit("AA")).alias("col"), F.array(name, F.col("p_name"), X.number_text(F.col("p_retailprice"))).alias("value"))).alias("c")).select("doc_id", "sheet", "row", F.col("c.col").alias("col"), F.concat("c.col", F.col("row").cast("string")).alias("ref"), F.col("c.value").alias("value"))
 
 
-@_query("""with c as (select 'S' || (p_partkey % 3) as sheet, p_partkey // 3 as r, p_partkey from part)
-    select sheet, cast(r as int) as "row", cast(row_number() over (partition by sheet order by r) <= 20 as boolean) as shown, cast(count(*) over (partition by sheet) > 20 as boolean) as truncated from c qualify shown""")
+@_query("""with c as (select 'S' || (p_partkey % 3) as sheet, p_partkey // 3 as r, unnest(['A', 'AA', 'B']) as c from part)
+    select sheet, c || r as ref, count(*) over (partition by sheet) > 20 as truncated from c qualify row_number() over (partition by sheet order by r, c) <= 20""")
 def preview_truncate(spark, d):
-    rows = _cells(spark, d).filter("col = 'A'")
-    return blocks.preview(rows, 20).select("sheet", "row", F.lit(True).alias("shown"), "truncated")
-
-
-@_query("""select 'S' || (p_partkey % 3) as sheet, cast(p_partkey // 3 as int) as "row", cast(p_partkey as varchar) as "A", p_name as "B" from part""")
-def grid_pivot(spark, d):
-    return blocks.grid(_cells(spark, d), ["sheet"], ["AA", "B", "A"]).select("sheet", "row", "A", "B")
+    return blocks.preview(_cells(spark, d), 20).select("sheet", "ref", "truncated")
 
 
 @_query("""select o_orderkey, case when o_orderkey % 4 = 0 then null when o_orderkey % 4 = 1 then case when o_orderkey % 8 = 1 then 'TRUE' else 'FALSE' end
@@ -148,8 +142,25 @@ def glyph_anomalies(spark, d):
     return _t(spark, d, "part").select("p_partkey", thai.glyph_anomaly_count(rows).alias("n"))
 
 
-@_query("select o_orderkey, cast(o_orderkey * 37 + 1 as bigint) as n, cast(o_orderkey * 37 + 1 as bigint) as parsed from orders")
+_TOKENS = 7
+_FOLD = """list_reduce(list_prepend({'t': 0::bigint, 's': 0::bigint, 'd': null::bigint, 'v': 0::bigint}, list_transform(k, lambda i: {'t': 0::bigint, 's': 0::bigint, 'd': null::bigint, 'v': vals[i]})), lambda a, x:
+    case when x.v < 10 then {'t': a.t, 's': a.s, 'd': x.v, 'v': 0::bigint} when x.v < 1000000 then {'t': a.t, 's': a.s + coalesce(a.d, 1) * x.v, 'd': null::bigint, 'v': 0::bigint}
+    else {'t': a.t + case when a.s + coalesce(a.d, 0) = 0 then 1 else a.s + coalesce(a.d, 0) end * 1000000, 's': 0::bigint, 'd': null::bigint, 'v': 0::bigint} end)"""
+
+
+@_query(f"""with w as (select {list(thai.NUMBER_WORDS)!r} as names, {list(thai.NUMBER_WORDS.values())!r}::bigint[] as vals),
+    k as (select o_orderkey, list_transform(range(1, {_TOKENS + 1}), lambda i: cast((o_orderkey * (i + 3) * 7919 // (i * i)) % len(names) + 1 as int)) as k, names, vals from orders, w),
+    f as (select o_orderkey, 'จำนวน ' || array_to_string(list_transform(k, lambda i: names[i]), ' ') || ' บาทถ้วน' as words, {_FOLD} as r from k)
+    select o_orderkey, words, r.t + r.s + coalesce(r.d, 0) as parsed from f""")
 def number_words(spark, d):
+    names = F.array(*[F.lit(x) for x in thai.NUMBER_WORDS])
+    word = F.transform(F.sequence(F.lit(1), F.lit(_TOKENS)), lambda i: F.element_at(names, (F.floor(F.col("o_orderkey") * (i + 3) * 7919 / (i * i)).cast("bigint") % F.size(names) + 1).cast("int")))
+    words = F.concat(F.lit("จำนวน "), F.array_join(word, " "), F.lit(" บาทถ้วน"))
+    return _t(spark, d, "orders").select("o_orderkey", words.alias("words"), thai.number_words(words).alias("parsed"))
+
+
+@_query("""select o_orderkey, cast(o_orderkey * 37 + 1 as bigint) as n, cast(o_orderkey * 37 + 1 as bigint) as parsed from orders""")
+def number_words_composed(spark, d):
     n = (F.col("o_orderkey") * 37 + 1).cast("bigint")
     return _t(spark, d, "orders").select("o_orderkey", n.alias("n"), thai.number_words(F.concat(F.lit("จำนวน "), thai.words_of(n), F.lit("บาทถ้วน"))).alias("parsed"))
 
@@ -335,7 +346,7 @@ def facts_csv_rows(spark, d):
 
 def _cited(spark, d):
     b = blocks.paragraphs(_t(spark, d, "documents"))
-    f = b.select("doc_id", "seq", F.when(F.col("seq") % 5 == 0, F.concat(F.lit("para:"), (F.col("seq") + 100000).cast("string"))).otherwise(F.col("ref")).alias("ref"), F.when(F.col("seq") % 3 == 0, F.lit("\u0001")).otherwise(F.substring("text", 1, 10)).alias("quote"))
+    f = b.select("doc_id", "seq", F.when(F.col("seq") % 5 == 0, F.concat(F.lit("para:"), (F.col("seq") + 100000).cast("string"))).otherwise(F.col("ref")).alias("ref"), F.when(F.col("seq") % 3 == 0, F.lit("\u0001")).otherwise(F.col("text")).alias("quote"))
     return f, b
 
 
@@ -347,15 +358,6 @@ def citation_resolves(spark, d):
     return facts.resolve(f, b).join(by, "doc_id").groupBy("source").agg(F.count("*").alias("citations"), F.count_if("resolved").alias("resolved"), F.count_if("quoted").alias("quoted"))
 
 
-@_query("""select 'S' || (p_partkey % 3) as sheet, count(*) as cells, count(*) filter (p_partkey % 2 = 0) as found from part group by 1""")
-def cell_resolves(spark, d):
-    cells = _cells(spark, d).filter("col = 'A'")
-    key = F.col("value").cast("bigint")
-    cited = cells.select(F.concat("sheet", F.lit("!"), F.when(key % 2 == 0, F.col("ref")).otherwise(F.lit("ZZ1"))).alias("full")).select(X.cell_sheet(F.col("full")).alias("sheet"), X.cell_ref(F.col("full")).alias("ref"))
-    there = cells.select("sheet", "ref", F.lit(True).alias("there"))
-    return cited.join(there, ["sheet", "ref"], "left").groupBy("sheet").agg(F.count("*").alias("cells"), F.count_if(F.coalesce("there", F.lit(False))).alias("found"))
-
-
 @_query("""with b as (select doc_id, trim(line) as text, row_number() over (partition by doc_id order by pos) as seq from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents) where trim(line) <> ''),
     q as (select doc_id, seq, b.text, case when seq % 3 = 0 then coalesce(m.text, '') else replace(b.text, ' ', '  ') end as quote from b left join benchmark m on m.item_id = seq % 50),
     s as (select doc_id, seq, trim(regexp_replace('a  ' || quote || ' z', '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) as quote, trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) as text from q)
@@ -430,12 +432,6 @@ def error_status(spark, d):
     return _t(spark, d, "events").select("event_id", extraction.error_status(F.element_at(names, (F.col("event_id") % 7 + 1).cast("int"))).alias("status"))
 
 
-@_query("select doc_id, cast(case when doc_id % 3 = 0 then 3 else 4 end as int) as n, cast(3 - case when doc_id % 3 = 0 then 1 else 0 end as int) as cacheable from documents")
-def prompt_assembly(spark, d):
-    b = extraction.prompt_blocks(F.lit("rules"), F.when(F.col("doc_id") % 3 == 0, "").otherwise("kind"), F.col("text"), F.lit("do"), F.lit("error"))
-    return _t(spark, d, "documents").filter("text <> ''").withColumn("b", b).select("doc_id", F.size("b").alias("n"), F.size(F.filter("b", lambda x: x["cacheable"])).alias("cacheable"))
-
-
 # ---- scoring -------------------------------------------------------------------------------------------------
 
 def _leaves(spark, d):

@@ -432,16 +432,30 @@ def result_table(spark, d):
     return facts.result_table(facts.flatten(derive.assemble(_documents(spark, d)))).drop("seq")
 
 
-@_query("""select o_custkey as doc_id, section, field, value, locator_kind, locator, quote, confidence, reason, "index" from (
-    select o_custkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as i, year(o_orderdate) as y, o_orderpriority as p, o_orderkey as k from orders) o,
-    lateral (select 'key_dates' as section, unnest(['type', 'date_be', 'time', 'location', 'date_ce']) as field, unnest(['ประกาศผล', (y + 543) || '-01-02', '', '', y || '-01-02']) as value,
-        unnest(['paragraph', 'paragraph', '', '', '']) as locator_kind, unnest(['ย่อหน้าที่ 1', 'ย่อหน้าที่ 1', '', '', '']) as locator, unnest(['q', 'q', '', '', '']) as quote, unnest(['high', 'high', 'high', 'high', '']) as confidence,
-        unnest(['', '', 'not in text', 'not in text', '']) as reason, cast(i as varchar) as "index") t
-    union all select o_custkey, 'deliverables', unnest(['phase', 'description', 'days_from_signing', 'payment_percent']), unnest([p, '', cast(cast(k as double) as varchar), '']), unnest(['paragraph', '', 'paragraph', '']), unnest(['ย่อหน้าที่ 1', '', 'ย่อหน้าที่ 1', '']),
-        unnest(['q', '', 'q', '']), 'high', unnest(['', 'not in text', '', 'not in text']), cast(i as varchar) from (select o_custkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as i, o_orderpriority as p, o_orderkey as k from orders)""")
-def list_csv_rows(spark, d):
-    lists = _documents(spark, d).select("doc_id", *[f.name for f in S.DOCUMENT.fields])
-    return facts.csv_rows(facts.flatten(derive.assemble(lists))).filter(F.col("section").isin("key_dates", "deliverables")).drop("seq")
+@_query("""with o as (select o_custkey as doc_id, o_orderkey, cast(row_number() over (partition by o_custkey order by o_orderkey) - 1 as varchar) as i, year(o_orderdate) as y, o_orderpriority as p from orders),
+    c as (select c_custkey as doc_id, c_name from customer where c_custkey in (select o_custkey from orders)), bonds as (select * from (values ('bid_bond', 1, '12.5'), ('contract_bond', 2, '25.0'), ('warranty_bond', 4, '50.0')) as t(b, n, pc)),
+    r as (select doc_id, 'basic_info' as section, '' as "index", 'project_name' as field, c_name as value, 1 as how from c
+    union all select doc_id, 'basic_info', '', 'budget_amount', cast(cast(doc_id * 8 as double) as varchar), 1 from c
+    union all select doc_id, 'basic_info', '', unnest(['project_id', 'agency', 'announcement_date', 'procurement_method', 'median_price']), '', 0 from c
+    union all select doc_id, 'key_dates', i, unnest(['type', 'date_be', 'time', 'location', 'date_ce']), unnest(['ประกาศผล', (y + 543) || '-01-02', '', '', y || '-01-02']), unnest([1, 1, 0, 0, 2]) from o
+    union all select doc_id, b, '', 'amount', case when doc_id % 3 = 0 then '' else cast(cast(doc_id * n as double) as varchar) end, case when doc_id % 3 = 0 then 0 else 1 end from c, bonds
+    union all select doc_id, b, '', 'percent_stated', '', 0 from c, bonds union all select doc_id, b, '', 'accepted_forms', '[''cash'', "bank''s"]', 1 from c, bonds
+    union all select doc_id, b, '', 'percent_of_budget_calculated', case when doc_id % 3 = 0 then '' else pc end, case when doc_id % 3 = 0 then 3 else 2 end from c, bonds
+    union all select doc_id, 'deliverables', i, unnest(['phase', 'description', 'days_from_signing', 'payment_percent']), unnest([p, '', cast(cast(o_orderkey as double) as varchar), '']), unnest([1, 0, 1, 0]) from o
+    union all select doc_id, 'required_documents', '0', 'document', 'form', 1 from c
+    union all select doc_id, 'penalty', '', unnest(['rate_percent_per_day', 'cap_percent']), '', 0 from c
+    union all select doc_id, 'evaluation_criteria', '', unnest(['method', 'price_weight', 'technical_weight', 'sub_criteria']), '', 0 from c
+    union all select doc_id, 'contact', '', unnest(['name_redacted', 'department', 'phone', 'email']), '', 0 from c)
+    select doc_id, section, "index", field, value, case when how = 1 then 'paragraph' else '' end as locator_kind, case when how = 1 then 'ย่อหน้าที่ 1' else '' end as locator, case when how = 1 then 'q' else '' end as quote,
+    case when how < 2 then 'high' else '' end as confidence, case how when 0 then 'not in text' when 3 then 'คำนวณไม่ได้ (ไม่มี amount หรือ budget_amount)' else '' end as reason from r""")
+def facts_csv_cells(spark, d):
+    return facts.csv_rows(facts.flatten(derive.assemble(_documents(spark, d)))).drop("seq")
+
+
+@_query("""select page_id, cast(length(url) as bigint) as pinned, cast(length(url) + case when page_id % 3 = 0 then 1 else 0 end as bigint) as found from pages where page_id % 3 = 0""")
+def size_drift(spark, d):
+    rows = _t(spark, d, "pages").select("page_id", F.length("url").cast("bigint").alias("pinned"), (F.length("url") + F.when(F.col("page_id") % 3 == 0, 1).otherwise(0)).cast("bigint").alias("found"))
+    return ingest.size_drift(rows.select("page_id", "pinned"), rows.select("page_id", "found"), "page_id")
 
 
 @_query("""select o_custkey as doc_id, cast(n as bigint) as flags, cast(n + 1 as bigint) as with_model, 'ราคากลาง: ตัวเลข (' || format('{:,.2f}', a) || ') กับจำนวนที่สะกดเป็นตัวอักษร (' || format('{:,.2f}', a - 2) || ') ในข้อความเดียวกันไม่ตรงกัน — ต้องตรวจสอบกับต้นฉบับ' as told

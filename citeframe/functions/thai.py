@@ -61,7 +61,7 @@ def be_date_to_ce(text: Column) -> Column:
     """The first run of a year 24xx, 25xx or 26xx, wherever it stands, made Common Era; null if there is none."""
     pattern = r"(?s)(?U)^(.*?)((?:24|25|26)\d{2})(.*)$"
     year = arabic_digits(F.regexp_extract(text, pattern, 2))
-    new = F.concat(F.regexp_extract(text, pattern, 1), (year.try_cast("int") - ERA).cast("string"), F.regexp_extract(text, pattern, 3))
+    new = F.concat(F.regexp_extract(text, pattern, 1), be_to_ce(year.try_cast("int")).cast("string"), F.regexp_extract(text, pattern, 3))
     return F.when(year != "", new)
 
 

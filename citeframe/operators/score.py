@@ -15,13 +15,13 @@ EXCLUDED = ("risk_flags",)
 def greedy_match(expected: Column, actual: Column, threshold: float = MATCH_THRESHOLD) -> Column:
     """array<struct<i, j>>: items of two lists paired one to one, the most similar first, ties by i, then j.
 
-    All pairs stay inside the row; lists are those of one document.
+    Lists are those of one document and stay inside the row; of all pairs only those that reach the threshold are kept.
     """
     pair = lambda e, i, a, j: F.struct((-prepared_similarity(e, a)).alias("s"), i.alias("i"), j.alias("j"))
     # both lists are bound as one struct, or the inner one would be prepared again for every outer item
     lists = F.array(F.struct(prepared(expected).alias("e"), prepared(actual).alias("a")))
-    scored = F.flatten(F.flatten(F.transform(lists, lambda p: F.transform(p["e"], lambda e, i: F.transform(p["a"], lambda a, j: pair(e, i, a, j))))))
-    ranked = F.array_sort(F.filter(scored, lambda x: -x["s"] >= threshold))
+    near = lambda p: lambda e, i: F.filter(F.transform(p["a"], lambda a, j: pair(e, i, a, j)), lambda x: -x["s"] >= threshold)
+    ranked = F.array_sort(F.flatten(F.flatten(F.transform(lists, lambda p: F.transform(p["e"], near(p))))))
     taken = lambda acc, x: F.exists(acc, lambda p: (p["i"] == x["i"]) | (p["j"] == x["j"]))
     none = F.array().cast("array<struct<i:int,j:int>>")
     return F.aggregate(ranked, none, lambda acc, x: F.when(taken(acc, x), acc).otherwise(F.concat(acc, F.array(F.struct(x["i"].alias("i"), x["j"].alias("j"))))))

@@ -240,6 +240,11 @@ def parse_golden(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.from_json("json", kind).alias("d")).select("doc_id", "d.*")
 
 
+def size_drift(pinned: DataFrame, found: DataFrame, key: str = "path") -> DataFrame:
+    """(key, pinned, found): files whose size isn't the pinned one any more, so that another file may have taken their place."""
+    return pinned.join(found, key).filter(~F.col("pinned").eqNullSafe(F.col("found"))).select(key, "pinned", "found")
+
+
 def responses(spark: SparkSession, path: str) -> DataFrame:
     """Recorded model outputs: doc_id, name, attempt, provider, model, json, counters, duration_ms, error."""
     return spark.read.schema("doc_id string, name string, attempt int, provider string, model string, json string, input_tokens bigint, output_tokens bigint, cache_write_tokens bigint, cached_read_tokens bigint, duration_ms bigint, error string").json(path)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeframe import schema, settings
-from citeframe.operators import documents, facts, pages
+from citeframe.operators import documents, facts, pages, score, validate
 from citeframe.plans import extraction
 from citeframe.sources import ingest, pdf, writers
 
@@ -141,3 +141,22 @@ def test_actuals_and_lines(spark, tmp_path):
     (tmp_path / "golden").mkdir()
     (tmp_path / "golden" / "one.json").write_text(_doc(project_name=LEAF("p")))
     assert [(r.doc_id, r.project_name.value) for r in ingest.golden(spark, str(tmp_path / "golden")).collect()] == [("one", "p")]
+
+
+def test_sources_and_rejects(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.txt").write_bytes(b"one two")
+    (tmp_path / "b.txt").write_bytes(b"x" * 100)
+    found = ingest.files(spark, f"file://{tmp_path}/*.txt", max_bytes=50)
+    assert [r.length for r in found.collect()] == [7]
+    monkeypatch.setattr(ingest, "READERS", dict(ingest.READERS))
+    ingest.register("pdf", lambda content: iter([("text_page", 7, None, content.decode())]))
+    got = ingest.dispatch(spark.createDataFrame([("d", bytearray(b"%PDF mine"))], "doc_id string, content binary"), kinds=["pdf"]).first()
+    assert (got.page, got.text, got.status) == (7, "%PDF mine", 200)
+    (tmp_path / "r.json").write_text('{"doc_id": "d", "name": "misc", "attempt": 1, "json": "{}", "input_tokens": 5}\n{"doc_id": "d", "name": "misc", "attempt": 2, "error": "auth"}')
+    answers = extraction.checked(ingest.responses(spark, str(tmp_path / "r.json")))
+    assert [(r.attempt, r.error, r.detail.split(" ")[-1]) for r in answers.orderBy("attempt").collect()] == [(1, "validation", "confidence"), (2, "auth", "")]
+    told = validate.rejects(answers, "doc_id", "misc", F.col("error"), F.col("detail")).collect()
+    assert sorted((r.stage, r.code) for r in told) == [("misc", "auth"), ("misc", "validation")]
+    lists = spark.createDataFrame([(["abc", "zzz"], ["q", "abc"])], "e array<string>, a array<string>")
+    pairs = score.greedy_match(F.col("e"), F.col("a"))
+    assert tuple(lists.select(score.unmatched(F.col("e"), pairs, "i"), score.unmatched(F.col("a"), pairs, "j")).first()) == ([1], [0])

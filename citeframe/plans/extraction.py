@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from citeframe import schema
 from citeframe.functions.text import override_part
 from citeframe.operators import pricing
+from citeframe.operators.documents import bound
 from citeframe.operators.validate import ERRORS, node_errors
 
 MAX_ATTEMPTS = 2
@@ -167,18 +168,33 @@ def extract_documents(docs: DataFrame, responses: DataFrame, resolved: DataFrame
     )
     gated = gates.select("doc_id", refusal.alias("refusal"))
     open_ = gated.filter("refusal is null").select("doc_id")
-    tried = tried_attempts(checked(responses.join(open_, "doc_id", "left_semi")))
-    order = F.array_position(F.array(*[F.lit(g) for g in schema.GROUPS]), F.col("name"))
-    last = tried.groupBy("doc_id", "name").agg(F.bool_or(F.col("error").isNull()).alias("good"), F.max_by(F.struct("error", "detail"), "_n").alias("last"))
-    each = open_.select("doc_id", F.explode(F.array(*[F.lit(g) for g in schema.GROUPS])).alias("name")).join(last, ["doc_id", "name"], "left")
-    bad = F.when(~F.coalesce("good", F.lit(False)), F.struct(F.col("name").alias("stage"), F.coalesce("last.error", F.lit("api")).alias("code"), F.coalesce("last.detail", F.lit("no answer")).alias("detail")))
-    failed = each.withColumn("bad", bad).filter("bad is not null").groupBy("doc_id").agg(F.min_by("bad", order).alias("refusal"))
-    rejects = gated.filter("refusal is not null").unionByName(failed).select("doc_id", "refusal.*").withColumn("status", error_status(F.col("code")))
-    selected = tried.filter("error is null").join(failed.select("doc_id"), "doc_id", "left_anti").filter(order > 0)
     tokens = ("input_tokens", "output_tokens", "cache_write_tokens", "cached_read_tokens")
-    cost = pricing.mixed_cost(pricing.cost(pricing.usage_by_pair(selected), *fx))
-    spent = selected.groupBy("doc_id").agg(*[F.sum(t).alias(t) for t in tokens], F.sum("duration_ms").alias("duration_ms"))
-    return merge_groups(selected).join(cost, "doc_id").join(spent, "doc_id"), rejects
+    attempt = F.struct("attempt", "name", "error", "detail", "json", "provider", "model", *tokens, "duration_ms")
+    # the answers of a document meet in one row, once; what follows happens there
+    answers = checked(responses).groupBy("doc_id").agg(F.sort_array(F.collect_list(attempt)).alias("all"))
+    told = open_.join(answers, "doc_id", "left").select("doc_id", F.transform(F.array(*[F.lit(g) for g in schema.GROUPS]), _outcome).alias("groups"))
+    bad = F.get(F.filter("groups", lambda g: g["good"].isNull()), F.lit(0))
+    refused = F.struct(bad["name"].alias("stage"), F.coalesce(bad["last"]["error"], F.lit("api")).alias("code"), F.coalesce(bad["last"]["detail"], F.lit("no answer")).alias("detail"))
+    failed = told.filter(bad.isNotNull()).select("doc_id", refused.alias("refusal"))
+    rejects = gated.filter("refusal is not null").unionByName(failed).select("doc_id", "refusal.*").withColumn("status", error_status(F.col("code")))
+    good = told.filter(bad.isNull()).select("doc_id", F.transform("groups", lambda g: g["good"]).alias("good"))
+    used = good.select("doc_id", F.inline("good")).select("doc_id", "provider", "model", *tokens)
+    cost = pricing.mixed_cost(pricing.cost(pricing.usage_by_pair(used), *fx))
+    total = lambda c: F.aggregate("good", F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(x[c].cast("bigint"), F.lit(0))).alias(c)
+    parsed = good.select("doc_id", *[total(c) for c in (*tokens, "duration_ms")], *[F.from_json(F.get("good", F.lit(k))["json"], t).alias(f"_{n}") for k, (n, t) in enumerate(schema.GROUPS.items())])
+    nested = parsed.select("doc_id", *[F.col(f"_{n}")[f.name].alias(f.name) for n, t in schema.GROUPS.items() for f in t.fields], *tokens, "duration_ms")
+    return nested.join(cost, "doc_id"), rejects
+
+
+def _outcome(name: Column) -> Column:
+    """name, good (the first valid attempt that counts, or null) and last (the last that counts) of one group, from the sorted attempts of a document in `all`."""
+    def told(mine: Column) -> Column:
+        first = F.get(mine, F.lit(0))
+        second = F.when(first["error"].isin(*RETRYABLE), F.get(mine, F.lit(1)))
+        valid = lambda x: F.when(x.isNotNull() & x["error"].isNull(), x)
+        return F.struct(name.alias("name"), F.coalesce(valid(first), valid(second)).alias("good"), F.coalesce(second, first).alias("last"))
+
+    return bound(F.filter("all", lambda x: x["name"] == name), told)
 
 
 def merge_keys(parts: DataFrame) -> DataFrame:

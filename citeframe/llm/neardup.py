@@ -42,6 +42,8 @@ MISS = 0.001
 RULED_OUT = 0.0001
 #: A task compares two slices of about so many shingles (8 bytes each) each.
 MOST_SHINGLES = 400_000
+#: Classes of more rows than this part of all are few enough to be broadcast.
+HOT = 1000
 #: Each slice of a large node or group is compared with about so many of its members, the same for all slices, before all others.
 PIVOTS = 16
 
@@ -409,7 +411,7 @@ def cluster(docs: DataFrame, *, k: int = SHINGLE, percent: int = 85, depth: int
         rounds = (2, max(1, trees_for(threshold, max(depth, deepest)) - 2))
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     rows = settle(describe(keyed, k, sum(rounds)))
-    classes = settle(rows.filter(F.col("n") > 0).groupBy("n", "s1", "s2").agg(F.min("row").alias("rid"), F.min("doc_id").alias("first"), F.first("sig").alias("sig")))
+    classes = settle(rows.filter(F.col("n") > 0).groupBy("n", "s1", "s2").agg(F.min("row").alias("rid"), F.min("doc_id").alias("first"), F.first("sig").alias("sig"), F.count("*").alias("c")))
     group = candidate_groups(classes, percent, depth, leaf, deepest, rounds)
     members = settle(group.join(classes.select("rid", F.col("n").alias("w")), "rid").select(F.col("comp").alias("node"), "rid", "w"))
     texts = keyed.select(F.col("row").alias("rid"), "text")
@@ -421,7 +423,12 @@ def cluster(docs: DataFrame, *, k: int = SHINGLE, percent: int = 85, depth: int
         comp = components(settle(confirmed(_exact(large, most), classes, texts, k, percent, least)), comp)
     linked = classes.join(comp, "rid").select("n", "s1", "s2", "comp", "first")
     linked = linked.join(linked.groupBy("comp").agg(F.min("first").alias("together")), "comp").select("n", "s1", "s2", "together")
-    own = classes.select("n", "s1", "s2", "first").join(linked, ["n", "s1", "s2"], "left").select("n", "s1", "s2", F.coalesce("together", "first").alias("component_id"))
-    of = rows.select("doc_id", "n", "s1", "s2").join(own, ["n", "s1", "s2"], "left")
+    own = settle(classes.select("n", "s1", "s2", "first", "c").join(linked, ["n", "s1", "s2"], "left").select("n", "s1", "s2", "c", F.coalesce("together", "first").alias("component_id")))
+    # classes of more than one HOT-th of all rows, of which there are fewer than HOT, are broadcast; no task gets all rows of one
+    least_rows = rows.count() / HOT
+    hot = F.broadcast(own.filter(F.col("c") > least_rows).drop("c"))
+    key = ["n", "s1", "s2"]
+    told = rows.select("doc_id", *key)
+    of = told.join(hot, key).unionByName(told.join(hot.select(*key), key, "left_anti").join(own.filter(F.col("c") <= least_rows).drop("c"), key, "left"))
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return of.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -128,8 +128,11 @@ def starts(column: pa.Array) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def read(spark: SparkSession, sf_dir: str, table: str, spread: bool = False) -> DataFrame:
+    """A table.  `spread` deals out the rows of one that is stored in fewer splits than there are cores, as few large row groups are, so that Python work on them uses all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def dealt(key: Column | str, parts: int) -> Column:

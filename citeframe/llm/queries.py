@@ -21,7 +21,7 @@ def language_model(docs: DataFrame) -> langid.Model | None:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = read(spark, sf_dir, "documents", spread=True)
     found = langid.predict(docs, language_model(docs), ["doc_id"])
     return found.select("doc_id", (dealt("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
@@ -32,7 +32,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.cluster(read(spark, sf_dir, "documents"))
+    return neardup.cluster(read(spark, sf_dir, "documents", spread=True))
 
 
 def _told(spans: Column) -> Column:
@@ -40,7 +40,7 @@ def _told(spans: Column) -> Column:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = secretscan.scan(read(spark, sf_dir, "documents"), ["doc_id"])
+    rows = secretscan.scan(read(spark, sf_dir, "documents", spread=True), ["doc_id"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"] != "random")
     return rows.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_told(base), 256).alias("base_sha256"), _told(F.col("spans")).alias("spans"))
@@ -52,7 +52,7 @@ def coded(rows: DataFrame) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bpe.round_trip(read(spark, sf_dir, "documents"), bpe.vocabulary_path(), ["doc_id"])
+    rows = bpe.round_trip(read(spark, sf_dir, "documents", spread=True), bpe.vocabulary_path(), ["doc_id"])
     return coded(rows).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
@@ -73,7 +73,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = read(spark, sf_dir, "documents", spread=True)
     labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).filter(dealt("doc_id", 5) != 0)
     rows = quality.score(docs, quality.fit(docs, labels), ["doc_id"])
     return rows.select("doc_id", (dealt("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
@@ -85,7 +85,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decontam.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), ["doc_id"])
+    rows = decontam.find(read(spark, sf_dir, "documents", spread=True), read(spark, sf_dir, "benchmark"), ["doc_id"])
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 

@@ -75,7 +75,7 @@ STAGES = [("language_id", language), ("near_dup", near_duplicates), ("decontamin
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents.  Between two, the rows are a table in the shared folder, which goes when the next one is written; the last stays, as the result reads it."""
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
-    docs, before = read(spark, sf_dir, "documents"), None
+    docs, before = read(spark, sf_dir, "documents", spread=True), None
     for k, (name, stage) in enumerate(STAGES[:-1]):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)

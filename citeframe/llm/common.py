@@ -16,8 +16,10 @@ from pyspark.sql.types import StructType
 from citeframe.llm import kernel
 from citeframe.shipping import ship
 
+#: Keys of more rows than this part of all are few enough to be broadcast.
+HOT = 1000
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-BATCH_ROWS = 2_000
+BATCH_ROWS = 500
 #: An id filter has about this many slots for each id, and MOST_SLOTS, 8 MB as bits, at most.
 SLOTS_PER_ID = 16
 MOST_SLOTS = 1 << 26
@@ -83,7 +85,7 @@ def arrow_pass(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
         for batch in batches:
             for part in kernel.slices(batch, text):
                 yield work(part)
-        give_back()
+            give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -173,6 +175,19 @@ def split_by(df: DataFrame, key: Column, known: IdFilter) -> DataFrame:
     return have.join(F.broadcast(known.bits), "__page", "left").withColumn("__maybe", on).drop("__at", "__page", "__bits")
 
 
+def frequent(counts: DataFrame, key: list[str], rows: int) -> DataFrame:
+    """Of counts (key, c) of a table of so many rows, the keys of more than one HOT-th of them; as there are fewer than HOT, they come to the driver."""
+    often = counts.filter(F.col("c") > rows / HOT).select(*key)
+    return counts.sparkSession.createDataFrame(often.collect(), often.schema)
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: list[str], often: DataFrame) -> DataFrame:
+    """left join to a table with distinct keys, where no task gets all rows of a frequent key: `often`, as frequent() has them, are broadcast, the others shuffled."""
+    hot = F.broadcast(often.join(right, key, "left"))
+    rest = left.join(F.broadcast(often), key, "left_anti").join(right, key, "left")
+    return left.join(hot, key).unionByName(rest)
+
+
 def grown(df: DataFrame, columns: list[str], extra: str) -> StructType:
     """The schema of some columns of df, followed by the fields of a DDL string; none may have the name of another."""
     made = StructType.fromDDL(extra)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeframe.llm import kernel
-from citeframe.llm.common import arrow_pass, grown
+from citeframe.llm.common import arrow_pass, give_back, grown
 
 ORDERS = (3, 4)
 BITS = 17  # buckets of each order
@@ -177,7 +177,10 @@ def fit(docs: DataFrame, *, per_lang: int = 400, most_rows: int = 40_000, **opti
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n))])
     picked = rows.filter(F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30)).filter(F.col("text").rlike(r"\p{L}"))
     sample = sorted((r["key"], r["lang"], r["text"]) for r in picked.select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key"), "lang", "text").limit(2 * each * len(counts)).collect())
-    return train([t for _, _, t in sample], [x for _, x, _ in sample], **options) if sample else None
+    model = train([t for _, _, t in sample], [x for _, x, _ in sample], **options) if sample else None
+    del sample
+    give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFrame:

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeframe.llm import kernel
-from citeframe.llm.common import arrow_pass, give_back, id_filter, prepare, settle, split_by, starts, whole_groups
+from citeframe.llm.common import arrow_pass, frequent, give_back, hot_join, id_filter, prepare, settle, split_by, starts, whole_groups
 
 SHINGLE = 5
 #: Minwise tokens, 8 bits each, that one tree draws on and no other.
@@ -42,8 +43,8 @@ MISS = 0.001
 RULED_OUT = 0.0001
 #: A task compares two slices of about so many shingles (8 bytes each) each.
 MOST_SHINGLES = 400_000
-#: Classes of more rows than this part of all are few enough to be broadcast.
-HOT = 1000
+#: A task spans about so many edges, 16 bytes each.
+SPAN_EDGES = 1 << 20
 #: Each slice of a large node or group is compared with about so many of its members, the same for all slices, before all others.
 PIVOTS = 16
 
@@ -203,9 +204,12 @@ def _forest(rid: np.ndarray, comp: np.ndarray, side: np.ndarray, sig: np.ndarray
 
 
 def candidates(blocks: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """Forests (a, b) of the candidates within blocks (block, rid, comp, side)."""
+    """Stars (a, b) that connect the candidates within blocks (block, rid, comp, side)."""
 
     def run(batches):
+        yield from _spanning(found(batches))
+
+    def found(batches):
         for got in whole_groups(batches, "block"):
             at = np.append(starts(got.column("block")), got.num_rows)
             rid, comp, side = (got.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "comp", "side"))
@@ -231,11 +235,15 @@ def candidates(blocks: DataFrame, classes: DataFrame, least: int) -> DataFrame:
 
 
 def confirmed(blocks: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int, least: int) -> DataFrame:
-    """Forests (a, b) of the links on full sets within blocks (block, rid, comp, side); texts: rid, text.  Only texts that a block needs are shuffled."""
+    """Stars (a, b) that connect the links on full sets within blocks (block, rid, comp, side); texts: rid, text.  Only texts that a block needs are shuffled."""
     blocks = settle(blocks)
     texts = split_by(texts, F.col("rid"), id_filter(blocks.select("rid").distinct(), "rid")).filter("__maybe").groupBy("rid").agg(F.first("text").alias("text"))
 
     def run(batches):
+        yield from _spanning(linked(batches))
+        give_back()
+
+    def linked(batches):
         for got in whole_groups(batches, "block", "text"):
             at = np.append(starts(got.column("block")), got.num_rows)
             rid, comp, side = (got.column(c).to_numpy(zero_copy_only=False) for c in ("rid", "comp", "side"))
@@ -247,7 +255,6 @@ def confirmed(blocks: DataFrame, classes: DataFrame, texts: DataFrame, k: int, p
                     a.append(x)
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        give_back()
 
     have = blocks.join(classes.select("rid", "sig"), "rid").join(texts, "rid").select("block", "rid", "comp", "side", "sig", "text")
     return have.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a bigint, b bigint")
@@ -278,8 +285,8 @@ def _linked(rid, comp, side, sig, value, ptr, percent, least) -> list[tuple]:
     return _forest(rid, comp, side, sig, least, confirm)
 
 
-def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of some batches at a time as stars around the smallest id of each component."""
+def _spanning(batches: Iterator[pa.RecordBatch], both: bool = False) -> Iterator[pa.RecordBatch]:
+    """The edges of some batches at a time as stars around the smallest id of each component; with `both`, each edge both ways."""
 
     def stars(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         a, b = (np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in ("a", "b"))
@@ -297,12 +304,15 @@ def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 break
             label = new
         far = label != np.arange(len(ids))
-        return pa.RecordBatch.from_arrays([pa.array(ids[label[far]]), pa.array(ids[far])], ["a", "b"])
+        hub, ray = ids[label[far]], ids[far]
+        if both:
+            hub, ray = np.concatenate([hub, ray]), np.concatenate([ray, hub])
+        return pa.RecordBatch.from_arrays([pa.array(hub), pa.array(ray)], ["a", "b"])
 
     kept: list[pa.RecordBatch] = []
     for batch in batches:
         kept.append(batch)
-        if sum(p.num_rows for p in kept) > 1 << 20:
+        if sum(p.num_rows for p in kept) > SPAN_EDGES:
             yield stars(kept)
             kept = []
     if any(p.num_rows for p in kept):
@@ -310,13 +320,16 @@ def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """(rid, comp): the smallest id reachable over the edges (a, b), and over what `before` (rid, comp) connects."""
-    both = edges.select("a", "b")
+    """(rid, comp): the smallest id reachable over the edges (a, b), which are computed once, and over what `before` (rid, comp) connects."""
+    stars = settle(edges.select("a", "b"))
+    n = stars.count()
     if before is not None:
-        both = both.unionByName(before.filter(F.col("rid") != F.col("comp")).select(F.col("comp").alias("a"), F.col("rid").alias("b")))
-    both = both.mapInArrow(_spanning, "a bigint, b bigint")
-    both = settle(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter(F.col("a") != F.col("b")).distinct())
-    label = settle(both.groupBy(F.col("a").alias("rid")).agg(F.least(F.min("b"), F.col("rid")).alias("comp")))
+        old = before.filter(F.col("rid") != F.col("comp")).select(F.col("comp").alias("a"), F.col("rid").alias("b"))
+        stars, n = stars.unionByName(old), n + old.count()
+    # parts of SPAN_EDGES: the fewer parts, the fewer steps of propagation are left
+    spanned = stars.coalesce(max(1, -(-n // SPAN_EDGES))).mapInArrow(partial(_spanning, both=True), "a bigint, b bigint")
+    both = settle(spanned.distinct())
+    label = both.groupBy(F.col("a").alias("rid")).agg(F.least(F.min("b"), F.col("a")).alias("comp"))
     while True:
         near = both.join(label.select(F.col("rid").alias("b"), F.col("comp").alias("there")), "b").groupBy(F.col("a").alias("rid")).agg(F.min("there").alias("there"))
         hop = label.join(near, "rid", "left").select("rid", F.col("comp").alias("old"), F.least("comp", "there").alias("comp"))
@@ -388,10 +401,10 @@ def candidate_groups(classes: DataFrame, percent: int, depth: int, leaf: int, de
     for trees in rounds:
         now = nodes.filter((F.col("tree") >= at) & (F.col("tree") < at + trees))
         at += trees
-        comp = components(settle(candidates(_star(_alive(now, comp), leaf), classes, least)), comp)
-        large = settle(_alive(now.filter(F.col("c") > leaf), comp))
-        if large.limit(1).count():
-            comp = components(settle(candidates(_exact(large, leaf), classes, least)), comp)
+        comp = components(candidates(_star(_alive(now, comp), leaf), classes, least), comp)
+        large = now.filter(F.col("c") > leaf)
+        if large.limit(1).count() and (large := settle(_alive(large, comp))).limit(1).count():
+            comp = components(candidates(_exact(large, leaf), classes, least), comp)
     return comp
 
 
@@ -417,18 +430,14 @@ def cluster(docs: DataFrame, *, k: int = SHINGLE, percent: int = 85, depth: int
     texts = keyed.select(F.col("row").alias("rid"), "text")
     least = least_equal(threshold, sum(rounds) * POOL)
     alive = _alive(members, None)
-    comp = components(settle(confirmed(_star(alive, most), classes, texts, k, percent, least)))
-    large = settle(_alive(settle(alive.filter(F.col("c") > most)).select("node", "rid", "w"), comp))
-    if large.limit(1).count():
-        comp = components(settle(confirmed(_exact(large, most), classes, texts, k, percent, least)), comp)
+    comp = components(confirmed(_star(alive, most), classes, texts, k, percent, least))
+    large = alive.filter(F.col("c") > most).select("node", "rid", "w")
+    if large.limit(1).count() and (large := settle(_alive(settle(large), comp))).limit(1).count():
+        comp = components(confirmed(_exact(large, most), classes, texts, k, percent, least), comp)
     linked = classes.join(comp, "rid").select("n", "s1", "s2", "comp", "first")
     linked = linked.join(linked.groupBy("comp").agg(F.min("first").alias("together")), "comp").select("n", "s1", "s2", "together")
     own = settle(classes.select("n", "s1", "s2", "first", "c").join(linked, ["n", "s1", "s2"], "left").select("n", "s1", "s2", "c", F.coalesce("together", "first").alias("component_id")))
-    # classes of more than one HOT-th of all rows, of which there are fewer than HOT, are broadcast; no task gets all rows of one
-    least_rows = rows.count() / HOT
-    hot = F.broadcast(own.filter(F.col("c") > least_rows).drop("c"))
     key = ["n", "s1", "s2"]
-    told = rows.select("doc_id", *key)
-    of = told.join(hot, key).unionByName(told.join(hot.select(*key), key, "left_anti").join(own.filter(F.col("c") <= least_rows).drop("c"), key, "left"))
+    of = hot_join(rows.select("doc_id", *key), own.drop("c"), key, frequent(own, key, rows.count()))
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return of.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -22,7 +22,6 @@ import re
 import string
 from collections import Counter, defaultdict
 from collections.abc import Iterable
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -104,14 +103,26 @@ def _stratum(run: str) -> int:
     return min(len(run), 20) // 4
 
 
-@lru_cache(maxsize=1 << 16)
+#: P-values of short runs, for each rate; a rate's start anew when there are so many, of 200 bytes or so each.
+_REMEMBERED: dict[float, dict[str, tuple[float, float]]] = {}
+_MOST = 50_000
+_ORDINARY = (1.0, 1.0)
+
+
 def _p_values(run: str, rate: float) -> tuple[float, float]:
-    """A candidate's p-values as ordinary text and by the battery.  One over `rate` fails whatever the battery says, which is then not asked (1)."""
+    """A candidate's p-values as ordinary text and by the battery; 1 for both if the first is over `rate`, as it fails then whatever the battery says."""
+    known = _REMEMBERED.setdefault(rate, {})
+    if (p := known.get(run)) is not None:
+        return p
     alphabet = _alphabet(run.rstrip("="))
-    if not alphabet or not any(c.isalpha() for c in run):
-        return 1.0, 1.0
-    p = ordinary(run, alphabet)
-    return p, uniformity(run)[1] if p <= rate else 1.0
+    p = _ORDINARY
+    if alphabet and any(c.isalpha() for c in run) and (text := ordinary(run, alphabet)) <= rate:
+        p = (text, uniformity(run)[1])
+    if len(run) <= 32:
+        if len(known) >= _MOST:
+            known.clear()
+        known[run] = p
+    return p
 
 
 def _discoveries(p: list[float], rate: float, of: int) -> int:

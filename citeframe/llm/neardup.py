@@ -330,8 +330,9 @@ def components(edges: DataFrame, before: DataFrame | None = None) -> DataFrame:
     spanned = stars.coalesce(max(1, -(-n // SPAN_EDGES))).mapInArrow(partial(_spanning, both=True), "a bigint, b bigint")
     both = settle(spanned.distinct())
     label = both.groupBy(F.col("a").alias("rid")).agg(F.least(F.min("b"), F.col("a")).alias("comp"))
+    hubs = frequent(both.groupBy("b").agg(F.count("*").alias("c")), ["b"], both.count())
     while True:
-        near = both.join(label.select(F.col("rid").alias("b"), F.col("comp").alias("there")), "b").groupBy(F.col("a").alias("rid")).agg(F.min("there").alias("there"))
+        near = hot_join(both, label.select(F.col("rid").alias("b"), F.col("comp").alias("there")), ["b"], hubs).groupBy(F.col("a").alias("rid")).agg(F.min("there").alias("there"))
         hop = label.join(near, "rid", "left").select("rid", F.col("comp").alias("old"), F.least("comp", "there").alias("comp"))
         up = label.select(F.col("rid").alias("comp"), F.col("comp").alias("top"))
         new = settle(hop.join(up, "comp", "left").select("rid", "old", F.least("comp", "top").alias("comp")))

@@ -65,3 +65,25 @@ def test_filter_that_lets_all_through(spark, docs, monkeypatch):
     want = sorted(tuple(r) for r in neardup.cluster(docs).collect())
     monkeypatch.setattr(common, "MOST_SLOTS", 1 << 6)
     assert sorted(tuple(r) for r in neardup.cluster(docs).collect()) == want
+
+
+@pytest.mark.parametrize("span", [3, 1 << 20])
+def test_components(spark, monkeypatch, span):
+    """Chains, stars and cycles over many parts and over one."""
+    monkeypatch.setattr(neardup, "SPAN_EDGES", span)
+    rnd = random.Random(4)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(k, 300 + (k - 299) % 20) for k in range(300, 320)] + [(500, 500)]
+    edges += [(rnd.randrange(1000, 1400), rnd.randrange(1000, 1400)) for _ in range(150)]
+    rnd.shuffle(edges)
+    par = {}
+    def root(x):
+        while par.setdefault(x, x) != x:
+            x = par[x]
+        return x
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        par[y] = x
+    got = neardup.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(8))
+    assert {r.rid: r.comp for r in got.collect()} == {k: root(k) for a, b in edges if a != b for k in (a, b)}
+    more = neardup.components(spark.createDataFrame([(7, 100)], "a bigint, b bigint"), got)
+    assert {r.comp for r in more.filter("rid < 300 and rid >= 100").collect()} == {7}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeframe.llm import bpe, chat, decontam, hosts, langid, neardup, quality, secretscan, sharding, topk
+from citeframe.llm import audit, bpe, chat, curriculum, decontam, hosts, langid, neardup, quality, secretscan, sharding, topk, whitening
 from citeframe.llm.common import dealt, read
 
 SHARDS = 40
@@ -89,8 +89,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audit.text_filters(read(spark, sf_dir, "documents", spread=True), read(spark, sf_dir, "labels"))
+    return audit.audit(rows, audit.FILTERS, ["good", "toxic"])
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = curriculum.plan(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", F.size("copies").alias("copies"), F.get("copies", F.lit(0))["when"].alias("position"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_sharding, op3_near_dup, op4_secret_scan, op5_bpe, op6_url_filter, op7_chat_format, op8_quality, op9_topk, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_language_id, op2_sharding, op3_near_dup, op4_secret_scan, op5_bpe, op6_url_filter, op7_chat_format, op8_quality, op9_topk, op10_decontaminate, op11_filter_audit, op12_mixing, op13_whitening)}
 
 
 def _extra(column: str, letters: str) -> str:
@@ -129,8 +143,57 @@ def _host_sql() -> str:
             select page_id, host, path, rule, case when bad = 1 then 'block' when bad = 0 then 'allow' when low >= 0.5 then 'block' else 'allow' end as verdict from l join low using (host)"""
 
 
+def _audit_sql() -> str:
+    """Every order of the filters, step by step, over the counts of rows by what they fail."""
+    bit = "(1 << (ascii({}) - 65))"
+    steps = " union all ".join(f"select o, {j + 1} as step, o[{j + 1}] as f, {' + '.join(bit.format(f'o[{i + 1}]') for i in range(j)) or '0'} as before from orders" for j in range(5))
+    return f"""
+            with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w, min(doc_id) over (partition by coalesce(text, '')) as first from documents),
+            l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels where doc_id is not null group by doc_id),
+            m as (select part, (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int + 4 * (100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::int
+                + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > first, false)::int as mask, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic from d left join l using (doc_id)),
+            c as (select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from m group by all),
+            a as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+            orders as (select p.x || q.x || r.x || s.x || t.x as o from a p, a q, a r, a s, a t where len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+            steps as ({steps}), s as (select *, {bit.format('f')} as own from steps),
+            k as (select part, o, step, f, sum(case when mask & (before | own) = 0 then n else 0 end) as kept, sum(case when mask & before = 0 and mask & own > 0 then n else 0 end) as removed,
+                sum(case when mask & before > 0 and mask & own > 0 then n else 0 end) as redundant, sum(case when mask = own then n else 0 end) as unique_fails,
+                sum(case when mask & before = 0 and mask & own > 0 then good else 0 end) as good_lost, sum(case when mask & before = 0 and mask & own > 0 then toxic else 0 end) as toxic_lost from c, s group by all)
+            select part, o as filter_order, step::int as step, {", ".join(f"{x}::bigint as {x}" for x in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))}, (sum(removed) over (partition by part, f))::bigint as shapley from k"""
+
+
+def _mixing_sql() -> str:
+    """Targets by filling up, places by a running sum in the seeded order, times by the inverse of the schedule's integral."""
+    made = [curriculum._pieces(s) for s in curriculum.SCHEDULES]
+
+    def solved(t: float, w: float, g: float, a: float) -> str:
+        rest = f"greatest(u - {a}::double, 0::double)"
+        root = f"({w}::double + sqrt(greatest({w}::double * {w}::double + {g}::double * 2.0::double * {rest}, 0::double)))"
+        return f"case when {root} > 0 then {t}::double + {rest} * 2.0::double / {root} else {t}::double end"
+
+    when = " ".join(f"when {k} then case " + " ".join(f"when u >= {p[3]}::double then {solved(*p)}" for p in reversed(pieces)) + " end" for k, (pieces, _) in enumerate(made))
+    area = " ".join(f"when {k} then {a}::double" for k, (_, a) in enumerate(made))
+    weight = " ".join(f"when {k} then {float(w)}::double" for k, w in enumerate(curriculum.WEIGHTS))
+    return f"""
+            with d as (select doc_id, source, case when source is null then '1' else '0' || source end as s, coalesce(text, '') as t from documents),
+            u as (select *, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) as size, md5(concat_ws('|', '23', coalesce(doc_id::varchar, ''), md5(t))) as h from d),
+            e as (select *, row_number() over (partition by s, doc_id, h) - 1 as i from u),
+            g as (select *, case when i < {curriculum.PARCEL} then h else md5(h || (i // {curriculum.PARCEL})) end as g from e),
+            p as (select *, coalesce(sum(size) over (partition by s order by g, doc_id, i rows between unbounded preceding and 1 preceding), 0)::bigint as begun from g),
+            z as (select s, sum(size)::bigint as source_size, row_number() over (order by s) - 1 as place from u group by s),
+            w as (select *, case place % 3 {weight} end as w, source_size * 2.0::double as cap, (sum(source_size) over ())::double * 1.5::double as everything from z),
+            f as (select *, coalesce(sum(cap) over (order by cap / w, place rows between unbounded preceding and 1 preceding), 0) + cap / w * sum(w) over (order by cap / w, place rows between current row and unbounded following) <= everything as full_ from w),
+            o as (select *, case when full_ then cap else w * ((everything - sum(case when full_ then cap else 0 end) over ()) / nullif(sum(case when full_ then 0 else w end) over (), 0)) end as target from f),
+            q as (select p.*, source_size, place, target, least(floor(target + 0.5::double), floor(source_size * 2.0::double))::bigint as quota from p join o using (s)),
+            t as (select *, greatest(least(quota - begun, size), 0)::bigint as one, greatest(least(quota - begun - source_size, size), 0)::bigint as two from q),
+            n as (select *, case when one > 0 then (begun + one / 2.0::double) / quota * case place % 3 {area} end end as u from t)
+            select doc_id, source, size::bigint as size, source_size, target, one + two as taken, (one > 0)::int + (two > 0)::int as copies, case when u is not null then least(case place % 3 {when} end, 1.0::double) end as position from n"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_filter_audit": _audit_sql(),
+        "op12_mixing": _mixing_sql(),
         "op6_url_filter": _host_sql(),
         "op7_chat_format": rf"""
             with c as (

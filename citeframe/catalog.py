@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeframe import catalog_documents
+from citeframe import catalog_documents, catalog_flows
 from citeframe.functions import text as X
 from citeframe.functions import thai
-from citeframe.operators import blocks, derive, facts, pages, pricing, score, validate
+from citeframe.operators import blocks, derive, facts, highlight, matching, pages, pricing, score, validate
 from citeframe.plans import extraction
 from citeframe.shipping import ship
 
@@ -35,11 +35,11 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return _Q | catalog_documents.queries()
+    return _Q | catalog_documents.queries() | catalog_flows.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | catalog_documents.oracle_sql()
+    return _SQL | catalog_documents.oracle_sql() | catalog_flows.oracle_sql()
 
 
 # ---- sources -------------------------------------------------------------------------------------------------
@@ -371,6 +371,25 @@ def quote_highlight_blocks(spark, d):
     return quoted.select("doc_id", F.col("seq").cast("int").alias("seq"), X.highlights(F.concat(F.lit("a  "), quote, F.lit(" z")), F.col("text")).alias("hit"))
 
 
+_PLAIN = "trim(regexp_replace({}, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))"
+
+
+@_query(f"""with b as (select doc_id, trim(line) as text, row_number() over (partition by doc_id order by pos) as seq from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents) where trim(line) <> ''),
+    q as (select doc_id, seq, {_PLAIN.format("case when seq % 4 = 0 then substr(text, 1, 40) else text || ' ' || coalesce(lead(text) over (partition by doc_id order by seq), '') end")} as quote from b),
+    i as (select doc_id, generate_subscripts(string_split(text, '.'), 1) - 1 as item, {_PLAIN.format("unnest(string_split(text, '.'))")} as t from documents)
+    select q.doc_id, cast(q.seq as bigint) as quote, string_agg(i.item, ',' order by i.item) as marked from q join i on i.doc_id = q.doc_id and i.t <> '' and contains(q.quote, i.t) group by all""")
+def highlight_items(spark, d):
+    docs = _t(spark, d, "documents")
+    items = docs.select("doc_id", F.posexplode(F.split("text", r"\.")).alias("item", "text"))
+    # a paragraph with the next one, or the beginning of one
+    told = F.transform(F.filter(F.transform(F.split("text", "\n"), lambda s: X.strip(s)), lambda s: s != ""), lambda s: F.replace(s, F.lit(" "), F.lit("  ")))
+    rows = docs.select("doc_id", told.alias("t")).select("doc_id", "t", F.posexplode("t").alias("k", "s"))
+    text = F.when((F.col("k") + 1) % 4 == 0, F.substring(F.replace("s", F.lit("  "), F.lit(" ")), 1, 40)).otherwise(F.concat("s", F.lit("\t"), F.coalesce(F.get("t", F.col("k") + 1), F.lit(""))))
+    quotes = rows.select("doc_id", (F.col("k") + 1).alias("quote"), text.alias("text"))
+    found = highlight.highlight_items(items, quotes)
+    return found.filter(F.size("marked") > 0).select("doc_id", "quote", F.array_join(F.col("marked").cast("array<string>"), ",").alias("marked"))
+
+
 # ---- extraction ----------------------------------------------------------------------------------------------
 
 @_query("""select * from (values ('TOR_GROUP_BONDS', 'bonds', 'gemini', 'g:1'), ('TOR_GROUP_MISC', 'misc', 'openai', 'o')) as t(key, name, provider, model)""")
@@ -515,6 +534,23 @@ def list_mismatch_report(spark, d):
     return score.list_report(_lists(spark, d))
 
 
+_NAMES = "select p_brand as doc, p_name || ' ' || lower(p_type) as text, row_number() over (partition by p_brand order by p_partkey) - 1 as i from part"
+_OTHERS = "select p_brand as doc, case p_partkey % 4 when 0 then p_name when 1 then lower(p_type) || ' ' || p_name else p_name || ' ' || lower(p_type) end as text, row_number() over (partition by p_brand order by p_partkey desc) - 1 as j from part where p_partkey % 3 <> 1"
+
+
+@_query(f"with recursive {_matched(_NAMES, _OTHERS)} select doc as doc_id, cast(i as int) as i, cast(j as int) as j from pairs")
+def list_pairs(spark, d):
+    from pyspark.sql import Window
+
+    p = _t(spark, d, "part")
+    by = Window.partitionBy("p_brand")
+    whole = F.concat("p_name", F.lit(" "), F.lower("p_type"))
+    changed = F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).when(F.col("p_partkey") % 4 == 1, F.concat(F.lower("p_type"), F.lit(" "), F.col("p_name"))).otherwise(whole)
+    expected = p.select(F.col("p_brand").alias("doc_id"), (F.row_number().over(by.orderBy("p_partkey")) - 1).alias("i"), whole.alias("text"))
+    actual = p.filter("p_partkey % 3 <> 1").select(F.col("p_brand").alias("doc_id"), (F.row_number().over(by.orderBy(F.desc("p_partkey"))) - 1).alias("j"), changed.alias("text"))
+    return matching.match_lists(expected, actual, keys=("doc_id",)).drop("similarity")
+
+
 _ACTUAL = "select doc, text, role, row_number() over (partition by doc order by turn, text, role) - 1 as j from (select conv_id as doc, turn, text, role from conversations where turn % 3 <> 1)"
 _EXPECTED = "select conv_id as doc, text, role, row_number() over (partition by conv_id order by turn, text, role) - 1 as i from conversations"
 
@@ -532,7 +568,7 @@ def score_lists(spark, d):
 
 
 @_query(f"""with {_VERDICT}, t as (select o_custkey % 2 as m, {_TALLY} from v group by 1),
-    c as (select c_custkey % 2 as m, string_agg(c_custkey::varchar, ', ' order by c_custkey::varchar) filter (c_custkey % 50 = 0) as crashed from customer group by 1)
+    c as (select c_custkey % 2 as m, array_to_string((list(c_custkey::varchar order by c_custkey::varchar) filter (c_custkey % 50 = 0))[1:20], ', ') || case when count(*) filter (c_custkey % 50 = 0) > 20 then ' and ' || (count(*) filter (c_custkey % 50 = 0) - 20) || ' more' else '' end as crashed from customer group by 1)
     select 'anthropic' as provider, case when c.m = 0 then 'a' else 'b' end as model, coalesce(crashed, 'none') as crashed, 'unknown' as cost, {", ".join(score.VERDICTS)} from c left join t using (m)""")
 def provider_comparison(spark, d):
     model = lambda c: F.when(F.col(c) % 2 == 0, "a").otherwise("b")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from citeframe.functions.numbers import half_even
 from citeframe.functions.thai import nfc
 
 #: Formats of a source's ref by kind; pages have none.
@@ -58,7 +59,8 @@ def verdict(expected: Column, actual: Column, text: bool = True) -> Column:
 
 
 def number_verdict(expected: Column, actual: Column) -> Column:
-    return verdict(F.round(expected, 2), F.round(actual, 2), text=False)
+    rounded = F.transform(F.array(expected, actual), lambda x: half_even(x, 2))
+    return F.get(F.transform(F.array(rounded), lambda r: verdict(r[0], r[1], text=False)), F.lit(0))
 
 
 def primary_text(*fields: Column, rest: list[Column]) -> Column:

@@ -8,7 +8,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import StringType
+
+from citeframe.functions.numbers import half_even as py_round  # noqa: F401
 
 # Words and characters of the Thai language.
 THAI_DIGITS = "๐๑๒๓๔๕๖๗๘๙"
@@ -29,16 +31,6 @@ def _nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf(DoubleType())
-def _py_round(x: pd.Series, places: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(v) else round(float(v), int(p)) for v, p in zip(x, places, strict=True)])
-
-
-def py_round(x: Column, places: int) -> Column:
-    """Round half to even on the exact binary value; Spark's round works on the decimal form."""
-    return _py_round(x.cast("double"), F.lit(places))
-
-
 def nfc(text: Column) -> Column:
     """NFC.  Text all below U+0300 is NFC by definition: it is passed as null, so that the UDF does nothing for it."""
     plain = ~text.rlike("[^\\x{0000}-\\x{02ff}]")

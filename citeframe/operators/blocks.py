@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeframe.functions.text import strip
+from citeframe.shared import frequent, hot_join, settle
 
 MAX_BLOCKS = 3_000
 MAX_CELLS = 5_000
@@ -75,3 +76,22 @@ def grid(cells: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """cells (keys, ref, value) as rows by number and columns by letter; `columns` in order of length, then letter."""
     rows = cells.select(*keys, F.regexp_extract("ref", r"^([A-Z]+)(\d+)$", 1).alias("col"), F.regexp_extract("ref", r"^([A-Z]+)(\d+)$", 2).cast("int").alias("row"), "value")
     return rows.groupBy(*keys, "row").pivot("col", sorted(columns, key=lambda c: (len(c), c))).agg(F.first("value"))
+
+
+def grid_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, columns, row, values of every row that has a cell (keys, ref, value), whatever columns a sheet has.
+
+    columns: the letters of all the sheet's columns, by length, then letter; values: as many, null where there is no
+    cell.  A ref that isn't letters and a number is passed over; of cells with one ref the largest value counts.  A
+    sheet's axes are one row each, at most as many letters as a sheet has columns; the rows of a large sheet are shared out.
+    """
+    form = r"^([A-Z]+)(\d+)$"
+    own = cells.filter(F.col("ref").rlike(form)).select(*keys, F.regexp_extract("ref", form, 1).alias("col"), F.regexp_extract("ref", form, 2).cast("bigint").alias("row"), "value")
+    axes = own.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct(F.length("col").alias("n"), "col")))["col"].alias("columns"), F.count("*").alias("c"))
+    axes = settle(axes)
+    # both steps by the same rows of a sheet, dealt out once
+    line = own.repartition(*keys, "row").groupBy(*keys, "row", "col").agg(F.max("value").alias("value"))
+    line = line.groupBy(*keys, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("at"))
+    often = frequent(axes.select(*keys, "c"), keys, axes.agg(F.sum("c")).first()[0] or 0)
+    joined = hot_join(line, axes.drop("c"), keys, often)
+    return joined.select(*keys, "columns", "row", F.transform("columns", lambda c: F.try_element_at("at", c)).alias("values"))

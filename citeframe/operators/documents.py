@@ -8,16 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, StringType, StructType
 
 from citeframe.functions.text import number_verdict, primary_text, verdict
 from citeframe.operators import score
+from citeframe.shared import settle
 
 _LEAF = {"value", "source", "confidence", "reason"}
 #: Fields that stand for a list item, the first that isn't empty.
 _PRIMARY = ("text", "phase", "type", "description")
+_LISTS = "array<struct<path:string,n_expected:int,n_actual:int,missed:int,extra:int>>"
 
 
 def is_leaf(kind: DataType | None) -> bool:
@@ -44,19 +46,40 @@ def _told(value: Column, kind: DataType) -> Column:
     return F.to_json(value) if isinstance(kind, (ArrayType, StructType)) else value.cast("string")
 
 
-def _compared(kind: DataType, e: Column, a: Column) -> Column:
-    if isinstance(kind, StringType):
-        return verdict(e, a)
-    return number_verdict(e, a) if isinstance(kind, (DoubleType, FloatType)) else verdict(e, a, text=False)
+_PAIR = "struct<path:string,text:boolean,es:string,as:string,ed:double,ad:double,en:boolean,an:boolean,same:boolean>"
+
+
+def _pair(path: str, kind: DataType, e: Column, a: Column) -> Column:
+    """The two values of a leaf, in the columns of its kind; what they come to is told once for all leaves, by _judged."""
+    none = F.lit(None)
+    text, number = isinstance(kind, StringType), isinstance(kind, (DoubleType, FloatType))
+    values = [F.lit(path), F.lit(text), *((e, a) if text else (none, none)), *((e, a) if number else (none, none)), e.isNull(), a.isNull(), none if text or number else e == a]
+    return F.struct(*values).cast(_PAIR)
+
+
+def _judged(x: Column) -> Column:
+    """path and verdict of such a pair."""
+    other = F.when(x["en"] & x["an"], "exact").when(x["en"], "hallucinated").when(x["an"], "missed").when(x["same"], "exact").otherwise("wrong")
+    found = F.when(x["text"], verdict(x["es"], x["as"])).when(x["ed"].isNotNull() & x["ad"].isNotNull(), number_verdict(x["ed"], x["ad"])).otherwise(other)
+    return F.struct(x["path"].alias("path"), found.alias("verdict"))
 
 
 def _field(kind: DataType | None, name: str) -> DataType | None:
     return kind[name].dataType if isinstance(kind, StructType) and name in kind.fieldNames() else None
 
 
-def _walk(path: str, e: Column, a: Column | None, kind: DataType, other: DataType | None) -> Column:
-    """array<struct<path, verdict>> of everything under one node; a is None where the prediction has no such part."""
-    told = lambda value, e, a: F.array(F.struct(F.lit(path).alias("path"), _compared(value, e, F.lit(None).cast(value) if a is None else a).alias("verdict")))
+def _texts(items: Column, of: DataType) -> Column:
+    return F.transform(items, lambda x: item_text(x, of))
+
+
+def _pairs(e: Column, a: Column, kind: DataType, other: DataType) -> Column:
+    """The items of two lists, paired by likeness."""
+    return score.greedy_match(_texts(e, kind), _texts(a, other))
+
+
+def _walk(path: str, e: Column, a: Column | None, kind: DataType, other: DataType | None, pairs: Column | None = None) -> Column:
+    """The pairs of everything under one node; a is None where the prediction has no such part.  pairs: those of a list's items, if they are known."""
+    told = lambda value, e, a: F.array(_pair(path, value, e, F.lit(None).cast(value) if a is None else a))
     if is_leaf(kind):
         return told(kind["value"].dataType, e["value"], None if a is None or not is_leaf(other) else a["value"])
     if isinstance(kind, StructType):
@@ -65,7 +88,6 @@ def _walk(path: str, e: Column, a: Column | None, kind: DataType, other: DataTyp
         inner = other.elementType if isinstance(other, ArrayType) else kind.elementType
         none = F.array().cast(ArrayType(inner))
         have = none if a is None or not isinstance(other, ArrayType) else F.coalesce(a, none)
-        texts = lambda items, of: F.transform(items, lambda x: item_text(x, of))
 
         def items(p: Column) -> Column:
             def one(x: Column, i: Column) -> Column:
@@ -74,10 +96,10 @@ def _walk(path: str, e: Column, a: Column | None, kind: DataType, other: DataTyp
 
             return F.flatten(F.transform(p["e"], one))
 
-        pairs = lambda x: score.greedy_match(texts(x["e"], kind.elementType), texts(x["a"], inner))
-        empty = F.array().cast("array<struct<path:string,verdict:string>>")
+        matched = lambda x: _pairs(x["e"], x["a"], kind.elementType, inner) if pairs is None else pairs
+        empty = F.array().cast(f"array<{_PAIR}>")
         lists = F.struct(F.coalesce(e, F.array().cast(kind)).alias("e"), have.alias("a"))
-        return F.coalesce(bound(lists, lambda x: bound(F.struct(x["e"].alias("e"), x["a"].alias("a"), pairs(x).alias("pairs")), items)), empty)
+        return F.coalesce(bound(lists, lambda x: bound(F.struct(x["e"].alias("e"), x["a"].alias("a"), matched(x).alias("pairs")), items)), empty)
     return told(kind, e, a)
 
 
@@ -90,6 +112,40 @@ def _scored(expected: DataFrame) -> Iterator:
     return (f for f in expected.schema.fields if f.name != "doc_id" and f.name not in score.EXCLUDED)
 
 
+def evaluation(expected: DataFrame, actual: DataFrame, *told: str) -> DataFrame:
+    """All that is told of documents (doc_id, nested columns) that both sides have, one row for each, found in one pass.
+
+    doc_id; leaves: array<struct<path, verdict>>; expected_flags and actual_flags, how many risk flags each has; lists:
+    array<struct<path, n_expected, n_actual, missed, extra>> of the top-level lists that don't pair up whole.  Lists are
+    paired once for both.  told: only these columns beside doc_id.
+    """
+    wanted = told or ("leaves", "expected_flags", "actual_flags", "lists")
+    both = _both(expected, actual)
+    kind = both.schema["a"].dataType
+    fields = list(_scored(expected))
+    listed = [f for f in fields if isinstance(f.dataType, ArrayType) and isinstance(_field(kind, f.name), ArrayType)]
+    whole = lambda side, name: F.coalesce(F.col(side)[name], F.array().cast(both.schema[side].dataType[name].dataType))
+
+    def made(m: Column) -> Column:
+        """The result's columns, from the pairs of all lists."""
+        parts = [_walk(f.name, F.col("e")[f.name], F.col("a")[f.name] if f.name in kind.fieldNames() else None, f.dataType, _field(kind, f.name), m[f.name] if f in listed else None) for f in fields if "leaves" in wanted]
+        n = lambda side, f: F.size(whole(side, f.name))
+        uneven = [F.struct(F.lit(f.name).alias("path"), n("e", f).alias("n_expected"), n("a", f).alias("n_actual"), (n("e", f) - F.size(m[f.name])).alias("missed"), (n("a", f) - F.size(m[f.name])).alias("extra")) for f in listed if "lists" in wanted]
+        lists = F.filter(F.array(*uneven), lambda x: (x["missed"] > 0) | (x["extra"] > 0)) if uneven else F.array().cast(_LISTS)
+        # a missing list has none
+        flags = lambda side: F.greatest(F.coalesce(F.size(F.col(side)["risk_flags"]), F.lit(0)), F.lit(0)) if "risk_flags" in both.schema[side].dataType.fieldNames() else F.lit(0)
+        leaves = F.transform(F.concat(*parts) if parts else F.array().cast(f"array<{_PAIR}>"), _judged)
+        return F.struct(*[c.alias(n) for n, c in {"leaves": leaves, "expected_flags": flags("e"), "actual_flags": flags("a"), "lists": lists}.items() if n in wanted])
+
+    matched = [_pairs(whole("e", f.name), whole("a", f.name), f.dataType.elementType, _field(kind, f.name).elementType).alias(f.name) for f in listed]
+    return both.select("doc_id", bound(F.struct(*matched, F.lit(0).alias("")), made).alias("x")).select("doc_id", "x.*")
+
+
+def _each(rows: DataFrame, column: str) -> DataFrame:
+    """A row for each item.  An inner explosion would first be filtered by the array's size, and so have all of it computed again."""
+    return rows.select("doc_id", F.inline_outer(column)).filter("path is not null")
+
+
 def score_document(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """doc_id, path and verdict of every leaf of the annotation, of documents (doc_id, nested columns) that both sides have.
 
@@ -97,24 +153,12 @@ def score_document(expected: DataFrame, actual: DataFrame) -> DataFrame:
     Items of a list are paired by likeness and pooled under `path[]`; an item without a partner is compared with
     nothing, so its null leaves are exact and the others missed.  Risk flags are counted, not scored.
     """
-    both = _both(expected, actual)
-    kind = both.schema["a"].dataType
-    parts = [_walk(f.name, F.col("e")[f.name], F.col("a")[f.name] if f.name in kind.fieldNames() else None, f.dataType, _field(kind, f.name)) for f in _scored(expected)]
-    return both.select("doc_id", F.inline(F.concat(*parts)))
+    return _each(evaluation(expected, actual, "leaves"), "leaves")
 
 
 def list_lengths(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """(doc_id, path, n_expected, n_actual, missed, extra) of the top-level lists that don't pair up whole."""
-    both = _both(expected, actual)
-    kind = both.schema["a"].dataType
-    rows = []
-    for f in _scored(expected):
-        of = _field(kind, f.name)
-        if isinstance(f.dataType, ArrayType) and isinstance(of, ArrayType):
-            texts = lambda side, k: F.coalesce(F.transform(F.col(side)[f.name], lambda x: item_text(x, k.elementType)), F.array().cast("array<string>"))  # noqa: E731, B023
-            rows.append(F.struct(F.lit(f.name).alias("path"), texts("e", f.dataType).alias("expected"), texts("a", of).alias("actual")))
-    lists = both.select("doc_id", F.inline(F.array(*rows)))
-    return score.list_report(lists)
+    return _each(evaluation(expected, actual, "lists"), "lists")
 
 
 def risk_flag_counts(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -129,26 +173,50 @@ def run_status(expected: DataFrame, runs: DataFrame) -> DataFrame:
     return expected.select("doc_id").join(runs.select("doc_id", "crashed"), "doc_id", "left").select("doc_id", status.alias("status"))
 
 
-def report_lines(leaves: DataFrame, flags: DataFrame, lists: DataFrame, cost: DataFrame | None = None) -> DataFrame:
+class NothingScored(ValueError):
+    """A run of an evaluation in which no document was scored."""
+
+
+def report(expected: DataFrame, actual: DataFrame, runs: DataFrame, cost: DataFrame | None = None) -> DataFrame:
+    """The evaluation report (see report_lines) of annotated documents whose run, (doc_id, crashed), didn't crash.
+
+    What is told of each document is found in one pass and kept in the shared folder; the same pass counts the
+    documents.  None scored is an error, which says how many crashed and how many had no run.
+    """
+    scored = run_status(expected.select("doc_id"), runs).filter("status = 'scored'").select("doc_id")
+    seen = Observation()
+    told = settle(evaluation(expected, actual.join(scored, "doc_id", "left_semi")).observe(seen, F.count("*").alias("n")))
+    n = seen.get.get("n", 0)
+    if not n:
+        status = {r.status: r.n for r in run_status(expected.select("doc_id"), runs).groupBy("status").agg(F.count("*").alias("n")).collect()}  # three at most
+        raise NothingScored(f"nothing was scored: {status.get('crashed', 0)} crashed, {status.get('skipped', 0)} without a run, {status.get('scored', 0)} without a result")
+    flags = told.select("doc_id", F.col("expected_flags").alias("expected"), F.col("actual_flags").alias("actual"))
+    return report_lines(_each(told, "leaves"), flags, _each(told, "lists"), cost, n)
+
+
+def report_lines(leaves: DataFrame, flags: DataFrame, lists: DataFrame, cost: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """The evaluation report as rows (part, rank, line), to be written in that order.
 
     leaves: (doc_id, path, verdict); flags: risk_flag_counts; lists: list_lengths; cost: (usd, thb, usd_thb_rate,
-    pricing_as_of).  Totals are those of all leaves.  Rows may be as many as the documents, so nothing comes to the driver.
+    pricing_as_of); n: how many documents there are, by default the rows of flags.  Counts by path and of all leaves
+    are grouping sets of one pass.  Rows may be as many as the documents, so nothing comes to the driver.
     """
     cells = lambda *c: F.concat(F.lit("| "), F.concat_ws(" | ", *[x.cast("string") for x in c]), F.lit(" |"))
     rank = lambda *c: F.concat_ws("\u0001", *c)
-    counts = [F.col(v) for v in score.VERDICTS]
-    tallies = score.tally(leaves, "path")
+    counts = [F.count_if(F.col("verdict") == v).alias(v) for v in score.VERDICTS]
+    # a row without a path, so that there is a total even where nothing has leaves
+    none = leaves.sparkSession.range(1).select(F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("verdict"))
+    tallies = leaves.select("path", "verdict").unionByName(none).groupingSets([[F.col("path")], []], F.col("path")).agg(*counts, F.grouping_id().alias("whole")).filter("whole = 1 or path is not null")
     bad = F.col("wrong") + F.col("missed") + F.col("hallucinated")
     # the worst first, then the last path first: a descending order as an ascending text
     upside = F.lpad((F.lit(10**15) - bad).cast("string"), 16, "0")
     backwards = F.translate(F.hex(F.concat(F.encode("path", "UTF-8"), F.unhex(F.lit("00")))), "0123456789ABCDEF", "FEDCBA9876543210")
-    total = score.merge(tallies)
-    title = leaves.agg(F.count_distinct("doc_id").alias("n")).select(F.lit(0).alias("part"), F.lit("").alias("rank"), F.concat(F.lit("# Evaluation of "), F.col("n").cast("string"), F.lit(" document(s)")).alias("line"))
+    total = F.col("whole") == 1
+    titled = lambda x: F.concat(F.lit("# Evaluation of "), x.cast("string"), F.lit(" document(s)"))
+    title = leaves.sparkSession.range(1).select(titled(F.lit(n)).alias("line")) if n is not None else flags.agg(titled(F.count("*")).alias("line"))
     parts = [
-        title,
-        tallies.select(F.lit(1).alias("part"), rank(upside, backwards).alias("rank"), cells(F.col("path"), *counts).alias("line")),
-        total.select(F.lit(2).alias("part"), F.lit("").alias("rank"), cells(F.lit("total"), *[F.coalesce(c, F.lit(0)) for c in counts]).alias("line")),
+        title.select(F.lit(0).alias("part"), F.lit("").alias("rank"), "line"),
+        tallies.select(F.when(total, 2).otherwise(1).alias("part"), F.when(total, "").otherwise(rank(upside, backwards)).alias("rank"), cells(F.when(total, "total").otherwise(F.col("path")), *[F.col(v) for v in score.VERDICTS]).alias("line")),
         flags.select(F.lit(3).alias("part"), F.col("doc_id").cast("string").alias("rank"), cells(F.col("doc_id"), F.col("expected"), F.col("actual")).alias("line")),
         lists.select(F.lit(4).alias("part"), rank(F.col("doc_id").cast("string"), F.col("path")).alias("rank"), F.concat(F.lit("- "), F.col("doc_id").cast("string"), F.lit(": "), F.col("path"), F.format_string(": %d expected, %d actual, %d missed, %d extra (not penalised)", "n_expected", "n_actual", "missed", "extra")).alias("line")),
     ]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeframe import settings
+from citeframe.functions.numbers import half_even
 
 # Published prices in USD for a million tokens (input, output), as of the date below.
 PRICING_AS_OF = "2026-09-02"
@@ -44,7 +45,7 @@ def cost(usage: DataFrame, rate: float = USD_THB, rate_date: str = USD_THB_DATE)
     joined = usage.join(F.broadcast(prices(spark)), ["provider", "model"], "left").join(F.broadcast(multipliers(spark)), "provider", "left")  # both tables are constants above
     raw = usd(F.col("in_rate"), F.col("out_rate"), F.coalesce("write_mult", F.lit(1.0)), F.coalesce("read_mult", F.lit(1.0)))
     known = lambda x: F.when(raw.isNotNull(), x)
-    return joined.select(*usage.columns, F.round(raw, 6).alias("usd"), F.round(raw * rate, 4).alias("thb"), known(F.lit(rate)).alias("usd_thb_rate"), known(F.lit(rate_date)).alias("rate_source_date"), known(F.lit(PRICING_AS_OF)).alias("pricing_as_of"))
+    return joined.select(*usage.columns, half_even(raw, 6).alias("usd"), half_even(raw * rate, 4).alias("thb"), known(F.lit(rate)).alias("usd_thb_rate"), known(F.lit(rate_date)).alias("rate_source_date"), known(F.lit(PRICING_AS_OF)).alias("pricing_as_of"))
 
 
 def with_default(costed: DataFrame) -> DataFrame:
@@ -66,6 +67,6 @@ def mixed_cost(costed: DataFrame, key: str = "doc_id") -> DataFrame:
     total = lambda c: F.when(F.bool_or(F.col(c).isNull()), None).otherwise(F.sum(c))
     return costed.groupBy(key).agg(
         F.when(one, F.max("provider")).otherwise("mixed").alias("provider"), F.when(one, F.max("model")).otherwise(F.array_join(pairs, ",")).alias("model"),
-        F.round(total("usd"), 6).alias("usd"), F.round(total("thb"), 4).alias("thb"),
+        half_even(total("usd"), 6).alias("usd"), half_even(total("thb"), 4).alias("thb"),
         *[F.when(~F.bool_or(F.col("usd").isNull()), F.max(c)).alias(c) for c in ("usd_thb_rate", "rate_source_date", "pricing_as_of")],
     )

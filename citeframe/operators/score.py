@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeframe.functions.text import MATCH_THRESHOLD, prepared, prepared_similarity, verdict
@@ -10,6 +10,10 @@ from citeframe.functions.text import MATCH_THRESHOLD, prepared, prepared_similar
 VERDICTS = ("exact", "wrong", "missed", "hallucinated")
 #: Parts of a document that aren't scored.
 EXCLUDED = ("risk_flags",)
+#: Lists of more pairs are matched by joins.
+IN_ROW = 10_000
+#: Crashed documents that a summary names.
+CRASHED_TOLD = 20
 
 
 def greedy_match(expected: Column, actual: Column, threshold: float = MATCH_THRESHOLD) -> Column:
@@ -56,31 +60,66 @@ def list_report(lists: DataFrame) -> DataFrame:
     return rows.select("doc_id", "path", "n_expected", "n_actual", "c.missed", "c.extra")
 
 
-def score_lists(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Leaves of matched list items.
-
-    Both sides: (doc_id, path, idx, text, leaves map<string,string>).  An item without a partner is compared with
-    nothing: its null leaves are exact, the others missed.
-    """
-    gather = lambda d, n: d.groupBy("doc_id", "path").agg(F.sort_array(F.collect_list(F.struct("idx", "text", F.map_entries("leaves").alias("leaves")))).alias(n))
-    both = gather(expected, "e").join(gather(actual, "a"), ["doc_id", "path"], "left")
+def _within_row(both: DataFrame) -> DataFrame:
+    """(doc_id, path, i, j, leaves, other) of lists that are paired within the row."""
     nothing = F.coalesce("a", F.expr("slice(e, 1, 0)"))
     both = both.withColumn("a", nothing).withColumn("pairs", greedy_match(F.col("e.text"), F.col("a.text")))
     item = both.select("doc_id", "path", "a", "pairs", F.posexplode("e").alias("i", "item"))
     j = F.filter("pairs", lambda p: p["i"] == F.col("i"))
     item = item.withColumn("j", F.when(F.size(j) > 0, F.element_at(j, 1)["j"]))
-    item = item.withColumn("other", F.when(F.col("j").isNotNull(), F.map_from_entries(F.element_at("a", F.col("j") + 1)["leaves"])))
-    leaf = item.select("doc_id", "path", "i", "j", "other", F.explode("item.leaves").alias("leaf"))
+    return item.select("doc_id", "path", "i", "j", "item.leaves", F.when(F.col("j").isNotNull(), F.element_at("a", F.col("j") + 1)["leaves"]).alias("other"))
+
+
+def _by_joins(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """The same of lists that are paired by joins, item by item."""
+    from citeframe.operators.matching import match_lists
+
+    order = Window.partitionBy("doc_id", "path").orderBy("idx", "text", "leaves")  # the items of one list
+    numbered = lambda d, n: d.select("doc_id", "path", "idx", "text", F.map_entries("leaves").alias("leaves")).withColumn(n, (F.row_number().over(order) - 1).cast("int"))
+    e, a = numbered(expected, "i"), numbered(actual, "j")
+    pairs = match_lists(e.select("doc_id", "path", "i", "text"), a.select("doc_id", "path", "j", "text")).select("doc_id", "path", "i", "j")
+    items = e.select("doc_id", "path", "i", "leaves").join(pairs, ["doc_id", "path", "i"], "left")
+    return items.join(a.select("doc_id", "path", "j", F.col("leaves").alias("other")), ["doc_id", "path", "j"], "left").select("doc_id", "path", "i", "j", "leaves", "other")
+
+
+def score_lists(expected: DataFrame, actual: DataFrame, in_row: int = IN_ROW) -> DataFrame:
+    """Leaves of matched list items.
+
+    Both sides: (doc_id, path, idx, text, leaves map<string,string>).  An item without a partner is compared with
+    nothing: its null leaves are exact, the others missed.  Lists of up to `in_row` pairs are paired within the row,
+    longer ones by joins; the pairs are the same.
+    """
+    count = lambda d, n: d.groupBy("doc_id", "path").agg(F.count("*").alias(n))
+    long = count(expected, "n").join(count(actual, "m"), ["doc_id", "path"]).filter(F.col("n") * F.col("m") > in_row).select("doc_id", "path")
+    gather = lambda d, n: d.groupBy("doc_id", "path").agg(F.sort_array(F.collect_list(F.struct("idx", "text", F.map_entries("leaves").alias("leaves")))).alias(n))
+    rows = lambda e, a: _within_row(gather(e, "e").join(gather(a, "a"), ["doc_id", "path"], "left"))
+    if long.isEmpty():
+        item = rows(expected, actual)
+    else:
+        short = lambda d, how: d.join(long, ["doc_id", "path"], how)
+        item = rows(short(expected, "left_anti"), short(actual, "left_anti")).unionByName(_by_joins(short(expected, "left_semi"), short(actual, "left_semi")))
+    leaf = item.withColumn("other", F.map_from_entries("other")).select("doc_id", "path", "i", "j", "other", F.explode("leaves").alias("leaf"))
     return leaf.select("doc_id", F.concat("path", F.lit("[]."), "leaf.key").alias("path"), "i", verdict(F.col("leaf.value"), F.try_element_at("other", F.col("leaf.key"))).alias("verdict"))
 
 
-def provider_summary(tallies: DataFrame, runs: DataFrame) -> DataFrame:
+def crashed_documents(runs: DataFrame) -> DataFrame:
+    """(provider, model, doc_id) of every crashed document."""
+    return runs.filter("crashed").select("provider", "model", "doc_id")
+
+
+def provider_summary(tallies: DataFrame, runs: DataFrame, told: int = CRASHED_TOLD) -> DataFrame:
     """Totals by (provider, model) with the crashed documents and the cost; `none` and `unknown` where there are none.
 
-    tallies: (provider, model, verdict counts); runs: (provider, model, doc_id, crashed, usd).
+    tallies: (provider, model, verdict counts); runs: (provider, model, doc_id, crashed, usd).  Of the crashed
+    documents, the first `told` by id as text are named, and how many more there are; crashed_documents has all.
     """
     total = merge(tallies, "provider", "model")
-    crashed = F.array_join(F.sort_array(F.collect_list(F.when(F.col("crashed"), F.col("doc_id").cast("string")))), ", ")
     usd = F.when(F.bool_or(F.col("usd").isNull() & ~F.col("crashed")), "unknown").otherwise(F.concat(F.lit("$"), F.format_string("%.4f", F.coalesce(F.sum("usd"), F.lit(0.0)))))
-    about = runs.groupBy("provider", "model").agg(F.when(crashed == "", "none").otherwise(crashed).alias("crashed"), usd.alias("cost"))
+    about = runs.groupBy("provider", "model").agg(F.count_if("crashed").alias("n"), usd.alias("cost"))
+    # ranks up to a limit are cut before the shuffle, so what meets is `told` names from each task
+    rank = F.row_number().over(Window.partitionBy("provider", "model").orderBy("id"))
+    first = crashed_documents(runs).select("provider", "model", F.col("doc_id").cast("string").alias("id")).withColumn("k", rank).filter(F.col("k") <= told)
+    names = first.groupBy("provider", "model").agg(F.expr("listagg(id, ', ') within group (order by id)").alias("names"))
+    more = F.when(F.col("n") > told, F.concat(F.lit(" and "), (F.col("n") - told).cast("string"), F.lit(" more"))).otherwise("")
+    about = about.join(names, ["provider", "model"], "left").select("provider", "model", F.when(F.col("n") == 0, "none").otherwise(F.concat("names", more)).alias("crashed"), "cost")
     return about.join(total, ["provider", "model"], "left")

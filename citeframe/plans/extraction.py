@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 from citeframe import schema
 from citeframe.functions.text import override_part
@@ -25,6 +25,10 @@ PROVIDERS = {"anthropic": (True, True, True, True), "openai": (True, True, False
 KIND_RULES = {"pdf": "page", "docx": "block", "xlsx": "cell"}
 
 
+class UnresolvedProvider(LookupError):
+    """A group's provider that no one supplies."""
+
+
 def groups(spark: SparkSession) -> DataFrame:
     rows = [(k, n, MISC_MAX_TOKENS if n == "misc" else DEFAULT_MAX_TOKENS) for k, n in enumerate(schema.GROUPS)]
     return spark.createDataFrame(rows, "ordinal int, name string, max_tokens int")
@@ -156,7 +160,12 @@ def extract_documents(docs: DataFrame, responses: DataFrame, resolved: DataFrame
     rejects: doc_id, stage (rules, gate or the group), code, detail, status.  A document is refused before any call if
     its kind has no rules, if a group's provider has no structured output, or if it has images that a provider can't see;
     else by its first group, in their order, of which no attempt is valid.  It is one or the other, never in part.
+    A group that names a provider which isn't in `providers` is an error before anything runs.
     """
+    supplied = [r.provider for r in providers.select("provider").collect()]  # a few names, and a few groups
+    lost = unresolved(resolved, "", supplied).orderBy("name").collect()
+    if lost:
+        raise UnresolvedProvider("; ".join(f"group '{r.name}' overrides its provider to '{r.provider}', which nobody supplies" for r in lost))
     known = rules_for(docs, rules)
     blind = resolved.join(providers.filter("vision").select("provider"), "provider", "left_anti").agg(F.min_by("name", "ordinal").alias("_blind"))
     mute = capability_gate(resolved, providers).agg(F.min_by("name", "ordinal").alias("_mute"))
@@ -202,6 +211,50 @@ def merge_keys(parts: DataFrame) -> DataFrame:
     return parts.groupBy("doc_id", "key").agg(F.max_by("value", "ordinal").alias("value"))
 
 
+def _unfit(v: Column, kind: DataType, path: str) -> Column:
+    """array<string>: the paths under which a variant, not null, doesn't hold what its type says; nulls fit everywhere, items of a list share `path[]`."""
+    here, none = F.array(F.lit(path)), F.array().cast("array<string>")
+    inner = lambda x, k, p: F.when(x.isNull() | F.is_variant_null(x), none).otherwise(_unfit(x, k, p))
+    if isinstance(kind, StructType):
+        field = lambda f: bound(F.try_variant_get(v, f"$['{f.name}']", "variant"), lambda x: inner(x, f.dataType, f"{path}.{f.name}"))
+        return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.concat(*[field(f) for f in kind.fields])).otherwise(here)
+    if isinstance(kind, ArrayType):
+        items = lambda a: F.when(a.isNull(), here).otherwise(F.array_distinct(F.flatten(F.transform(a, lambda x: inner(x, kind.elementType, f"{path}[]")))))
+        return bound(F.try_variant_get(v, "$", "array<variant>"), items)
+    return F.when(F.try_variant_get(v, "$", kind.simpleString()).isNull(), here).otherwise(none)
+
+
+def merge_variants(answers: DataFrame, groups: dict[str, StructType] = schema.GROUPS, document: StructType = schema.DOCUMENT) -> tuple[DataFrame, DataFrame]:
+    """Answers (doc_id, name, json) to (documents, errors): the keys of all groups merged, the later group's where several give one.
+
+    documents: doc_id and the fields of `document`, of documents without an error.  errors: doc_id, path, code.  Of an
+    answer, only the keys that its group declares count; a declared key that it lacks counts as null, and may so
+    replace a value.  Groups rank in the order of `groups`; an answer of another group is passed over, and so is a
+    null doc_id.  An answer that isn't a JSON object is `malformed`; the merged whole is then held against `document`, path
+    by path: a field that no group gives, or gives as null, is `missing`, anything in it of another type `not_valid`.
+    Answers to one group are expected once; of several the largest text counts.
+    """
+    order = F.create_map(*[F.lit(x) for k, n in enumerate(groups) for x in (n, k)])
+    declared = F.create_map(*[x for n, kind in groups.items() for x in (F.lit(n), F.array(*[F.lit(f) for f in kind.fieldNames()]))])
+    mine = answers.filter(F.col("name").isin(*groups) & F.col("doc_id").isNotNull())
+    once = mine.groupBy("doc_id", "name").agg(F.max("json").alias("json")).withColumn("v", F.try_parse_json("json"))
+    broken = ~F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    once = once.withColumn("broken", broken)
+    each = once.filter(~F.col("broken")).select("doc_id", order[F.col("name")].alias("ordinal"), "v", F.explode(declared[F.col("name")]).alias("key"))
+    # which key, and so which path, is known with the row only
+    given = each.withColumn("value", F.try_variant_get("v", F.concat(F.lit("$['"), F.col("key"), F.lit("']")), "variant"))
+    fields = document.fields
+    last = given.groupBy("doc_id").agg(*[F.max_by("value", F.when(F.col("key") == f.name, F.col("ordinal"))).alias(f.name) for f in fields if any(f.name in k.fieldNames() for k in groups.values())])
+    last = once.groupBy("doc_id").agg(F.bool_or("broken").alias("_broken"), F.array_sort(F.collect_set(F.when(F.col("broken"), F.col("name")))).alias("_names")).join(last, "doc_id", "left")
+    have = lambda f: f.name in last.columns
+    typed = [(F.try_variant_get(f.name, "$", f.dataType.simpleString()) if have(f) else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields]
+    told = lambda paths, code: F.transform(paths, lambda p: F.struct(p.alias("path"), F.lit(code).alias("code")))
+    gone = lambda f: F.col(f.name).isNull() | F.is_variant_null(f.name) if have(f) else F.lit(True)
+    wrong = [F.when(gone(f), told(F.array(F.lit(f.name)), "missing")).otherwise(told(_unfit(F.col(f.name), f.dataType, f.name), "not_valid") if have(f) else F.array().cast(ERRORS)) for f in fields]
+    found = last.select("doc_id", F.struct(*typed).alias("doc"), F.when(F.col("_broken"), told(F.col("_names"), "malformed")).otherwise(F.concat(*wrong)).alias("errors"))
+    return found.filter(F.size("errors") == 0).select("doc_id", "doc.*"), found.select("doc_id", F.inline_outer("errors")).filter("path is not null")
+
+
 def leaf_errors(docs: DataFrame) -> DataFrame:
     """Broken invariants of every leaf of extracted documents: (doc_id, path, code); items of a list share `path[]`."""
     return docs.select("doc_id", F.inline(F.concat(*[node_errors(F.col(f.name), f.dataType, f.name) for f in schema.DOCUMENT.fields if f.name in docs.columns])))

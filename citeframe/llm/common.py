@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -14,10 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from citeframe.llm import kernel
+from citeframe.shared import HOT, discard, frequent, hot_join, settle, shared_folder  # noqa: F401  the operators take these from here
 from citeframe.shipping import ship
 
-#: Keys of more rows than this part of all are few enough to be broadcast.
-HOT = 1000
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 500
 #: An id filter has about this many slots for each id, and MOST_SLOTS, 8 MB as bits, at most.
@@ -26,34 +24,6 @@ MOST_SLOTS = 1 << 26
 _PAGE = 1 << 15  # slots of one row of a filter
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder; where spark.cleaner.referenceTracking.cleanCheckpoints is on, Spark removes it once unused."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for what is written on the way: the one the context has, else the one that spark.checkpoint.dir names.
-
-    Without either, a session of this one machine (tests) gets a temporary one; on a cluster, where such a folder
-    is another one on each node, that is an error.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="citeframe-"))
-    return sc.getCheckpointDir()
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a folder that was written on the way."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def refuse(columns: Iterable[str], made: Iterable[str]) -> None:
     """A column that is asked for mustn't have the name of one that an operator makes: the result would have two."""
     clash = sorted({c.lower() for c in columns} & {c.lower() for c in made})
@@ -62,9 +32,13 @@ def refuse(columns: Iterable[str], made: Iterable[str]) -> None:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Send the package, and let a batch for Python hold fewer rows than by default, as rows are whole texts; a setting of the user's own stays."""
+    """Send the package."""
     ship(spark)
-    if spark.conf.get(BATCH, None) == "10000":
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's batches for Python hold BATCH_ROWS rows, as rows are whole texts; a setting of the user's own stays."""
+    if spark.conf.get(BATCH) == "10000":
         spark.conf.set(BATCH, str(BATCH_ROWS))
 
 
@@ -175,19 +149,6 @@ def split_by(df: DataFrame, key: Column, known: IdFilter) -> DataFrame:
     return have.join(F.broadcast(known.bits), "__page", "left").withColumn("__maybe", on).drop("__at", "__page", "__bits")
 
 
-def frequent(counts: DataFrame, key: list[str], rows: int) -> DataFrame:
-    """Of counts (key, c) of a table of so many rows, the keys of more than one HOT-th of them; as there are fewer than HOT, they come to the driver."""
-    often = counts.filter(F.col("c") > rows / HOT).select(*key)
-    return counts.sparkSession.createDataFrame(often.collect(), often.schema)
-
-
-def hot_join(left: DataFrame, right: DataFrame, key: list[str], often: DataFrame) -> DataFrame:
-    """left join to a table with distinct keys, where no task gets all rows of a frequent key: `often`, as frequent() has them, are broadcast, the others shuffled."""
-    hot = F.broadcast(often.join(right, key, "left"))
-    rest = left.join(F.broadcast(often), key, "left_anti").join(right, key, "left")
-    return left.join(hot, key).unionByName(rest)
-
-
 def grown(df: DataFrame, columns: list[str], extra: str) -> StructType:
     """The schema of some columns of df, followed by the fields of a DDL string; none may have the name of another."""
     made = StructType.fromDDL(extra)

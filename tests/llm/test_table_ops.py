@@ -170,3 +170,27 @@ def test_id_filter(spark):
     assert got.filter("id is null or id < 1000000000").filter("not __maybe").count() == 0
     assert got.filter("id >= 1000000000").filter("__maybe").count() < 400  # few others
     assert split_by(rows, F.col("id"), id_filter(ids.limit(0), "id")).filter("__maybe").count() == 0
+
+
+def test_sharding_of_rows_that_share_a_key(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 100)
+    # half without an id, of these half with one text; an eighth with one id
+    k = F.col("id")
+    rows = spark.range(8000).select(F.when(k % 2 == 1, F.when(k % 8 == 1, 5).otherwise(k)).alias("doc_id"), F.when(k % 4 == 0, "the same").otherwise(F.concat(F.lit("t"), k.cast("string"))).alias("text"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("source"))
+    units = sharding._units(rows.select(F.col("doc_id").alias("_key"), F.octet_length("text").cast("bigint").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.col("source").alias("_s"), F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << 40) - 1)).alias("_h")), 8000, 80)
+    sizes = [r.n for r in units.groupBy("_s", "_b", "_sub").agg(F.sum("_n").alias("n")).collect()]
+    assert sum(sizes) == 8000 and max(sizes) <= 400
+    got = sharding.assign(rows, 7).collect()
+    assert sorted(collections.Counter(r.shard for r in got).values()) == [1142, 1143, 1143, 1143, 1143, 1143, 1143]
+    for shard in range(7):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+    want = collections.Counter((r.doc_id, len(r.text) + 16) for r in rows.collect())
+    assert collections.Counter((r.doc_id, r["size"]) for r in got) == want
+    assert sorted(map(tuple, sharding.assign(rows.repartition(5), 7).collect()), key=repr) == sorted(map(tuple, got), key=repr)
+
+
+def test_url_filter_with_one_host(spark):
+    pages = spark.range(4000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 2 == 0, None).otherwise(F.concat(F.lit("http://h"), (F.col("id") % 50).cast("string"), F.lit(".example.com/en/"), F.col("id").cast("string"))).alias("url"))
+    got = hosts.judge(pages, queries.URL_RULES)
+    assert got.count() == 4000 and got.filter("host = ''").count() == 2000 and got.filter("rate is null").count() == 0
+    assert "left_anti" in got._jdf.queryExecution().analyzed().toString().lower() or "LeftAnti" in got._jdf.queryExecution().analyzed().toString()

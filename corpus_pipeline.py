@@ -2,6 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written as Parquet and read
 again as the next one's docs.  All but the last return the columns of docs, whatever these are.
+
+The stages lower the number of rows in a batch for Python, for as long as the session lasts, if it is Spark's default.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeframe.llm import bpe, decontam, langid, neardup, secretscan
-from citeframe.llm.common import discard, id_filter, read, settle, shared_folder, split_by
+from citeframe.llm.common import discard, id_filter, read, settle, shared_folder, small_batches, split_by
 from citeframe.llm.queries import coded, language_model
 
 #: Documents whose sets of word shingles have a Jaccard of so many percent or more are near copies.
@@ -28,6 +30,7 @@ def _row(docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected go, as do null and letterless texts."""
+    small_batches(spark)
     return langid.predict(_row(docs), language_model(docs), ["__row"]).filter(~F.col("rejected")).select("__row.*")
 
 
@@ -36,6 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are told apart by id and text, so that repeated or null ids are compared like all others; null is the last id.
     """
+    small_batches(spark)
     key = F.xxhash64("doc_id", "text")
     found = neardup.cluster(docs.select(key.alias("doc_id"), "text"), percent=NEAR)
     each = found.groupBy(F.col("doc_id").alias("__key")).agg(F.count("*").alias("__rows"), F.first("component_id").alias("__group"))
@@ -54,11 +58,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    small_batches(spark)
     return decontam.find(_row(docs), read(spark, sf_dir, "benchmark"), ["__row"]).filter(F.col("n_hit") == 0).select("__row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text; n_chars follows where there is such a column."""
+    small_batches(spark)
     rows = secretscan.scan(_row(docs), ["__row"], redact="__masked")
     new = {"text": F.col("__masked"), "n_chars": F.when(F.size("spans") > 0, F.length("__masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__row.n_chars")) if "n_chars" in docs.columns else None}
     return rows.select(*[(new[c] if c in new else F.col("__row").getField(c)).alias(c) for c in docs.columns])
@@ -66,6 +72,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token ids, with the digests of ids and decoded text."""
+    small_batches(spark)
     return coded(bpe.round_trip(docs, bpe.vocabulary_path(), ["doc_id"])).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 

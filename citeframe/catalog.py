@@ -165,10 +165,14 @@ def number_words_composed(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", n.alias("n"), thai.number_words(F.concat(F.lit("จำนวน "), thai.words_of(n), F.lit("บาทถ้วน"))).alias("parsed"))
 
 
-@_query("""select * from (values ('สามารถ', 3), ('พันธบัตร', 1000), ('ยี่ห้อ', 2), ('หนึ่งล้านล้าน', 2000000), ('ศูนย์ล้าน', 1000000), ('ร้อยละ 5 (ห้าหมื่น)', 100), ('ยี่สิบเอ็ด', 21), ('ไม่มี', null)) as t(words, n)""")
+_QUIRKS = {"สามารถ": 3, "พันธบัตร": 1000, "ยี่ห้อ": 2, "หนึ่งล้านล้าน": 2_000_000, "ศูนย์ล้าน": 1_000_000, "ร้อยละ 5 (ห้าหมื่น)": 100, "ยี่สิบเอ็ด": 21, "ไม่มี": None}
+
+
+@_query(f"select o_orderkey, ({list(_QUIRKS)!r})[o_orderkey % 8 + 1] || repeat(' x', o_orderkey % 3) as words, ([3, 1000, 2, 2000000, 1000000, 100, 21, null]::int[])[o_orderkey % 8 + 1] as n from orders")
 def number_words_quirks(spark, d):
-    rows = spark.createDataFrame([(w,) for w in ("สามารถ", "พันธบัตร", "ยี่ห้อ", "หนึ่งล้านล้าน", "ศูนย์ล้าน", "ร้อยละ 5 (ห้าหมื่น)", "ยี่สิบเอ็ด", "ไม่มี")], "words string")
-    return rows.select("words", thai.number_words(F.col("words")).cast("int").alias("n"))
+    k = F.col("o_orderkey")
+    words = F.concat(F.get(F.array(*[F.lit(w) for w in _QUIRKS]), k % 8), F.repeat(F.lit(" x"), (k % 3).cast("int")))
+    return _t(spark, d, "orders").select("o_orderkey", words.alias("words"), thai.number_words(words).cast("int").alias("n"))
 
 
 # ---- pages ---------------------------------------------------------------------------------------------------
@@ -300,12 +304,14 @@ def _extracted(spark, d):
     c = _t(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"))
     none = F.lit(None).cast("string")
 
+    source = "struct<kind:string,quote:string,page:int,ref:string>"
+    src = F.struct(F.lit("paragraph"), F.lit("q"), F.lit(None), F.lit("para:1")).cast(source)
+    gone, nothing, high, why = F.lit(True), F.lit(None), F.lit("high"), F.lit("not in text")
+
     def leaf(v, t, null=None):
-        src = F.struct(F.lit("paragraph").alias("kind"), F.lit("q").alias("quote"), F.lit(None).cast("int").alias("page"), F.lit("para:1").alias("ref"))
-        gone = F.lit(False) if null is None else null
-        return F.struct((F.lit(None).cast(t) if v is none else F.when(~gone, v.cast(t))).alias("value"), F.when(~gone, src).alias("source"), F.lit("high").alias("confidence"), F.when(gone, F.lit("not in text")).alias("reason"))
+        parts = (nothing, nothing, high, why) if null is gone else (v, src, high, nothing) if null is None else (F.when(~null, v), F.when(~null, src), high, F.when(null, why))
+        return F.struct(*parts).cast(f"struct<value:{t},source:{source},confidence:string,reason:string>")
 
-    gone = F.lit(True)
     bond = lambda n: F.struct(leaf(F.col("c_custkey") * n, "double", F.col("c_custkey") % 3 == 0).alias("amount"), leaf(none, "double", gone).alias("percent_stated"), leaf(F.array(F.lit("cash"), F.lit("bank's")), "array<string>").alias("accepted_forms"))
     fields = {f.name: leaf(none, f.dataType["value"].dataType.simpleString(), gone) for f in S.GROUPS["basic_info"].fields}
     fields |= {"project_name": leaf(F.col("c_name"), "string"), "budget_amount": leaf(F.col("c_custkey") * 8, "double")}
@@ -392,19 +398,34 @@ def highlight_items(spark, d):
 
 # ---- extraction ----------------------------------------------------------------------------------------------
 
-@_query("""select * from (values ('TOR_GROUP_BONDS', 'bonds', 'gemini', 'g:1'), ('TOR_GROUP_MISC', 'misc', 'openai', 'o')) as t(key, name, provider, model)""")
+@_query("""select 'TOR_GROUP_P' || p_partkey as key, 'p' || p_partkey as name, case when p_partkey % 4 = 0 then 'gemini' else 'openai' end as provider, case when p_partkey % 4 = 0 then 'g:1' else p_name end as model
+    from part where p_partkey % 4 < 2""")
 def override_parse(spark, d):
-    env = spark.createDataFrame([("TOR_GROUP_BONDS", "gemini:g:1"), ("TOR_GROUP_MISC", "openai:o"), ("TOR_GROUP_X", "openai:"), ("TOR_GROUP_Y", ":m"), ("OTHER", "a:b")], "key string, value string")
-    return extraction.parse_overrides(env).select(F.concat(F.lit("TOR_GROUP_"), F.upper("name")).alias("key"), "name", "provider", "model")
+    k = F.col("p_partkey")
+    value = F.when(k % 4 == 0, "gemini:g:1").when(k % 4 == 1, F.concat(F.lit("openai:"), F.col("p_name"))).when(k % 4 == 2, "openai:").otherwise(":m")
+    env = _t(spark, d, "part").select(F.concat(F.lit("TOR_GROUP_P"), k.cast("string")).alias("key"), value.alias("value"))
+    other = _t(spark, d, "part").select(F.concat(F.lit("OTHER_"), k.cast("string")).alias("key"), F.lit("a:b").alias("value"))
+    return extraction.parse_overrides(env.unionByName(other)).select(F.concat(F.lit("TOR_GROUP_"), F.upper("name")).alias("key"), "name", "provider", "model")
+
+
+def _part_groups(spark, d):
+    """Parts as groups, some of which override the provider: (groups, overrides)."""
+    p = _t(spark, d, "part")
+    k, name = F.col("p_partkey"), F.concat(F.lit("g"), F.col("p_partkey").cast("string")).alias("name")
+    provider = F.get(F.array(*[F.lit(x) for x in ("openai_compat", "nobody", "gemini")]), (F.floor(k / 3) % 3).cast("int"))
+    return p.select(k.cast("int").alias("ordinal"), name, F.lit(8000).alias("max_tokens")), p.filter(k % 3 == 0).select(name, provider.alias("provider"), F.col("p_brand").alias("model"))
+
+
+_RESOLVED = "select 'g' || p_partkey as name, case when p_partkey % 3 > 0 then 'anthropic' else ['openai_compat', 'nobody', 'gemini'][p_partkey // 3 % 3 + 1] end as provider, case when p_partkey % 3 > 0 then 'm' else p_brand end as model from part"
 
 
 def _overrides(spark):
     return spark.createDataFrame([("bonds", "openai_compat", "local"), ("misc", "gemini", "g")], "name string, provider string, model string")
 
 
-@_query("""select * from (values ('basic_info', 'anthropic', 'm'), ('key_dates', 'anthropic', 'm'), ('bonds', 'openai_compat', 'local'), ('qualifications', 'anthropic', 'm'), ('deliverables', 'anthropic', 'm'), ('misc', 'gemini', 'g')) as t(name, provider, model)""")
+@_query(_RESOLVED)
 def resolve_groups(spark, d):
-    return extraction.resolve(extraction.groups(spark), _overrides(spark), "anthropic", "m").select("name", "provider", "model")
+    return extraction.resolve(*_part_groups(spark, d), "anthropic", "m").select("name", "provider", "model")
 
 
 @_query("""select doc_id, 'bonds' as "group" from documents where doc_id % 4 = 0""")
@@ -414,10 +435,14 @@ def vision_gate(spark, d):
     return extraction.vision_gate(docs, resolved, extraction.providers(spark))
 
 
-@_query("select 'bonds' as name, 'nobody' as provider")
+@_query(f"select name, provider from ({_RESOLVED}) where provider = 'nobody'")
 def capability_gate(spark, d):
-    o = spark.createDataFrame([("bonds", "nobody", "x")], "name string, provider string, model string")
-    return extraction.capability_gate(extraction.resolve(extraction.groups(spark), o, "anthropic", "m"), extraction.providers(spark)).select("name", "provider")
+    return extraction.capability_gate(extraction.resolve(*_part_groups(spark, d), "anthropic", "m"), extraction.providers(spark)).select("name", "provider")
+
+
+@_query(f"select name, provider from ({_RESOLVED}) where provider in ('nobody', 'gemini')")
+def unresolved_groups(spark, d):
+    return extraction.unresolved(extraction.resolve(*_part_groups(spark, d), "anthropic", "m"), "anthropic", ["openai_compat"])
 
 
 def _responses(spark, d):

@@ -345,22 +345,18 @@ def leaf_errors(spark, d):
     return extraction.leaf_errors(broken).groupBy("doc_id", "path", "code").agg(F.count("*").alias("n"))
 
 
-@_query("""select * from (values ('misc', 'gemini')) as t(name, provider)""")
-def unresolved_groups(spark, d):
-    own = spark.createDataFrame([("bonds", "openai", "o"), ("misc", "gemini", "g")], "name string, provider string, model string")
-    return extraction.unresolved(extraction.resolve(extraction.groups(spark), own, "anthropic", "m"), "anthropic", ["openai"])
-
-
 @_query("""select doc_id, case doc_id % 4 when 0 then 'pdf' when 1 then 'docx' when 2 then 'xlsx' else 'odt' end as kind, case doc_id % 4 when 0 then 'page' when 1 then 'block' when 2 then 'cell' end as rules from documents""")
 def source_rules(spark, d):
     kinds = F.array(*[F.lit(x) for x in ("pdf", "docx", "xlsx", "odt")])
     return extraction.rules_for(_t(spark, d, "documents").select("doc_id", F.element_at(kinds, (F.col("doc_id") % 4 + 1).cast("int")).alias("kind")), extraction.kind_rules(spark)).select("doc_id", "kind", "rules")
 
 
-@_query("""select * from (values ('anthropic', true, true), ('gemini', true, true), ('openai', true, true), ('openai_compat', false, true)) as t(provider, structured, vision)""")
+@_query("""with e as (select 'p' || user_id % 30 as provider, user_id % 30 as u, event_id % 400 = 0 as failed from events)
+    select provider, not bool_or(failed) as structured, u % 2 = 0 as vision from e group by provider, u""")
 def capability_probe(spark, d):
-    able = extraction.providers(spark, settings.load({"TOR_OPENAI_COMPAT_VISION": " Yes "}).compat_vision)
-    probes = spark.createDataFrame([("openai_compat", "no schema"), ("openai_compat", None), ("anthropic", None)], "provider string, error string")
+    provider = F.concat(F.lit("p"), (F.col("user_id") % 30).cast("string")).alias("provider")
+    probes = _t(spark, d, "events").select(provider, F.when(F.col("event_id") % 400 == 0, "no schema").alias("error"))
+    able = _t(spark, d, "events").select(provider, F.lit(True).alias("structured"), (F.col("user_id") % 30 % 2 == 0).alias("vision")).distinct()
     return extraction.probed(able, probes).select("provider", "structured", "vision")
 
 
@@ -547,9 +543,11 @@ def shown_values(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", X.view_value("num", k * 1000.0 + 1).alias("number"), X.view_value("arr", F.array(F.lit("a"), F.lit("b"))).alias("list"), X.view_value("str", F.when(k % 2 == 1, "v")).alias("text"), X.notice(status).alias("notice"), F.array_join(X.split_list(F.lit(" x ,, y,")), "|").alias("origins"))
 
 
-@_query("""select * from (values ('anthropic', 'ANTHROPIC_API_KEY'), ('gemini', 'GEMINI_API_KEY'), ('openai', 'OPENAI_API_KEY'), ('openai_compat', 'TOR_PROVIDER_API_KEY'), ('else', 'TOR_PROVIDER_API_KEY')) as t(provider, name)""")
+@_query("""select s_suppkey, ['anthropic', 'openai', 'gemini', 'openai_compat', s_name][s_suppkey % 5 + 1] as provider, ['ANTHROPIC_API_KEY', 'OPENAI_API_KEY', 'GEMINI_API_KEY', 'TOR_PROVIDER_API_KEY', 'TOR_PROVIDER_API_KEY'][s_suppkey % 5 + 1] as name from supplier""")
 def key_names(spark, d):
-    return spark.createDataFrame([(p, settings.key_name(p)) for p in (*extraction.PROVIDERS, "else")], "provider string, name string")
+    provider = F.get(F.array(*[F.lit(p) for p in extraction.PROVIDERS], F.col("s_name")), (F.col("s_suppkey") % 5).cast("int"))
+    named = F.create_map(*[F.lit(x) for p in extraction.PROVIDERS for x in (p, settings.key_name(p))])
+    return _t(spark, d, "supplier").select("s_suppkey", provider.alias("provider"), F.coalesce(F.try_element_at(named, provider), F.lit(settings.key_name("else"))).alias("name"))
 
 
 @_query("""select doc_id, cast(pages as bigint) as pages, cast(bytes as bigint) as bytes from (select source as doc_id, count(*) as pages, sum(octet_length(encode(text))) as bytes from documents group by source) where pages > 20 or bytes > 20971520""")
@@ -557,14 +555,18 @@ def vision_caps(spark, d):
     return blocks.vision_over_cap(_t(spark, d, "documents").select(F.col("source").alias("doc_id"), F.encode("text", "UTF-8").alias("content"))).select("doc_id", "pages", F.col("bytes").cast("bigint").alias("bytes"))
 
 
-@_query("""select * from (values ('basic_info', 7, true), ('key_dates', 1, true), ('bonds', 3, true), ('qualifications', 1, true), ('deliverables', 1, true), ('misc', 5, true)) as t(name, properties, strict)""")
+@_query("""with c as (select count(distinct o_custkey) as n from orders join customer on c_custkey = o_custkey)
+    select name, cast(properties as int) as properties, true as strict, n as answers from c, (values ('basic_info', 7), ('key_dates', 1), ('bonds', 3), ('qualifications', 1), ('deliverables', 1), ('misc', 5)) as t(name, properties)""")
 def strict_schema(spark, d):
+    """Each group's JSON Schema, and how many documents' answers have just its properties."""
     def strict(node: dict) -> bool:
         inner = [*node.get("properties", {}).values(), *([node["items"]] if "items" in node else [])]
         return all(map(strict, inner)) and (node["type"] != "object" or (node["additionalProperties"] is False and node["required"] == list(node["properties"])))
 
     made = {n: S.json_schema(t) for n, t in S.GROUPS.items()}
-    return spark.createDataFrame([(n, len(x["properties"]), strict(x)) for n, x in made.items()], "name string, properties int, strict boolean")
+    own = lambda n: F.struct(F.lit(n).alias("name"), F.lit(len(made[n]["properties"])).alias("properties"), F.lit(strict(made[n])).alias("strict"), F.array(*[F.lit(p) for p in made[n]["properties"]]).alias("keys"), F.json_object_keys(F.to_json(F.struct(*[F.col(f.name) for f in S.GROUPS[n].fields]), {"ignoreNullFields": "false"})).alias("given"))
+    rows = _documents(spark, d).select(F.inline(F.array(*[own(n) for n in made])))
+    return rows.groupBy("name", "properties", "strict").agg(F.count_if(F.col("keys") == F.col("given")).alias("answers"))
 
 
 def queries() -> dict[str, Query]:

@@ -72,13 +72,14 @@ def _texts(items: Column, of: DataType) -> Column:
     return F.transform(items, lambda x: item_text(x, of))
 
 
-def _pairs(e: Column, a: Column, kind: DataType, other: DataType) -> Column:
-    """The items of two lists, paired by likeness."""
-    return score.greedy_match(_texts(e, kind), _texts(a, other))
+def _partners(e: Column, a: Column, kind: DataType, other: DataType) -> Column:
+    """array<int>: for each item of a list the position of its partner in the other one, null if it has none."""
+    of = lambda pairs: F.transform(e, lambda x, i: F.get(F.filter(pairs, lambda q: q["i"] == i), F.lit(0))["j"])
+    return bound(score.greedy_match(_texts(e, kind), _texts(a, other)), of)
 
 
-def _walk(path: str, e: Column, a: Column | None, kind: DataType, other: DataType | None, pairs: Column | None = None) -> Column:
-    """The pairs of everything under one node; a is None where the prediction has no such part.  pairs: those of a list's items, if they are known."""
+def _walk(path: str, e: Column, a: Column | None, kind: DataType, other: DataType | None, partners: Column | None = None) -> Column:
+    """The pairs of everything under one node; a is None where the prediction has no such part.  partners: those of a list's items, if they are known."""
     told = lambda value, e, a: F.array(_pair(path, value, e, F.lit(None).cast(value) if a is None else a))
     if is_leaf(kind):
         return told(kind["value"].dataType, e["value"], None if a is None or not is_leaf(other) else a["value"])
@@ -91,15 +92,14 @@ def _walk(path: str, e: Column, a: Column | None, kind: DataType, other: DataTyp
 
         def items(p: Column) -> Column:
             def one(x: Column, i: Column) -> Column:
-                j = F.get(F.filter(p["pairs"], lambda q: q["i"] == i), F.lit(0))["j"]
-                return bound(F.get(p["a"], j), lambda y: _walk(f"{path}[]", x, y, kind.elementType, inner))
+                return bound(F.get(p["a"], F.get(p["of"], i)), lambda y: _walk(f"{path}[]", x, y, kind.elementType, inner))
 
             return F.flatten(F.transform(p["e"], one))
 
-        matched = lambda x: _pairs(x["e"], x["a"], kind.elementType, inner) if pairs is None else pairs
+        matched = lambda x: _partners(x["e"], x["a"], kind.elementType, inner) if partners is None else partners
         empty = F.array().cast(f"array<{_PAIR}>")
         lists = F.struct(F.coalesce(e, F.array().cast(kind)).alias("e"), have.alias("a"))
-        return F.coalesce(bound(lists, lambda x: bound(F.struct(x["e"].alias("e"), x["a"].alias("a"), matched(x).alias("pairs")), items)), empty)
+        return F.coalesce(bound(lists, lambda x: bound(F.struct(x["e"].alias("e"), x["a"].alias("a"), matched(x).alias("of")), items)), empty)
     return told(kind, e, a)
 
 
@@ -112,32 +112,64 @@ def _scored(expected: DataFrame) -> Iterator:
     return (f for f in expected.schema.fields if f.name != "doc_id" and f.name not in score.EXCLUDED)
 
 
-def evaluation(expected: DataFrame, actual: DataFrame, *told: str) -> DataFrame:
+def _listed(expected: DataFrame, kind: StructType) -> list:
+    """The top-level lists that both sides have."""
+    return [f for f in _scored(expected) if isinstance(f.dataType, ArrayType) and isinstance(_field(kind, f.name), ArrayType)]
+
+
+def long_lists(expected: DataFrame, actual: DataFrame, in_row: int = score.IN_ROW) -> DataFrame | None:
+    """(doc_id, path, of): the partners (see _partners) of the top-level lists that have more than `in_row` pairs, found by joins; None if there are none.
+
+    For evaluation, score_document and list_lengths, which pair the other lists within the row.
+    """
+    from citeframe.operators.matching import match_lists
+
+    both = _both(expected, actual)
+    kind = both.schema["a"].dataType
+    fields = _listed(expected, kind)
+    if not fields:
+        return None
+    item = lambda side, f, of: F.coalesce(_texts(F.col(side)[f.name], of), F.array().cast("array<string>"))
+    size = lambda side, f: F.coalesce(F.size(F.col(side)[f.name]), F.lit(0)).cast("bigint")
+    each = [F.when(size("e", f) * size("a", f) > in_row, F.struct(F.lit(f.name).alias("path"), item("e", f, f.dataType.elementType).alias("e"), item("a", f, _field(kind, f.name).elementType).alias("a"))) for f in fields]
+    long = settle(both.select("doc_id", F.explode_outer(F.array(*each)).alias("x")).filter("x is not null").select("doc_id", "x.*"))
+    if long.isEmpty():
+        return None
+    e, a = long.select("doc_id", "path", F.posexplode("e").alias("i", "text")), long.select("doc_id", "path", F.posexplode("a").alias("j", "text"))
+    found = e.select("doc_id", "path", "i").join(match_lists(e, a).select("doc_id", "path", "i", "j"), ["doc_id", "path", "i"], "left")
+    return found.groupBy("doc_id", "path").agg(F.sort_array(F.collect_list(F.struct("i", "j")))["j"].alias("of"))
+
+
+def evaluation(expected: DataFrame, actual: DataFrame, *told: str, partners: DataFrame | None = None) -> DataFrame:
     """All that is told of documents (doc_id, nested columns) that both sides have, one row for each, found in one pass.
 
     doc_id; leaves: array<struct<path, verdict>>; expected_flags and actual_flags, how many risk flags each has; lists:
     array<struct<path, n_expected, n_actual, missed, extra>> of the top-level lists that don't pair up whole.  Lists are
-    paired once for both.  told: only these columns beside doc_id.
+    paired once for both, within the row but for those of `partners` (see long_lists).  told: only these columns beside doc_id.
     """
     wanted = told or ("leaves", "expected_flags", "actual_flags", "lists")
     both = _both(expected, actual)
     kind = both.schema["a"].dataType
-    fields = list(_scored(expected))
-    listed = [f for f in fields if isinstance(f.dataType, ArrayType) and isinstance(_field(kind, f.name), ArrayType)]
+    fields, listed = list(_scored(expected)), _listed(expected, kind)
+    if partners is not None:
+        both = both.join(partners.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "of"))).alias("of")), "doc_id", "left")
     whole = lambda side, name: F.coalesce(F.col(side)[name], F.array().cast(both.schema[side].dataType[name].dataType))
 
     def made(m: Column) -> Column:
-        """The result's columns, from the pairs of all lists."""
+        """The result's columns, from the partners of all lists."""
         parts = [_walk(f.name, F.col("e")[f.name], F.col("a")[f.name] if f.name in kind.fieldNames() else None, f.dataType, _field(kind, f.name), m[f.name] if f in listed else None) for f in fields if "leaves" in wanted]
         n = lambda side, f: F.size(whole(side, f.name))
-        uneven = [F.struct(F.lit(f.name).alias("path"), n("e", f).alias("n_expected"), n("a", f).alias("n_actual"), (n("e", f) - F.size(m[f.name])).alias("missed"), (n("a", f) - F.size(m[f.name])).alias("extra")) for f in listed if "lists" in wanted]
+        paired = lambda f: F.size(F.array_compact(m[f.name]))
+        uneven = [F.struct(F.lit(f.name).alias("path"), n("e", f).alias("n_expected"), n("a", f).alias("n_actual"), (n("e", f) - paired(f)).alias("missed"), (n("a", f) - paired(f)).alias("extra")) for f in listed if "lists" in wanted]
         lists = F.filter(F.array(*uneven), lambda x: (x["missed"] > 0) | (x["extra"] > 0)) if uneven else F.array().cast(_LISTS)
         # a missing list has none
         flags = lambda side: F.greatest(F.coalesce(F.size(F.col(side)["risk_flags"]), F.lit(0)), F.lit(0)) if "risk_flags" in both.schema[side].dataType.fieldNames() else F.lit(0)
         leaves = F.transform(F.concat(*parts) if parts else F.array().cast(f"array<{_PAIR}>"), _judged)
         return F.struct(*[c.alias(n) for n, c in {"leaves": leaves, "expected_flags": flags("e"), "actual_flags": flags("a"), "lists": lists}.items() if n in wanted])
 
-    matched = [_pairs(whole("e", f.name), whole("a", f.name), f.dataType.elementType, _field(kind, f.name).elementType).alias(f.name) for f in listed]
+    within = lambda f: _partners(whole("e", f.name), whole("a", f.name), f.dataType.elementType, _field(kind, f.name).elementType)
+    known = lambda f: F.when(F.map_contains_key("of", f.name), F.try_element_at("of", F.lit(f.name)))
+    matched = [(within(f) if partners is None else F.when(known(f).isNull(), within(f)).otherwise(known(f))).alias(f.name) for f in listed]
     return both.select("doc_id", bound(F.struct(*matched, F.lit(0).alias("")), made).alias("x")).select("doc_id", "x.*")
 
 
@@ -146,19 +178,20 @@ def _each(rows: DataFrame, column: str) -> DataFrame:
     return rows.select("doc_id", F.inline_outer(column)).filter("path is not null")
 
 
-def score_document(expected: DataFrame, actual: DataFrame) -> DataFrame:
+def score_document(expected: DataFrame, actual: DataFrame, partners: DataFrame | None = None) -> DataFrame:
     """doc_id, path and verdict of every leaf of the annotation, of documents (doc_id, nested columns) that both sides have.
 
     Only what the annotation holds is walked: further columns of the prediction are ignored, missing ones are nulls.
     Items of a list are paired by likeness and pooled under `path[]`; an item without a partner is compared with
     nothing, so its null leaves are exact and the others missed.  Risk flags are counted, not scored.
+    partners: those of lists too long for a row, from long_lists.
     """
-    return _each(evaluation(expected, actual, "leaves"), "leaves")
+    return _each(evaluation(expected, actual, "leaves", partners=partners), "leaves")
 
 
-def list_lengths(expected: DataFrame, actual: DataFrame) -> DataFrame:
+def list_lengths(expected: DataFrame, actual: DataFrame, partners: DataFrame | None = None) -> DataFrame:
     """(doc_id, path, n_expected, n_actual, missed, extra) of the top-level lists that don't pair up whole."""
-    return _each(evaluation(expected, actual, "lists"), "lists")
+    return _each(evaluation(expected, actual, "lists", partners=partners), "lists")
 
 
 def risk_flag_counts(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -185,7 +218,8 @@ def report(expected: DataFrame, actual: DataFrame, runs: DataFrame, cost: DataFr
     """
     scored = run_status(expected.select("doc_id"), runs).filter("status = 'scored'").select("doc_id")
     seen = Observation()
-    told = settle(evaluation(expected, actual.join(scored, "doc_id", "left_semi")).observe(seen, F.count("*").alias("n")))
+    actual = actual.join(scored, "doc_id", "left_semi")
+    told = settle(evaluation(expected, actual, partners=long_lists(expected, actual)).observe(seen, F.count("*").alias("n")))
     n = seen.get.get("n", 0)
     if not n:
         status = {r.status: r.n for r in run_status(expected.select("doc_id"), runs).groupBy("status").agg(F.count("*").alias("n")).collect()}  # three at most

@@ -123,3 +123,38 @@ def test_scalar_functions(sql):
     cites.createOrReplaceTempView("cites")
     got = sql.sql("select cite_locator(kind, page, ref) as l, cite_sheet(ref) as s, cite_cell(ref) as c from cites").collect()
     assert got == cites.select(X.locator(F.col("kind"), F.col("page"), F.col("ref")).alias("l"), X.cell_sheet(F.col("ref")).alias("s"), X.cell_ref(F.col("ref")).alias("c")).collect()
+
+
+# ---- fixed cases of what the queries run over tables -----------------------------------------------------------
+
+def test_settings_and_schemas(spark):
+    from citeframe import catalog, schema, settings
+    from citeframe.functions import thai
+
+    words = spark.createDataFrame(list(catalog._QUIRKS.items()), "words string, n bigint")
+    assert all(r.n == r.parsed for r in words.select("n", thai.number_words(F.col("words")).alias("parsed")).collect())
+    env = spark.createDataFrame([("TOR_GROUP_BONDS", "gemini:g:1"), ("TOR_GROUP_MISC", "openai:o"), ("TOR_GROUP_X", "openai:"), ("TOR_GROUP_Y", ":m"), ("OTHER", "a:b")], "key string, value string")
+    assert sorted(map(tuple, extraction.parse_overrides(env).collect())) == [("bonds", "gemini", "g:1"), ("misc", "openai", "o")]
+    own = spark.createDataFrame([("bonds", "openai_compat", "local"), ("misc", "nobody", "g")], "name string, provider string, model string")
+    resolved = extraction.resolve(extraction.groups(spark), own, "anthropic", "m")
+    assert {(r["name"], r.provider, r.model) for r in resolved.collect()} == {(n, *{"bonds": ("openai_compat", "local"), "misc": ("nobody", "g")}.get(n, ("anthropic", "m"))) for n in schema.GROUPS}
+    assert [r["name"] for r in extraction.capability_gate(resolved, extraction.providers(spark)).collect()] == ["misc"]
+    assert [tuple(r) for r in extraction.unresolved(resolved, "anthropic", ["openai_compat"]).collect()] == [("misc", "nobody")]
+    able = extraction.providers(spark, settings.load({"TOR_OPENAI_COMPAT_VISION": " Yes "}).compat_vision)
+    probes = spark.createDataFrame([("openai_compat", "no schema"), ("openai_compat", None), ("anthropic", None)], "provider string, error string")
+    assert {r.provider: (r.structured, r.vision) for r in extraction.probed(able, probes).collect()} == {"anthropic": (True, True), "gemini": (True, True), "openai": (True, True), "openai_compat": (False, True)}
+    assert [settings.key_name(p) for p in (*extraction.PROVIDERS, "else")] == ["ANTHROPIC_API_KEY", "OPENAI_API_KEY", "GEMINI_API_KEY", "TOR_PROVIDER_API_KEY", "TOR_PROVIDER_API_KEY"]
+
+
+def test_long_lists_are_paired_by_joins(spark):
+    """The same leaves and lengths whichever way lists are paired."""
+    from citeframe.catalog_documents import _documents, _predicted
+
+    d = "/root/testdata/sf0.001"
+    expected, actual = _documents(spark, d), _predicted(spark, d)
+    assert documents.long_lists(expected, actual) is None
+    partners = documents.long_lists(expected, actual, in_row=20).checkpoint()
+    assert {r.path for r in partners.select("path").distinct().collect()} <= {"key_dates", "deliverables"} and partners.count() > 20
+    told = lambda rows: sorted(map(tuple, rows.collect()))
+    assert told(documents.score_document(expected, actual, partners)) == told(documents.score_document(expected, actual))
+    assert told(documents.list_lengths(expected, actual, partners)) == told(documents.list_lengths(expected, actual))

@@ -107,19 +107,23 @@ def crashed_documents(runs: DataFrame) -> DataFrame:
     return runs.filter("crashed").select("provider", "model", "doc_id")
 
 
-def provider_summary(tallies: DataFrame, runs: DataFrame, told: int = CRASHED_TOLD) -> DataFrame:
+def provider_summary(tallies: DataFrame, runs: DataFrame, told: int | None = CRASHED_TOLD) -> DataFrame:
     """Totals by (provider, model) with the crashed documents and the cost; `none` and `unknown` where there are none.
 
     tallies: (provider, model, verdict counts); runs: (provider, model, doc_id, crashed, usd).  Of the crashed
-    documents, the first `told` by id as text are named, and how many more there are; crashed_documents has all.
+    documents, the first `told` by id as text are named, and how many more there are; all if `told` is None, which
+    makes one text of all names of a provider and model.  crashed_documents has a row for each.
     """
     total = merge(tallies, "provider", "model")
     usd = F.when(F.bool_or(F.col("usd").isNull() & ~F.col("crashed")), "unknown").otherwise(F.concat(F.lit("$"), F.format_string("%.4f", F.coalesce(F.sum("usd"), F.lit(0.0)))))
     about = runs.groupBy("provider", "model").agg(F.count_if("crashed").alias("n"), usd.alias("cost"))
-    # ranks up to a limit are cut before the shuffle, so what meets is `told` names from each task
-    rank = F.row_number().over(Window.partitionBy("provider", "model").orderBy("id"))
-    first = crashed_documents(runs).select("provider", "model", F.col("doc_id").cast("string").alias("id")).withColumn("k", rank).filter(F.col("k") <= told)
+    first = crashed_documents(runs).select("provider", "model", F.col("doc_id").cast("string").alias("id"))
+    more = F.lit("")
+    if told is not None:
+        # ranks up to a limit are cut before the shuffle, so what meets is `told` names from each task
+        rank = F.row_number().over(Window.partitionBy("provider", "model").orderBy("id"))
+        first = first.withColumn("k", rank).filter(F.col("k") <= told)
+        more = F.when(F.col("n") > told, F.concat(F.lit(" and "), (F.col("n") - told).cast("string"), F.lit(" more"))).otherwise("")
     names = first.groupBy("provider", "model").agg(F.expr("listagg(id, ', ') within group (order by id)").alias("names"))
-    more = F.when(F.col("n") > told, F.concat(F.lit(" and "), (F.col("n") - told).cast("string"), F.lit(" more"))).otherwise("")
     about = about.join(names, ["provider", "model"], "left").select("provider", "model", F.when(F.col("n") == 0, "none").otherwise(F.concat("names", more)).alias("crashed"), "cost")
     return about.join(total, ["provider", "model"], "left")

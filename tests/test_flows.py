@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from citeframe import surface
+from citeframe import catalog, surface
 from citeframe.functions import text as X
 from citeframe.operators import blocks, documents, score
 from citeframe.plans import extraction
@@ -158,3 +158,17 @@ def test_long_lists_are_paired_by_joins(spark):
     told = lambda rows: sorted(map(tuple, rows.collect()))
     assert told(documents.score_document(expected, actual, partners)) == told(documents.score_document(expected, actual))
     assert told(documents.list_lengths(expected, actual, partners)) == told(documents.list_lengths(expected, actual))
+
+
+@pytest.fixture(scope="module")
+def many_customers(spark, tmp_path_factory):
+    """4,000 customers, of whom 80 crash, 40 of them or more for a model."""
+    folder = str(tmp_path_factory.mktemp("many"))
+    spark.range(4000).select(F.col("id").alias("c_custkey")).write.parquet(f"{folder}/customer.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/orders.parquet").write.parquet(f"{folder}/orders.parquet")
+    return folder, ", ".join(sorted(str(k) for k in range(4000) if k % 50 == 0))
+
+
+def test_provider_comparison_names_every_crashed_document(spark, many_customers):
+    folder, names = many_customers
+    assert {r.model: r.crashed for r in catalog.queries()["provider_comparison"](spark, folder).collect()} == {"a": names, "b": "none"}

@@ -84,6 +84,62 @@ def test_decisions():
     assert attempts.decided([e(1, "else")], False) == (502, e(1, "else"))
 
 
+def test_groups_share_rows_of_state(states, tmp_path):
+    rows = [_row(d, n, None if (d + n) % 3 == 0 else ("validation", "auth", "api")[(d * n) % 3], minute=d % 10) for d in range(3000) for n in range(1, 1 + d % 4)]
+    told = []
+    for buckets in (1, 16):
+        folder = tmp_path / str(buckets)
+        (folder / "in").mkdir(parents=True)
+        for part in (rows[::2], rows, [_row(-1, 1, minute=65)], [_row(-2, 1, minute=200)]):
+            (folder / "in" / f"{len(list((folder / 'in').iterdir())):03d}.json").write_text("\n".join(map(json.dumps, part)))
+            stream = states.readStream.schema(KIND).option("maxFilesPerTrigger", 1).json(str(folder / "in"))
+            query = sinks.into(attempts.first_valid(stream, buckets=buckets), sinks.replacing(str(folder / "out")), str(folder / "ck"))
+            query.awaitTermination(300)
+            # a row of state for each bucket, not for each group
+            assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= buckets
+        told.append(sorted((r.doc_id, r.status, r.attempt, r.json) for r in states.read.parquet(str(folder / "out")).collect()))
+    plain = []
+    for d in range(3000):
+        known = sorted((r["attempt"], r["error"], r["json"]) for r in rows if r["doc_id"] == d) if d < 200 else []
+        if known:
+            status, last = attempts.decided(known, False) or attempts.decided(known, True)
+            plain.append((d, status, last[0], last[2]))
+    assert told[0] == told[1] and len({r[0] for r in told[0]}) == len(told[0]) == 2250 + 2
+    assert [r for r in told[0] if 0 <= r[0] < 200] == plain
+
+
+def test_a_bucket_keeps_each_groups_own_time():
+    import pandas as pd
+
+    def came(*rows):
+        return iter([pd.DataFrame(rows, columns=["group", "millis", "attempt", "error", "answer"])])
+
+    groups = {}
+    assert attempts.step(groups, came(("a", 5, 1, "validation", "a1"), ("b", 30, 2, None, "b2")), 0, 100, 1000) == []
+    assert groups == {"a": (105, [(1, "validation", "a1")]), "b": (130, [(2, None, "b2")])}
+    groups = json.loads(json.dumps(groups))
+    assert attempts.step(groups, came(("a", 50, 1, "validation", "a1"), ("c", 60, 1, None, "c1")), 110, 100, 1000) == [(200, "c", "c1"), (504, "a", "a1")]
+    assert groups == {"a": (1105, None), "b": [130, [[2, None, "b2"]]], "c": (1110, None)}
+    assert attempts.step(groups, iter(()), 130, 100, 1000) == [(200, "b", "b2")]
+    assert attempts.step(groups, came(("a", 140, 2, None, "a2")), 1105, 100, 1000) == [] and list(groups) == ["b", "c"]
+
+
+def test_streamed_attempts_inputs_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from citeframe import catalog_flows
+
+    asked = []
+    monkeypatch.setattr(catalog_flows, "discard", lambda spark, path: asked.append(path))
+    spark.range(0, 4000, 1, 4).selectExpr("id as l_orderkey", "cast(1 + id % 3 as int) as l_linenumber").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = catalog_flows._Q["streamed_attempts"](spark, str(tmp_path))
+        assert got.count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    folder = Path(next(p for p in asked if p.endswith("/in")).removeprefix("file:"))
+    assert len(list(folder.glob("part-*"))) >= 2 * 4
+
+
 def test_refused_without_its_state_store(spark):
     with pytest.raises(ValueError):
         attempts.first_valid(spark.createDataFrame([], KIND))
